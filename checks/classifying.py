@@ -1 +1,345 @@
-"""Placeholder."""
+"""Classification of ad titles made from part names, and of the document texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import check
+from checks.tables import read, with_ctes
+from checks.texts import NORM
+from fairtag.functions import text
+from fairtag.operators import classify as cls
+from fairtag.operators import quality
+from fairtag.sources.catalog import Catalog, Modifier
+
+# Lookaround-free patterns, so that both engines' regular expressions agree.
+MODIFIERS = [
+    Modifier("wanted", (r"^the\b", r"^(?:ich|le) "), exclude=True),
+    Modifier("faulty", (r"worthless", r"\bidiot\b", r"pathetic"), exclude=True),
+    Modifier("licensed", (r"mit license", r"general public license", r"\bversion \d+"), price_adjust_pct=-8.0),
+    Modifier("marked", (r"\bwh", r"ou\b"), price_adjust_pct=-30.0),
+    Modifier("cheap", (r"\bis\b.*\bof\b",), price_adjust_pct=10.0),
+]
+
+
+def document_listings(spark, sf):
+    """First line as the title, the whole text as the description."""
+    return read(spark, sf, "documents").selectExpr(
+        "CAST(doc_id AS STRING) AS listing_id", "split(text, '\n')[0] AS title", "text AS description",
+        "n_chars AS price_cents",
+    )
+
+
+DOC_SQL = f"""
+t AS (SELECT CAST(doc_id AS VARCHAR) AS listing_id, n_chars AS price_cents, string_split(text, chr(10))[1] AS title, text FROM documents),
+x AS (SELECT *, {NORM.format('title')} AS norm, {NORM.format("title || ' ' || text")} AS hay FROM t)
+"""
+
+
+def _rx(column: str, modifier: Modifier) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, '{p}')" for p in modifier.patterns) + ")"
+
+
+EXCLUDED = f"CASE WHEN {_rx('norm', MODIFIERS[0])} THEN 'wanted' WHEN {_rx('hay', MODIFIERS[1])} THEN 'faulty' END"
+FOUND = "list_filter([" + ", ".join(
+    f"CASE WHEN {_rx('hay', m)} THEN '{m.modifier_id}' END" for m in MODIFIERS[2:]
+) + "], lambda v: v IS NOT NULL)"
+PCT = " + ".join(f"CASE WHEN {_rx('hay', m)} THEN {m.price_adjust_pct}e0 ELSE 0e0 END" for m in MODIFIERS[2:])
+DOC_CATALOG = Catalog("docs", products=None, modifiers=MODIFIERS)  # type: ignore[arg-type]
+
+
+@check("cls_1_exclusions", with_ctes(DOC_SQL, select=f" SELECT listing_id, {EXCLUDED} AS excluded_by FROM x"))
+def cls_1(spark, sf):
+    return cls.read_titles(document_listings(spark, sf), DOC_CATALOG).select("listing_id", "excluded_by")
+
+
+@check(
+    "cls_7_price_modifiers",
+    with_ctes(DOC_SQL, select=f" SELECT listing_id, array_to_string({FOUND}, ',') AS modifiers, {PCT} AS adjust_pct FROM x"),
+)
+def cls_7(spark, sf):
+    read_ = cls.read_titles(document_listings(spark, sf), DOC_CATALOG)
+    return read_.select(
+        "listing_id", F.array_join("found", ",").alias("modifiers"),
+        cls.adjust_pct(F.col("found"), MODIFIERS).alias("adjust_pct"),
+    )
+
+
+@check(
+    "cls_8_adjusted_price",
+    with_ctes(DOC_SQL, select=f"""
+SELECT listing_id, CAST(round_even(price_cents * (1 + greatest(least({PCT}, 35e0), -35e0) / 1e2), 0) AS BIGINT) AS adjusted_cents FROM x"""),
+)
+def cls_8(spark, sf):
+    read_ = cls.read_titles(document_listings(spark, sf), DOC_CATALOG)
+    pct = cls.adjust_pct(F.col("found"), MODIFIERS)
+    return read_.select("listing_id", cls.adjusted_cents(F.col("price_cents"), pct).alias("adjusted_cents"))
+
+
+# Part ads: the catalog is read off the part names, the ads off parts and order lines.
+
+
+def part_catalog(spark, sf):
+    """Nouns as base products and adjective-noun pairs as variants; 'red' bases are banned.
+
+    Bases carry ``any_of`` brands only where the noun ends in g, so every kind of rule occurs.
+    """
+    names = read(spark, sf, "part").select(
+        F.split("p_name", " ")[0].alias("adj"), F.split("p_name", " ")[1].alias("noun")
+    ).distinct()
+    empty = "CAST(array() AS ARRAY<STRING>)"
+    pairs = names.filter("adj <> 'old'").selectExpr(
+        "concat(adj, '_', noun) AS product_id", "array(adj, noun) AS `all`", f"{empty} AS any_of",
+        "IF(adj = 'new', array('promo'), " + empty + ") AS none_of",
+        "array(concat(adj, ' ', noun), concat(noun, adj)) AS aliases",
+    )
+    bases = names.select("noun").distinct().selectExpr(
+        "concat('base_', noun) AS product_id",
+        f"IF(noun LIKE '%g', {empty}, array(noun)) AS `all`",
+        f"IF(noun LIKE '%g', array(noun, concat(noun, ' set')), {empty}) AS any_of",
+        "array('red') AS none_of", "array(concat('vintage ', noun)) AS aliases",
+    )
+    rows = pairs.unionByName(bases)
+    # Catalog order is alphabetical.
+    ids = rows.agg(F.array_sort(F.collect_set("product_id")).alias("ids"))  # at most nouns * (adjectives + 1)
+    numbered = ids.select(F.posexplode("ids").alias("pos", "product_id"))
+    return Catalog(
+        category="parts",
+        products=rows.join(numbered, "product_id").selectExpr(
+            "'parts' AS category", "pos", "product_id", "product_id AS label", "`all`", "any_of", "none_of", "aliases"
+        ),
+        modifiers=[
+            Modifier("wanted_ad", (r"^want",), exclude=True),
+            Modifier("faulty", (r"broken", r"for parts"), exclude=True),
+            Modifier("warranty", ("warranty",), price_adjust_pct=-8.0),
+            Modifier("mined_on", (r"\bused \d+ years",), price_adjust_pct=10.0),
+        ],
+        version="v1",
+    )
+
+
+PART_TITLE = """
+  CASE WHEN l_linenumber = 6 THEN 'Wanted: ' WHEN l_linenumber = 7 THEN 'OLD ' ELSE 'Sell ' END {cat}
+  CASE WHEN l_suppkey % 9 = 0 THEN left(p_name, length(p_name) - 1) WHEN l_suppkey % 9 = 1 THEN replace(p_name, ' ', '  ')
+       WHEN l_suppkey % 9 = 2 THEN split_part(p_name, ' ', 2) WHEN l_suppkey % 9 = 3 THEN 'x' {cat} replace(p_name, ' ', '-y ')
+       WHEN l_suppkey % 9 = 4 THEN split_part(p_name, ' ', 1) ELSE upper(p_name) END {cat}
+  CASE WHEN l_linenumber = 5 THEN ' venda gpu' WHEN l_linenumber = 4 THEN '!!' {cat} p_type ELSE '' END
+"""
+PART_TEXT = """
+  CASE WHEN l_suppkey % 11 = 0 THEN 'broken' WHEN l_suppkey % 11 = 1 THEN 'with warranty, used 3 years'
+       WHEN l_suppkey % 11 = 2 THEN 'warranty' ELSE '' END
+"""
+
+
+def part_listings(spark, sf):
+    items = read(spark, sf, "lineitem").filter("l_returnflag <> 'R'")
+    return items.join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS listing_id", "'parts' AS category",
+        f"{PART_TITLE.format(cat='||')} AS title", f"{PART_TEXT} AS description",
+        "CAST(floor(l_extendedprice) AS BIGINT) AS price_cents", "CAST(l_shipdate AS TIMESTAMP) AS last_seen",
+    )
+
+
+PART_SQL = f"""
+nm AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part),
+rule AS (
+  SELECT adj || '_' || noun AS product_id, [adj, noun] AS al, []::VARCHAR[] AS any_of,
+    CASE WHEN adj = 'new' THEN ['promo'] ELSE [] END AS none_of, [adj || ' ' || noun, noun || adj] AS aliases FROM nm WHERE adj <> 'old'
+  UNION ALL
+  SELECT DISTINCT 'base_' || noun, CASE WHEN noun LIKE '%g' THEN [] ELSE [noun] END,
+    CASE WHEN noun LIKE '%g' THEN [noun, noun || ' set'] ELSE [] END, ['red'], ['vintage ' || noun] FROM nm),
+prod AS (SELECT *, row_number() OVER (ORDER BY product_id) - 1 AS pos FROM rule),
+ad AS (
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS listing_id,
+    {PART_TITLE.format(cat='||')} AS title, {PART_TEXT} AS description, CAST(floor(l_extendedprice) AS BIGINT) AS price_cents,
+    l_shipdate AS last_seen
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R'),
+y AS (SELECT *, {NORM.format('title')} AS norm, {NORM.format("title || ' ' || description")} AS hay FROM ad),
+z AS (
+  SELECT *, CASE WHEN regexp_matches(norm, '^want') THEN 'wanted_ad' WHEN regexp_matches(hay, 'broken|for parts') THEN 'faulty' END AS excluded_by,
+    regexp_matches(hay, 'warranty') AS w, regexp_matches(hay, '\\bused \\d+ years') AS u FROM y),
+titles AS (SELECT DISTINCT norm FROM z WHERE excluded_by IS NULL),
+hit AS (
+  SELECT norm, product_id, 10 * len(al) + len(any_of) AS spec, pos FROM titles, prod
+  WHERE len(list_filter(al, lambda n: NOT contains(' ' || norm || ' ', ' ' || n || ' '))) = 0
+    AND (len(any_of) = 0 OR len(list_filter(any_of, lambda n: contains(' ' || norm || ' ', ' ' || n || ' '))) > 0)
+    AND len(list_filter(none_of, lambda n: contains(' ' || norm || ' ', ' ' || n || ' '))) = 0),
+win AS (SELECT norm, arg_max(product_id, (spec, -pos)) AS rule_product, max(spec) AS spec FROM hit GROUP BY norm)
+"""
+
+# Similarity by its definition: every unmatched title against every alias, the
+# longest common subsequence by the textbook table, row after row.
+FUZZY_SQL = """
+al0 AS (SELECT pos, product_id, none_of, unnest(aliases) AS raw, unnest(range(len(aliases))) AS nth FROM prod),
+al1 AS (SELECT raw AS alias, min((pos, nth)) AS first, arg_max(product_id, (pos, nth)) AS product_id, arg_max(none_of, (pos, nth)) AS none_of FROM al0 GROUP BY raw),
+un AS (SELECT norm, list_sort(list_distinct(list_filter(string_split(norm, ' '), lambda v: v <> '' AND v NOT IN ({noise})))) AS tw
+  FROM titles WHERE norm <> '' AND norm NOT IN (SELECT norm FROM win)),
+pr AS (SELECT norm, alias, first, product_id, none_of, tw, list_sort(list_distinct(string_split(alias, ' '))) AS aw FROM un, al1 WHERE len(tw) > 0),
+sp AS (SELECT *, array_to_string(list_filter(tw, lambda v: list_contains(aw, v)), ' ') AS i,
+  array_to_string(list_filter(tw, lambda v: NOT list_contains(aw, v)), ' ') AS a,
+  array_to_string(list_filter(aw, lambda v: NOT list_contains(tw, v)), ' ') AS b FROM pr),
+st AS (SELECT DISTINCT a, b FROM sp WHERE a <> '' AND b <> ''),
+lc AS (
+  SELECT a, b, list_reduce(
+      list_transform(string_split(a, ''), lambda c: list_transform(string_split(b, ''), lambda d: CASE WHEN c = d THEN 1 ELSE 0 END)),
+      lambda p, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+        lambda k: greatest(p[k], m[k] + CASE WHEN k > 1 THEN p[k - 1] ELSE 0 END)))),
+      list_transform(string_split(b, ''), lambda d: 0)) AS row FROM st),
+sc AS (
+  SELECT sp.*, length(i) AS ni, CASE WHEN i <> '' THEN 1 ELSE 0 END AS g, length(sp.a) AS na, length(sp.b) AS nb,
+    length(sp.a) + length(sp.b) - 2 * coalesce(row[len(row)], 0) AS dist FROM sp LEFT JOIN lc ON sp.a = lc.a AND sp.b = lc.b),
+fs AS (
+  SELECT *, CASE WHEN i <> '' AND (na = 0 OR nb = 0) THEN 100e0 ELSE greatest(100 - 100e0 * dist / (2 * (ni + g) + na + nb),
+    CASE WHEN i <> '' THEN 100 - 100e0 * (g + na) / (2 * ni + g + na) ELSE 0e0 END,
+    CASE WHEN i <> '' THEN 100 - 100e0 * (g + nb) / (2 * ni + g + nb) ELSE 0e0 END) END AS score FROM sc),
+bf AS (SELECT norm, arg_max(product_id, (score, -first[1], -first[2])) AS fuzzy_product, max(score) AS fuzzy_score,
+  arg_max(none_of, (score, -first[1], -first[2])) AS none_of FROM fs WHERE score >= 88 GROUP BY norm),
+fz AS (SELECT norm, fuzzy_product, fuzzy_score FROM bf WHERE len(list_filter(none_of, lambda n: contains(' ' || norm || ' ', ' ' || n || ' '))) = 0)
+""".replace("{noise}", ", ".join(f"'{w}'" for w in text.NOISE_WORDS))
+
+RESULT_SQL = """
+res AS (
+  SELECT listing_id, norm, title, last_seen, excluded_by, rule_product, spec, fuzzy_product, fuzzy_score, price_cents,
+    CASE WHEN excluded_by IS NOT NULL THEN 'excluded' WHEN rule_product IS NOT NULL THEN 'rule' WHEN fuzzy_product IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS match_kind,
+    CASE WHEN excluded_by IS NULL THEN coalesce(rule_product, fuzzy_product) END AS product_id,
+    CASE WHEN excluded_by IS NULL AND coalesce(rule_product, fuzzy_product) IS NOT NULL
+      THEN CASE WHEN w THEN -8e0 ELSE 0e0 END + CASE WHEN u THEN 10e0 ELSE 0e0 END ELSE 0e0 END AS adjust_pct
+  FROM z LEFT JOIN win USING (norm) LEFT JOIN fz USING (norm))
+"""
+
+
+def ruled(spark, sf):
+    catalog = part_catalog(spark, sf)
+    titles = cls.read_titles(part_listings(spark, sf), catalog).repartition("listing_id")
+    labels = catalog.products.select(F.col("pos").alias("rule_pos"), F.col("product_id").alias("rule_product"))
+    return cls.best_rule(titles, catalog.products).join(labels, "rule_pos", "left")
+
+
+@check(
+    "cls_2_rule_predicate",
+    with_ctes(PART_SQL, select=" SELECT DISTINCT norm AS normalized_title, product_id FROM hit"),
+)
+def cls_2(spark, sf):
+    catalog = part_catalog(spark, sf)
+    titles = cls.read_titles(part_listings(spark, sf), catalog).filter("excluded_by is null").select("normalized_title").distinct()
+    anchored = cls.rule_anchors(catalog.products).join(catalog.products.select("pos", "product_id"), "pos")
+    words = titles.withColumn("word", F.explode(text.tokens(F.col("normalized_title"))))
+    holds = text.rule_holds(text.padded(F.col("normalized_title")), F.col("all"), F.col("any_of"), F.col("none_of"))
+    return words.join(anchored, F.col("word") == F.col("anchor")).filter(holds).select("normalized_title", "product_id").distinct()
+
+
+@check(
+    "cls_3_most_specific_winner",
+    with_ctes(PART_SQL, select="""
+SELECT listing_id, CASE WHEN excluded_by IS NULL THEN rule_product END AS rule_product, CASE WHEN excluded_by IS NULL THEN spec END AS specificity
+FROM z LEFT JOIN win USING (norm)"""),
+)
+def cls_3(spark, sf):
+    return ruled(spark, sf).select("listing_id", "rule_product", "specificity")
+
+
+@check(
+    "cls_4_5_6_fuzzy_fallback",
+    with_ctes(PART_SQL, FUZZY_SQL, select=" SELECT norm AS normalized_title, fuzzy_product, round(fuzzy_score, 6) AS fuzzy_score FROM fz"),
+)
+def cls_4(spark, sf):
+    residue = ruled(spark, sf).filter("excluded_by is null and rule_product is null and normalized_title <> ''")
+    return cls.fuzzy_match(residue, part_catalog(spark, sf).products).select(
+        "normalized_title", "fuzzy_product", (F.rint(F.col("fuzzy_score") * 1e6) / 1e6).alias("fuzzy_score")
+    )
+
+
+@check(
+    "cls_classify",
+    with_ctes(PART_SQL, FUZZY_SQL, RESULT_SQL, select="""
+SELECT listing_id, match_kind, product_id, excluded_by, adjust_pct,
+  CAST(round_even(price_cents * (1 + adjust_pct / 1e2), 0) AS BIGINT) AS adjusted_cents FROM res"""),
+)
+def cls_all(spark, sf):
+    return cls.classify(part_listings(spark, sf), part_catalog(spark, sf)).select(
+        "listing_id", "match_kind", "product_id", "excluded_by", "adjust_pct", "adjusted_cents"
+    )
+
+
+# Half of the ads have an up-to-date result, some a stale one, the rest none.
+@check(
+    "cls_9_incremental_reclassify",
+    with_ctes(PART_SQL, FUZZY_SQL, RESULT_SQL, select="""
+, todo AS (SELECT * FROM res WHERE price_cents % 4 = 0 OR price_cents % 4 = 1 AND last_seen > TIMESTAMP '1998-06-01' OR price_cents % 4 = 2),
+k(match_kind) AS (VALUES ('rule'), ('fuzzy'), ('none'), ('excluded'))
+SELECT k.match_kind, count(todo.listing_id) AS n FROM k LEFT JOIN todo USING (match_kind) GROUP BY ALL"""),
+)
+def cls_9(spark, sf):
+    listings, catalog = part_listings(spark, sf), part_catalog(spark, sf)
+    known = listings.filter("price_cents % 4 <> 0").selectExpr(
+        "listing_id", "category", "CAST(NULL AS STRING) AS product_id", "'none' AS match_kind", "0D AS match_score",
+        "CAST(NULL AS STRING) AS excluded_by", "CAST(array() AS ARRAY<STRING>) AS modifiers", "0D AS adjust_pct",
+        "price_cents AS adjusted_cents", "'' AS normalized_title",
+        "IF(price_cents % 4 = 2, 'v0', 'v1') AS catalog_version",
+        "IF(price_cents % 4 = 1, TIMESTAMP '1998-06-01', TIMESTAMP '2030-01-01') AS updated_at",
+    )
+    fresh, _ = cls.reclassify(listings, known, catalog, F.lit("2030-01-02").cast("timestamp"))
+    return cls.kind_counts(fresh)
+
+
+QUEUE_SQL = """
+q AS (SELECT left(sha1(norm), 16) AS title_hash, arg_min(left(title, 300), (listing_id)) AS sample_title, count(*) AS occurrences
+  FROM res WHERE match_kind = 'none' AND norm <> '' GROUP BY norm)
+"""
+NOW = "2001-01-01"
+
+
+def queue(spark, sf):
+    listings = part_listings(spark, sf)
+    results = cls.classify(listings, part_catalog(spark, sf))
+    return cls.unmatched_titles(results, listings, F.lit(NOW).cast("timestamp"))
+
+
+UNMATCHED = (PART_SQL, FUZZY_SQL, RESULT_SQL, QUEUE_SQL)
+
+
+@check("cls_10_unmatched_titles", with_ctes(*UNMATCHED, select=" SELECT title_hash, sample_title, occurrences FROM q"))
+def cls_10(spark, sf):
+    return queue(spark, sf).select("title_hash", "sample_title", "occurrences")
+
+
+@check(
+    "cls_11_dismiss_unmatched",
+    with_ctes(*UNMATCHED, select=" SELECT title_hash, occurrences % 2 = 0 AS resolved FROM q"),
+)
+def cls_11(spark, sf):
+    titles = queue(spark, sf)
+    return cls.dismiss(titles, titles.filter("occurrences % 2 = 0")).select("title_hash", "resolved")
+
+
+# The dry run scans all titles here; the newest 4000 are the default of the operator.
+@check(
+    "qlt_6_rule_preview",
+    with_ctes(PART_SQL, FUZZY_SQL, RESULT_SQL, select="""
+SELECT listing_id, left(title, 90) AS title, price_cents / 1e2 AS price_eur, product_id AS current,
+  coalesce(product_id <> 'base_ring', false) AS steals
+FROM res WHERE match_kind <> 'excluded' AND norm <> '' AND contains(' ' || norm || ' ', ' ring ')
+  AND (contains(' ' || norm || ' ', ' small ') OR contains(' ' || norm || ' ', ' old ')) AND NOT contains(' ' || norm || ' ', ' gpu ')"""),
+)
+def qlt_6(spark, sf):
+    listings = part_listings(spark, sf)
+    results = cls.classify(listings, part_catalog(spark, sf)).withColumn("updated_at", F.lit(NOW).cast("timestamp"))
+    _, matches = quality.preview_rule(
+        results, listings, ["Ring"], ["SMALL", "old"], ["gpu"], product_id="base_ring", scan_limit=None
+    )
+    return matches.drop("updated_at")
+
+
+@check(
+    "qlt_6_rule_preview_summary",
+    with_ctes(PART_SQL, FUZZY_SQL, RESULT_SQL, select="""
+, sc0 AS (SELECT *, contains(' ' || norm || ' ', ' ring ') AS m FROM res WHERE match_kind <> 'excluded' AND norm <> '')
+SELECT count(*) AS scanned, count(*) FILTER (WHERE m) AS matched,
+  least(10, count(*) FILTER (WHERE m AND coalesce(product_id <> 'base_ring', false))) AS steal_count FROM sc0"""),
+)
+def qlt_6_summary(spark, sf):
+    listings = part_listings(spark, sf)
+    results = cls.classify(listings, part_catalog(spark, sf)).withColumn("updated_at", F.lit(NOW).cast("timestamp"))
+    scanned, matches = quality.preview_rule(results, listings, ["ring"], [], [], "base_ring", scan_limit=None)
+    return quality.preview_summary(scanned, matches)
+
