@@ -79,6 +79,12 @@ def cls_8(spark, sf):
 # Part ads: the catalog is read off the part names, the ads off parts and order lines.
 
 
+def place(adj: str, noun: str) -> str:
+    """Catalog position from the first two letters of both words, the same in both engines."""
+    letters = [f"(ascii(substr({word}, {i}, 1)) - 97)" for word in (adj, noun) for i in (1, 2)]
+    return f"((({letters[0]} * 26 + {letters[1]}) * 26 + {letters[2]}) * 26 + {letters[3]})"
+
+
 def part_catalog(spark, sf):
     """Nouns as base products and adjective-noun pairs as variants; 'red' bases are banned.
 
@@ -89,24 +95,21 @@ def part_catalog(spark, sf):
     ).distinct()
     empty = "CAST(array() AS ARRAY<STRING>)"
     pairs = names.filter("adj <> 'old'").selectExpr(
-        "concat(adj, '_', noun) AS product_id", "array(adj, noun) AS `all`", f"{empty} AS any_of",
-        "IF(adj = 'new', array('promo'), " + empty + ") AS none_of",
+        f"{place('adj', 'noun')} AS pos", "concat(adj, '_', noun) AS product_id", "array(adj, noun) AS `all`",
+        f"{empty} AS any_of", "IF(adj = 'new', array('promo'), " + empty + ") AS none_of",
         "array(concat(adj, ' ', noun), concat(noun, adj)) AS aliases",
     )
     bases = names.select("noun").distinct().selectExpr(
-        "concat('base_', noun) AS product_id",
+        f"{place(chr(39) + 'aa' + chr(39), 'noun')} AS pos", "concat('base_', noun) AS product_id",
         f"IF(noun LIKE '%g', {empty}, array(noun)) AS `all`",
         f"IF(noun LIKE '%g', array(noun, concat(noun, ' set')), {empty}) AS any_of",
         "array('red') AS none_of", "array(concat('vintage ', noun)) AS aliases",
     )
-    rows = pairs.unionByName(bases)
-    # Catalog order is alphabetical.
-    ids = rows.agg(F.array_sort(F.collect_set("product_id")).alias("ids"))  # at most nouns * (adjectives + 1)
-    numbered = ids.select(F.posexplode("ids").alias("pos", "product_id"))
     return Catalog(
         category="parts",
-        products=rows.join(numbered, "product_id").selectExpr(
-            "'parts' AS category", "pos", "product_id", "product_id AS label", "`all`", "any_of", "none_of", "aliases"
+        products=pairs.unionByName(bases).selectExpr(
+            "'parts' AS category", "CAST(pos AS INT) AS pos", "product_id", "product_id AS label", "`all`", "any_of",
+            "none_of", "aliases",
         ),
         modifiers=[
             Modifier("wanted_ad", (r"^want",), exclude=True),
@@ -143,12 +146,12 @@ def part_listings(spark, sf):
 PART_SQL = f"""
 nm AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part),
 rule AS (
-  SELECT adj || '_' || noun AS product_id, [adj, noun] AS al, []::VARCHAR[] AS any_of,
+  SELECT {place('adj', 'noun')} AS pos, adj || '_' || noun AS product_id, [adj, noun] AS al, []::VARCHAR[] AS any_of,
     CASE WHEN adj = 'new' THEN ['promo'] ELSE [] END AS none_of, [adj || ' ' || noun, noun || adj] AS aliases FROM nm WHERE adj <> 'old'
   UNION ALL
-  SELECT DISTINCT 'base_' || noun, CASE WHEN noun LIKE '%g' THEN [] ELSE [noun] END,
+  SELECT DISTINCT {place("'aa'", 'noun')}, 'base_' || noun, CASE WHEN noun LIKE '%g' THEN [] ELSE [noun] END,
     CASE WHEN noun LIKE '%g' THEN [noun, noun || ' set'] ELSE [] END, ['red'], ['vintage ' || noun] FROM nm),
-prod AS (SELECT *, row_number() OVER (ORDER BY product_id) - 1 AS pos FROM rule),
+prod AS (SELECT * FROM rule),
 ad AS (
   SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS listing_id,
     {PART_TITLE.format(cat='||')} AS title, {PART_TEXT} AS description, CAST(floor(l_extendedprice) AS BIGINT) AS price_cents,

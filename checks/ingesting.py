@@ -13,9 +13,9 @@ EVENTS_AS_OF = "2024-01-31"
 EVENT_PARAMS = Params(cycle_minutes=45)
 
 
-def event_sightings(spark, sf):
+def event_sightings(spark, sf, events=None):
     """Every event is a sighting of its user's listing; some lack a price or a description."""
-    return read(spark, sf, "events").selectExpr(
+    return (read(spark, sf, "events") if events is None else events).selectExpr(
         "'stream' AS site",
         "CAST(user_id AS STRING) AS site_listing_id",
         "concat('cat', user_id % 3) AS category",

@@ -32,12 +32,13 @@ def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_common_subsequence(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def token_set_ratio(left: Column, right: Column) -> Column:
-    """0..100 from the sorted, distinct word arrays ``left`` and ``right``.
+def token_set_ratio(left: Column, right: Column, cutoff: float = 0.0) -> Column:
+    """0..100 from the sorted, distinct word arrays ``left`` and ``right``; exact from ``cutoff`` up.
 
     Word sets where one contains the other score 100 once they share a word;
     otherwise the best normalised insert/delete similarity among
     (shared+left, shared+right), (shared, shared+left) and (shared, shared+right).
+    Lengths too far apart to reach ``cutoff`` spare the comparison of the strings.
     """
     shared = F.array_intersect(left, right)
     only_left = F.array_join(F.array_except(left, right), " ")
@@ -46,7 +47,12 @@ def token_set_ratio(left: Column, right: Column) -> Column:
     gap = F.when(n_shared > 0, 1).otherwise(0)
     n_left, n_right = F.length(only_left), F.length(only_right)
     total = 2 * (n_shared + gap) + n_left + n_right
-    distance = n_left + n_right - 2 * common_subsequence(only_left, only_right)
+    nothing = F.lit("")
+    close = 100 - 100.0 * F.abs(n_left - n_right) / total >= cutoff
+    common = common_subsequence(
+        F.when(close, only_left).otherwise(nothing), F.when(close, only_right).otherwise(nothing)
+    )
+    distance = n_left + n_right - 2 * common
 
     def similarity(dist: Column, length: Column) -> Column:
         return 100 - 100.0 * dist / length

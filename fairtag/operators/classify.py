@@ -185,7 +185,10 @@ def alias_keys(aliases: DataFrame, cutoff: int) -> DataFrame:
 
 
 def title_keys(titles: DataFrame, cutoff: int) -> DataFrame:
-    """Needs the columns ``longest_mate`` and ``longest_piece`` of the alias side."""
+    """Needs the columns ``longest_mate`` and ``longest_piece`` of the alias side.
+
+    A title longer than the longest mate of any alias can only contain an alias.
+    """
     longest_mate, longest_piece = F.col("longest_mate"), F.col("longest_piece")
     words, joined = F.col("title_words"), F.col("title_sorted")
     width = F.length(joined)
@@ -202,7 +205,7 @@ def title_keys(titles: DataFrame, cutoff: int) -> DataFrame:
     )
     keys = F.concat(
         F.transform(words, lambda w: _key("whole", w)),
-        F.transform(_signature(words, cutoff), lambda w: _key("part", w)),
+        F.when(similar_length, F.transform(_signature(words, cutoff), lambda w: _key("part", w))).otherwise(none),
         F.when(similar_length, F.transform(words, lambda w: _key("like", w, width))).otherwise(none),
         F.when(similar_length, substrings).otherwise(none),
     )
@@ -278,14 +281,16 @@ def fuzzy_match(titles: DataFrame, products: DataFrame, params: Params = Params(
     scored = (
         pairs.join(aliases, "alias")
         .withColumn("title_words", _words_of(text.denoise(F.col("normalized_title"))))
-        .withColumn("score", token_set_ratio(F.col("title_words"), F.col("alias_words")))
-        .filter(F.col("score") >= cutoff)
+        .withColumn("score", token_set_ratio(F.col("title_words"), F.col("alias_words"), cutoff))
     )
+    # The cutoff applies to the best score; applied to each pair it would be
+    # pushed down and score every pair twice.
     best = scored.groupBy("normalized_title").agg(
         F.max(F.struct("score", (-F.col("alias_pos")).alias("order"), "product_id", "none_of")).alias("top")
     )
     return best.filter(
-        ~text.has_any(text.padded(F.col("normalized_title")), F.col("top.none_of"))
+        (F.col("top.score") >= cutoff)
+        & ~text.has_any(text.padded(F.col("normalized_title")), F.col("top.none_of"))
     ).select(
         "normalized_title",
         F.col("top.product_id").alias("fuzzy_product"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +41,23 @@ def local_session(app: str, cpus: str | int = "*", partitions: int = 8) -> Spark
     return tuned(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a local one only where the session names none, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="fairtag-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder in the shared one, for stream state and intermediate tables."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so lost executors cost no recompute."""
+    """Materialise ``df`` in the shared folder, so a lost executor costs no recompute."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fairtag-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
