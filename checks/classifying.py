@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import check
-from checks.tables import read, with_ctes
+from checks.tables import read, spread, with_ctes
 from checks.texts import NORM
 from fairtag.functions import text
 from fairtag.operators import classify as cls
@@ -24,7 +24,7 @@ MODIFIERS = [
 
 def document_listings(spark, sf):
     """First line as the title, the whole text as the description."""
-    return read(spark, sf, "documents").selectExpr(
+    return spread(read(spark, sf, "documents")).selectExpr(
         "CAST(doc_id AS STRING) AS listing_id", "split(text, '\n')[0] AS title", "text AS description",
         "n_chars AS price_cents",
     )
@@ -135,7 +135,7 @@ PART_TEXT = """
 
 
 def part_listings(spark, sf):
-    items = read(spark, sf, "lineitem").filter("l_returnflag <> 'R'")
+    items = spread(read(spark, sf, "lineitem")).filter("l_returnflag <> 'R'")
     return items.join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS listing_id", "'parts' AS category",
         f"{PART_TITLE.format(cat='||')} AS title", f"{PART_TEXT} AS description",
@@ -246,7 +246,7 @@ def cls_3(spark, sf):
     with_ctes(PART_SQL, FUZZY_SQL, select=" SELECT norm AS normalized_title, fuzzy_product, round(fuzzy_score, 6) AS fuzzy_score FROM fz"),
 )
 def cls_4(spark, sf):
-    residue = ruled(spark, sf).filter("excluded_by is null and rule_product is null and normalized_title <> ''")
+    residue = ruled(spark, sf).filter("open")
     return cls.fuzzy_match(residue, part_catalog(spark, sf).products).select(
         "normalized_title", "fuzzy_product", (F.rint(F.col("fuzzy_score") * 1e6) / 1e6).alias("fuzzy_score")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import check
 from checks.classifying import PART_SQL, part_catalog
-from checks.tables import micros, read, with_ctes
+from checks.tables import micros, read, spread, with_ctes
 from checks.texts import NORM
 from fairtag.operators import retail
 from fairtag.sources import jsonld, offers
@@ -15,13 +15,13 @@ from fairtag.sources import jsonld, offers
 
 
 def payloads(spark, sf):
-    items = read(spark, sf, "lineitem").withColumn("sid", F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"))
+    items = spread(read(spark, sf, "lineitem")).withColumn("sid", F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"))
     payload = F.expr("""
         to_json(named_struct(
           'id', IF(l_quantity = 13, NULL, sid),
           'url', IF(l_suppkey % 3 = 0, NULL, concat('https://ads.example/', sid)),
           'title', IF(l_quantity = 14, '  ', concat('  Part ', l_partkey, ' ')),
-          'description', concat(' ', repeat(l_returnflag, CAST(l_quantity * 200 AS INT)), ' '),
+          'description', concat(' ', repeat(l_returnflag, IF(l_quantity = 50, 8100, l_linenumber)), ' '),
           'business', l_linenumber = 7,
           'params', array(
             named_struct('key', 'state', 'value', named_struct('value', 'used', 'currency', NULL)),
@@ -58,7 +58,7 @@ i AS (
     "src_1_offer_parse",
     with_ctes(ADS_SQL, select="""
 SELECT sid AS site_listing_id, CASE WHEN l_suppkey % 3 = 0 THEN 'https://ads.example/ad/' ELSE 'https://ads.example/' END || sid AS url,
-  'Part ' || l_partkey AS title, least(8000, CAST(l_quantity * 200 AS INT)) AS description_length,
+  'Part ' || l_partkey AS title, CASE WHEN l_quantity = 50 THEN 8000 ELSE l_linenumber END AS description_length,
   CAST(l_suppkey AS VARCHAR) AS seller_id, l_returnflag = 'R' OR l_linenumber = 7 AS seller_is_pro, l_linenumber AS photo_count FROM i"""),
 )
 def src_1(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import check
-from checks.tables import read
+from checks.tables import read, spread
 from fairtag.functions import text
 
 # The same steps without lookarounds: a split never needs the letter the one before consumed.
@@ -18,7 +18,7 @@ RAW = "text || ' RTX' || (doc_id % 9000) || 'Ti ' || (doc_id % 64) || ' GB, ' ||
 
 
 def raw_texts(spark, sf):
-    return read(spark, sf, "documents").selectExpr(
+    return spread(read(spark, sf, "documents")).selectExpr(
         "doc_id", "text",
         "concat(text, ' RTX', doc_id % 9000, 'Ti ', doc_id % 64, ' GB, ', doc_id % 2000, 'p usada') AS raw",
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fairtag.functions import text
 from fairtag.functions.numeric import clamp, round_cents
+from fairtag.functions.once import computed_once
 from fairtag.functions.similarity import token_set_ratio
 from fairtag.params import Params
 from fairtag.sources.catalog import Catalog, Modifier
@@ -76,7 +77,8 @@ def rule_anchors(products: DataFrame) -> DataFrame:
 
 
 def best_rule(titles: DataFrame, products: DataFrame) -> DataFrame:
-    """Adds ``rule_pos`` and ``specificity`` of the most specific matching rule, null if none.
+    """Adds ``rule_pos`` and ``specificity`` of the most specific matching rule, null if none,
+    and ``open``: neither excluded nor matched nor blank, so due for the fuzzy pass.
 
     ``titles`` has one row per ``listing_id`` and is hash-partitioned by it, so
     regrouping the exploded words needs no second shuffle. An empty word keeps
@@ -103,12 +105,22 @@ def best_rule(titles: DataFrame, products: DataFrame) -> DataFrame:
         .filter((F.col("word") == "") | holds)
         .withColumn("rank", F.when(F.col("word") != "", rank))
         .groupBy(*titles.columns)
-        .agg(F.max("rank").alias("rank"))
+        # ``open`` is an aggregate so that filters on it stay above the shuffle,
+        # which the fuzzy pass then reuses instead of reading the texts again.
+        .agg(
+            F.max("rank").alias("rank"),
+            F.bool_or(
+                F.col("excluded_by").isNull() & (F.col("normalized_title") != "") & (F.col("word") == "")
+            ).alias("candidate"),
+        )
     )
     specificity = F.shiftright(F.col("rank") + F.lit(2**31), 32)
-    return best.withColumn("specificity", specificity).withColumn(
-        "rule_pos", (F.shiftleft(specificity, 32) - F.col("rank")).cast("int")
-    ).drop("rank")
+    return best.select(
+        *titles.columns,
+        specificity.alias("specificity"),
+        (F.shiftleft(specificity, 32) - F.col("rank")).cast("int").alias("rule_pos"),
+        (F.col("candidate") & F.col("rank").isNull()).alias("open"),
+    )
 
 
 # Fuzzy fallback: lossless blocking, then exact scoring of the candidate pairs.
@@ -308,7 +320,9 @@ def read_titles(listings: DataFrame, catalog: Catalog) -> DataFrame:
         F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
     )
     return (
-        listings.select("listing_id", "price_cents", title.alias("normalized_title"), haystack.alias("haystack"))
+        computed_once(
+            listings, ["listing_id", "price_cents"], normalized_title=title, haystack=haystack
+        )
         .withColumn("excluded_by", excluded_by(F.col("normalized_title"), F.col("haystack"), catalog.modifiers))
         .withColumn("found", adjusters_found(F.col("haystack"), catalog.modifiers))
         .drop("haystack")
@@ -321,12 +335,10 @@ def classify(
     """One classification row per listing; pure function of listing text and catalog."""
     read = read_titles(listings, catalog).repartition("listing_id")
     ruled = best_rule(read, catalog.products)
+    residue = ruled.filter("open").select("normalized_title")
     rules = catalog.products.select(F.col("pos").alias("rule_pos"), F.col("product_id").alias("rule_product"))
     ruled = ruled.join(rules, "rule_pos", "left")
     if fuzzy:
-        residue = ruled.filter(
-            "excluded_by is null and rule_product is null and normalized_title <> ''"
-        ).select("normalized_title")
         ruled = ruled.join(fuzzy_match(residue, catalog.products, params), "normalized_title", "left")
     else:
         ruled = ruled.withColumn("fuzzy_product", F.lit(None).cast("string")).withColumn(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtag import schemas
+from fairtag.functions.once import computed_once
 
 MAX_DESCRIPTION = 8000
 # Prices of one currency unit or less stand for free and swap-only ads.
@@ -49,7 +50,7 @@ def parse_offers(payloads: DataFrame, site: str, url_prefix: str) -> DataFrame:
     cents, currency = price_param(offer["params"])
     yes = F.coalesce(offer["user"]["is_business"], F.lit(False)) | F.coalesce(offer["business"], F.lit(False))
     return (
-        payloads.withColumn("offer", F.from_json("payload", PAYLOAD_SCHEMA))
+        computed_once(payloads, ["payload", "category", "batch_ts", "batch_pos"], offer=F.from_json("payload", PAYLOAD_SCHEMA))
         .filter(offer["id"].isNotNull())
         .select(
             F.lit(site).alias("site"),
