@@ -335,15 +335,19 @@ def classify(
     """One classification row per listing; pure function of listing text and catalog."""
     read = read_titles(listings, catalog).repartition("listing_id")
     ruled = best_rule(read, catalog.products)
-    residue = ruled.filter("open").select("normalized_title")
     rules = catalog.products.select(F.col("pos").alias("rule_pos"), F.col("product_id").alias("rule_product"))
-    ruled = ruled.join(rules, "rule_pos", "left")
+    unmatched = {"fuzzy_product": F.lit(None).cast("string"), "fuzzy_score": F.lit(None).cast("double")}
     if fuzzy:
-        ruled = ruled.join(fuzzy_match(residue, catalog.products, params), "normalized_title", "left")
-    else:
-        ruled = ruled.withColumn("fuzzy_product", F.lit(None).cast("string")).withColumn(
-            "fuzzy_score", F.lit(None).cast("double")
+        # Only titles left open are shuffled by title; all parts read the same shuffled texts.
+        open_ = ruled.filter("open")
+        found = fuzzy_match(open_, catalog.products, params)
+        ruled = (
+            ruled.filter(~F.col("open")).withColumns(unmatched)
+            .unionByName(open_.join(found, "normalized_title", "left"))
         )
+    else:
+        ruled = ruled.withColumns(unmatched)
+    ruled = ruled.join(rules, "rule_pos", "left")
     kind = (
         F.when(F.col("excluded_by").isNotNull(), "excluded")
         .when(F.col("rule_product").isNotNull(), "rule")
