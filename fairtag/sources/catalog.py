@@ -97,10 +97,15 @@ def content_version(*tables: DataFrame) -> DataFrame:
 def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows of the good files, one error row per bad file); a bad line spoils its whole file only."""
     raw = (
-        spark.read.schema(f"{schema}, _corrupt string")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-        .withColumn("file", F.col("_metadata.file_path"))
+        spark.read.text(path)
+        .filter("trim(value) <> ''")
+        .select(
+            F.from_json(
+                "value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}
+            ).alias("row"),
+            F.col("_metadata.file_path").alias("file"),
+        )
+        .select("row.*", "file")
     )
     errors = (
         raw.filter(F.col("_corrupt").isNotNull())
