@@ -13,5 +13,5 @@ def computed_once(df: DataFrame, keep: list[str], **columns: Column) -> DataFram
     expression a second time. They stop at a generator, so the values come out
     of a one-element array.
     """
-    made = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
-    return df.select(*keep, F.inline(made))
+    made = F.struct(*keep, *[c.alias(name) for name, c in columns.items()])
+    return df.select(F.inline(F.array(made)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairtag.functions import text
+from fairtag.functions.ordered import with_previous
 from fairtag.operators.market import PRODUCT
 
 
@@ -82,16 +83,22 @@ def variant_swallowing(products: DataFrame) -> DataFrame:
 
 
 def duplicate_ids(products: DataFrame) -> DataFrame:
-    """Every repeat of a product id, naming the position before it."""
-    same = Window.partitionBy(*PRODUCT).orderBy("pos")
+    """Every repeat of a product id, naming the position before it.
+
+    Positions are looked through in stretches, so an id used everywhere is not
+    gathered in one task.
+    """
     message = F.concat(
         F.lit("Duplicate product id '"), F.col("product_id"), F.lit("' (also at products["),
         F.col("earlier").cast("string"), F.lit("])."),
     )
+    placed = products.filter(_has_id()).select(
+        *PRODUCT, "pos", F.floor(F.col("pos") / 65536).alias("_stretch")
+    )
     return (
-        products.filter(_has_id())
-        .withColumn("earlier", F.lag("pos").over(same))
-        .filter("earlier is not null")
+        with_previous(placed, PRODUCT, "_stretch", ["pos"], ["pos"], "_before")
+        .filter("_before is not null")
+        .withColumn("earlier", F.col("_before.pos"))
         .select(*PRODUCT, *_finding("error", message, _place("products", "product_id")))
     )
 
