@@ -43,5 +43,5 @@ def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from checks import (  # noqa: F401
-        alerting, catalogs, classifying, ingesting, markets, payloads, reporting, streams, texts,
+        alerting, catalogs, classifying, cycles, ingesting, markets, payloads, reporting, streams, texts,
     )

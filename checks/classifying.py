@@ -143,7 +143,7 @@ def part_listings(spark, sf):
     )
 
 
-PART_SQL = f"""
+RULES_SQL = f"""
 nm AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part),
 rule AS (
   SELECT {place('adj', 'noun')} AS pos, adj || '_' || noun AS product_id, [adj, noun] AS al, []::VARCHAR[] AS any_of,
@@ -151,12 +151,16 @@ rule AS (
   UNION ALL
   SELECT DISTINCT {place("'aa'", 'noun')}, 'base_' || noun, CASE WHEN noun LIKE '%g' THEN [] ELSE [noun] END,
     CASE WHEN noun LIKE '%g' THEN [noun, noun || ' set'] ELSE [] END, ['red'], ['vintage ' || noun] FROM nm),
-prod AS (SELECT * FROM rule),
+prod AS (SELECT * FROM rule)
+"""
+ADS_SQL = f"""
 ad AS (
   SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS listing_id,
     {PART_TITLE.format(cat='||')} AS title, {PART_TEXT} AS description, CAST(floor(l_extendedprice) AS BIGINT) AS price_cents,
     l_shipdate AS last_seen
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R'),
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R')
+"""
+MATCH_SQL = f"""
 y AS (SELECT *, {NORM.format('title')} AS norm, {NORM.format("title || ' ' || description")} AS hay FROM ad),
 z AS (
   SELECT *, CASE WHEN regexp_matches(norm, '^want') THEN 'wanted_ad' WHEN regexp_matches(hay, 'broken|for parts') THEN 'faulty' END AS excluded_by,
@@ -169,6 +173,7 @@ hit AS (
     AND len(list_filter(none_of, lambda n: contains(' ' || norm || ' ', ' ' || n || ' '))) = 0),
 win AS (SELECT norm, arg_max(product_id, (spec, -pos)) AS rule_product, max(spec) AS spec FROM hit GROUP BY norm)
 """
+PART_SQL = ",\n".join(part.strip() for part in (RULES_SQL, ADS_SQL, MATCH_SQL))
 
 # Similarity by its definition: every unmatched title against every alias, the
 # longest common subsequence by the textbook table, row after row.

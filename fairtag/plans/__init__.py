@@ -1,0 +1 @@
+"""Operators composed into whole runs."""
