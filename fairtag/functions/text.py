@@ -16,9 +16,9 @@ seminova seminovo excelente estado oportunidade envio gratis portes incluidos ur
 barata barato top gaming oc edition ed vendo venda como nova novo
 """.split()
 
-# Capacity spellings folded to "NNgb", and screen resolutions.
+# Capacity spellings folded to "NNgb", and screen resolutions as whole words.
 CAPACITY = r"\b(\d{1,2})\s*(?:gb|go|gigas)\b"
-RESOLUTION = r"\b\d{3,4} p\b"
+RESOLUTION = r"(?:^| )\d{3,4} p(?= |$)"
 
 
 @lru_cache(maxsize=1)
@@ -70,13 +70,12 @@ def _ascii_fold(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Lower-case, de-accent, split letter|digit runs, unify capacities, drop resolutions."""
-    out = _ascii_fold(F.lower(F.coalesce(text, F.lit(""))))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.when(F.rlike(low, F.lit(r"[^\x00-\x7F]")), _ascii_fold(low)).otherwise(low)
     out = F.regexp_replace(out, "[^a-z0-9]+", " ")
     out = F.regexp_replace(out, "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ")
-    out = F.trim(out)
-    out = F.regexp_replace(out, CAPACITY, "$1gb")
-    out = F.regexp_replace(out, RESOLUTION, " ")
-    return F.trim(F.regexp_replace(out, " +", " "))
+    out = F.regexp_replace(F.trim(out), CAPACITY, "$1gb")
+    return F.trim(F.regexp_replace(out, RESOLUTION, ""))
 
 
 def words(normalized: Column) -> Column:

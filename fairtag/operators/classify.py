@@ -315,14 +315,16 @@ def fuzzy_match(titles: DataFrame, products: DataFrame, params: Params = Params(
 
 def read_titles(listings: DataFrame, catalog: Catalog) -> DataFrame:
     """Per listing the normalised title, the exclusion and the price modifiers found."""
-    title = text.normalize(F.col("title"))
-    haystack = text.normalize(
-        F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
+    keep = ["listing_id", "price_cents"]
+    titled = computed_once(
+        listings, [*keep, "title", "description"], normalized_title=text.normalize(F.col("title"))
     )
+    # The whole text is normalised in one piece, patterns may straddle its parts.
+    whole = text.normalize(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("description")))
+    plain = F.coalesce("description", F.lit("")) == ""
+    haystack = F.when(plain, F.col("normalized_title")).otherwise(whole)
     return (
-        computed_once(
-            listings, ["listing_id", "price_cents"], normalized_title=title, haystack=haystack
-        )
+        computed_once(titled, [*keep, "normalized_title"], haystack=haystack)
         .withColumn("excluded_by", excluded_by(F.col("normalized_title"), F.col("haystack"), catalog.modifiers))
         .withColumn("found", adjusters_found(F.col("haystack"), catalog.modifiers))
         .drop("haystack")
