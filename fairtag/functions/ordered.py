@@ -16,27 +16,28 @@ def time_slot(ts: Column, minutes: int) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / (minutes * 60_000_000))
 
 
-def with_previous(
-    df: DataFrame, keys: list[str], slot: str, order: list[str], values: list[str], into: str
-) -> DataFrame:
-    """Add struct ``into`` holding ``values`` of the preceding row of the key, null on the first."""
+def with_previous(df: DataFrame, keys: list[str], slot: str, order: list[str], into: str) -> DataFrame:
+    """Add struct ``into`` holding the preceding row of the key, null on the first.
+
+    Rows without key or slot drop out. Both readers of the rows take the same
+    columns, the row travelling as one struct, so that they share one shuffle.
+    """
     inside = Window.partitionBy(*keys, slot).orderBy(*order)
-    row = F.struct(*values)
-    local = df.withColumn(into, F.lag(row).over(inside)).withColumn(
-        "_ends_slot", F.lead(F.lit(True)).over(inside).isNull()
+    fields = [c for c in df.columns if c not in keys and c != slot]
+    rows = df.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*keys, slot])).select(
+        *keys, slot, *order, F.struct(*fields).alias("_row")
     )
     carried = (
-        local.filter("_ends_slot")
-        .select(*keys, slot, row.alias("_tail"))
+        rows.withColumn("_ends_slot", F.lead(F.lit(True)).over(inside).isNull())
+        .filter("_ends_slot")
         .select(
             *keys,
             slot,
-            F.lag("_tail").over(Window.partitionBy(*keys).orderBy(slot)).alias("_carried"),
+            F.lag("_row").over(Window.partitionBy(*keys).orderBy(slot)).alias("_carried"),
         )
     )
     return (
-        local.drop("_ends_slot")
+        rows.withColumn("_local", F.lag("_row").over(inside))
         .join(carried, [*keys, slot])
-        .withColumn(into, F.coalesce(into, "_carried"))
-        .drop("_carried")
+        .select(*keys, slot, "_row.*", F.coalesce("_local", "_carried").alias(into))
     )

@@ -88,9 +88,7 @@ def seen_events(sightings: DataFrame, params: Params = Params(), carry: tuple[st
         *KEY, "batch_ts", "batch_pos", "price_cents", *carry,
         time_slot(F.col("batch_ts"), params.slot_minutes).alias("_slot"),
     )
-    with_prev = with_previous(
-        narrow, KEY, "_slot", ["batch_ts", "batch_pos"], ["price_cents"], "_prev"
-    )
+    with_prev = with_previous(narrow, KEY, "_slot", ["batch_ts", "batch_pos"], "_prev")
     is_new = F.col("_prev").isNull()
     return with_prev.select(
         *KEY, "batch_ts", "batch_pos", *carry,
@@ -166,12 +164,11 @@ def price_points(sightings: DataFrame, params: Params = Params()) -> DataFrame:
             F.max(F.when(F.col("rn") == 1, F.col("price_cents"))).alias("a"),
             F.max(F.when(F.col("rn") == 2, F.col("price_cents"))).alias("b"),
         )
-        .withColumn("then", F.coalesce("b", "a"))
         .withColumn("_slot", slot)
     )
-    linked = with_previous(batches, KEY, "_slot", ["batch_ts"], ["a", "then"], "_prev")
+    linked = with_previous(batches, KEY, "_slot", ["batch_ts"], "_prev")
     by_a = F.coalesce(F.col("_prev.a") == F.col("a"), F.lit(False))
-    by_b = F.coalesce(F.col("_prev.then") == F.col("a"), F.lit(False))
+    by_b = F.coalesce(F.coalesce("_prev.b", "_prev.a") == F.col("a"), F.lit(False))
     marked = linked.withColumn("fixed", F.when(by_a == by_b, by_a)).withColumn(
         "flip", (by_a & ~by_b).cast("int")
     )

@@ -96,7 +96,7 @@ def duplicate_ids(products: DataFrame) -> DataFrame:
         *PRODUCT, "pos", F.floor(F.col("pos") / 65536).alias("_stretch")
     )
     return (
-        with_previous(placed, PRODUCT, "_stretch", ["pos"], ["pos"], "_before")
+        with_previous(placed, PRODUCT, "_stretch", ["pos"], "_before")
         .filter("_before is not null")
         .withColumn("earlier", F.col("_before.pos"))
         .select(*PRODUCT, *_finding("error", message, _place("products", "product_id")))
