@@ -134,8 +134,9 @@ PART_TEXT = """
 """
 
 
-def part_listings(spark, sf):
-    items = spread(read(spark, sf, "lineitem")).filter("l_returnflag <> 'R'")
+def part_listings(spark, sf, items=None):
+    items = spread(read(spark, sf, "lineitem")) if items is None else items
+    items = items.filter("l_returnflag <> 'R'")
     return items.join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS listing_id", "'parts' AS category",
         f"{PART_TITLE.format(cat='||')} AS title", f"{PART_TEXT} AS description",

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks import check
+from checks.classifying import FUZZY_SQL, PART_SQL, RESULT_SQL, part_catalog, part_listings
 from checks.ingesting import (
     EVENT_PARAMS, FOLD_SQL, GONE_SQL, SIGHTING_SQL, event_sightings, events_as_of,
 )
@@ -114,23 +115,16 @@ def str_4(spark, sf):
     return drained(alerting.fresh_deals_stream(deals).select("listing_id", "alert_cents"), spark)
 
 
-# Documents as a stream of ads, classified per micro-batch against the noun catalog.
+# Order lines as a stream of ads, classified per micro-batch.
 @check(
     "str_5_streaming_classification",
-    """SELECT CAST(doc_id AS VARCHAR) AS listing_id,
-  CASE WHEN regexp_matches(text, '(?i)[a-z0-9]') THEN 'seen' ELSE 'blank' END AS state FROM documents""",
+    with_ctes(PART_SQL, FUZZY_SQL, RESULT_SQL, select=" SELECT listing_id, match_kind, product_id, excluded_by, adjust_pct FROM res"),
 )
 def str_5(spark, sf):
-    from checks.classifying import part_catalog
-
-    ads = table_stream(spark, sf, "documents").selectExpr(
-        "CAST(doc_id AS STRING) AS listing_id", "text AS title", "'' AS description", "n_chars AS price_cents"
-    )
+    ads = part_listings(spark, sf, table_stream(spark, sf, "lineitem"))
     path = f"{scratch(spark)}/classified"
     run(folding.classify_stream(ads, part_catalog(spark, sf), path), spark)
-    return spark.read.parquet(path).select(
-        "listing_id", F.when(F.col("normalized_title") != "", "seen").otherwise("blank").alias("state")
-    )
+    return spark.read.parquet(path).select("listing_id", "match_kind", "product_id", "excluded_by", "adjust_pct")
 
 
 # Distributions as of 1996, refreshed for the products sampled since.
