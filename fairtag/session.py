@@ -33,6 +33,7 @@ def local_session(app: str, cpus: str | int = "*", partitions: int = 8) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fairtag-"))
         # Call-site capture costs more than building the expression itself.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -43,12 +44,12 @@ def local_session(app: str, cpus: str | int = "*", partitions: int = 8) -> Spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="fairtag-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    """The folder the cluster shares: spark.checkpoint.dir, else the context's own, else one in the (shared) warehouse."""
+    return (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    )
 
 
 def scratch(spark: SparkSession) -> str:
