@@ -52,3 +52,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairtag.llm.near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS v
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM words WHERE len(w) >= 35)
+), repeated AS (
+  SELECT doc_id, p FROM windows WHERE v IN (SELECT v FROM windows GROUP BY v HAVING count(*) > 1)
+), gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS p FROM repeated),
+gone_of AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.p) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words) k
+  ANTI JOIN gone ON gone.doc_id = k.doc_id AND gone.p = k.p GROUP BY k.doc_id
+)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN gone_of USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op1_substring_dedup", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairtag.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
