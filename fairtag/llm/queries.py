@@ -88,3 +88,38 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairtag.llm.bpe import digests
 
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _op7_sql(shards: int = 8, parts: int = 4096) -> str:
+    """Every row's least draw over all shards; the tree leads to the same leaf, because a node's draw is its least leaf's."""
+    draw = "-ln((('0x' || substr(md5(key || '/' || {s}), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
+    draws = lambda n: "[" + ", ".join(draw.format(s=s) for s in range(n)) + "]"
+    return f"""
+WITH crc_table AS (
+  SELECT list(CASE WHEN true THEN list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) END ORDER BY i) AS t
+  FROM range(256) r(i)
+), bytes AS (
+  SELECT rowid AS r, doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, hex(encode(coalesce(text, ''))) AS h
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)
+), rows_ AS (
+  SELECT r, doc_id, size::BIGINT AS size, coalesce(doc_id::VARCHAR, 'null') AS key,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda j: ('0x' || h[2 * j + 1:2 * j + 2])::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM bytes, crc_table
+), placed AS (
+  SELECT *, {draws(shards)} AS d, {draws(shards + 1)} AS g,
+    ('0x' || substr(md5(key || '/' || size || '/' || text_crc32), 1, 12))::BIGINT % {parts} AS part
+  FROM rows_
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, (list_position(d, list_min(d)) - 1)::INTEGER AS shard,
+  row_number() OVER (PARTITION BY list_position(d, list_min(d)) ORDER BY part, doc_id, size, text_crc32) - 1 AS slot,
+  (list_position(g, list_min(g)) - 1)::INTEGER AS grown_shard
+FROM placed
+"""
+
+
+@query("op7_sharding", _op7_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairtag.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
