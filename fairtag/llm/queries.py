@@ -123,3 +123,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairtag.llm.sharding import shard
 
     return shard(table(spark, sf_dir, "documents"))
+
+
+@query("op3_decontaminate")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairtag.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

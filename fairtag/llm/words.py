@@ -23,6 +23,7 @@ _LOWERED[65:91] += 32
 _BYTE_VALUES_LOWERED = _BYTE_VALUES[_LOWERED]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -64,10 +65,13 @@ class Words:
         return np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.hashes))
 
 
-def hashed_words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts ``data[bounds[i]:bounds[i + 1]]`` (UTF-8); ``lower`` takes A-Z as a-z."""
+def hashed_words(data: np.ndarray, bounds: np.ndarray, lower: bool = False, marks: bool = True) -> Words:
+    """Words of the texts ``data[bounds[i]:bounds[i + 1]]`` (UTF-8).
+
+    ``lower`` takes A-Z as a-z; without ``marks`` every ASCII character but letters and digits parts words too.
+    """
     n = len(data)
-    solid = ~_SPACE[data]
+    solid = ~(_SPACE if marks else _NOT_ALNUM)[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     opens = solid.copy()
