@@ -130,3 +130,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairtag.llm.decontaminate import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_secrets")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairtag.llm.secrets import find_secrets, span_digests
+
+    return span_digests(find_secrets(table(spark, sf_dir, "documents")))
