@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from fairtag.llm.tables import small_batches
+
 # Fixed value: how the vocabulary's pre-tokenizer splits text. White space is spelled out (White_Space of Unicode).
 _WS = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
@@ -178,6 +180,7 @@ def load(path: str) -> Automaton:
 
 def _mapped(documents: DataFrame, path: str, columns: list[str], make: Callable, schema: str) -> DataFrame:
     """Send the vocabulary file once to each executor and map the batches with ``make(automaton, batch)``."""
+    small_batches(documents.sparkSession)
     with open(path, encoding="utf-8") as file:
         shared = documents.sparkSession.sparkContext.broadcast(file.read())  # one vocabulary, 1.5 MB
 

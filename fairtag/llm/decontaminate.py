@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fairtag.llm.tables import small_batches
 from fairtag.llm.words import Words, hashed_words, text_slices
 
 
@@ -268,7 +269,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, spec: Retrieval = Ret
     Items or documents without words (null texts too) hold nothing. Items of equal text are all reported. Repeated rows of a
     document give one row; a document without doc_id is reported with a null. Other columns are not looked at.
     """
-    spark = documents.sparkSession
+    spark = small_batches(documents.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = -(-size // spec.block_bytes)

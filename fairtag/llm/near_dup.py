@@ -2,8 +2,9 @@
 
 Every permutation of the shingle hashes gives two signature values, its least and its greatest, so half the hash evaluations
 fill a signature. Bands of the signature propose pairs; a pair is a link only if the full shingle sets confirm it. Documents
-of equal sets form one class and are compared once; classes meet the least class of their bucket first, and only members
-that stay in different components are compared with one another, so a large group of copies is never expanded into pairs.
+of equal sets form one class and are compared once. Classes meet the least class of their bucket first. A class that then
+still is in another component than some member of a bucket is compared with all members of that component, the closest by
+a longer signature first, so a large group of copies is never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fairtag.llm.components import components
-from fairtag.llm.tables import distinct_texts, text_key, written
+from fairtag.llm.tables import distinct_texts, small_batches, text_key, written
 from fairtag.llm.words import hashed_words, lists, mix, text_slices
 
 
@@ -29,9 +30,12 @@ class NearDup:
     threshold: int = 80  # hundredths of intersection over union
     permutations: int = 64
     rows: int = 4
-    # Pairs of one bucket whose signatures agree in less than this share are not compared on their sets. At a true
-    # similarity of 0.8 the share is below it with a probability under 1e-10.
-    least_agreement: float = 0.5
+    # Classes against components: pairs whose long signatures agree in less than this share are not compared on their sets.
+    # At a true similarity of 0.8 that is 5.5 standard deviations off (under 1e-7).
+    long_permutations: int = 1024
+    least_agreement: float = 0.75
+    # Members of a component that a class is confirmed against, the closest first, in each pass; the last takes all.
+    closest: tuple[int, ...] = (4, 64, 1 << 30)
     seed: int = 5
 
     @property
@@ -63,16 +67,16 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.nd
     return values, np.searchsorted(text_of, np.arange(texts + 1))
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, spec: NearDup) -> np.ndarray:
+def signatures(values: np.ndarray, bounds: np.ndarray, permutations: int, seed: int) -> np.ndarray:
     """uint64 [sets, 2 * permutations]: least and greatest value of each set under each permutation."""
-    rng = np.random.default_rng(spec.seed)
-    factors = rng.integers(1, 2**63, spec.permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = rng.integers(0, 2**63, spec.permutations, dtype=np.uint64)
-    out = np.zeros((len(bounds) - 1, 2 * spec.permutations), np.uint64)
+    rng = np.random.default_rng(seed)
+    factors = rng.integers(1, 2**63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shifts = rng.integers(0, 2**63, permutations, dtype=np.uint64)
+    out = np.zeros((len(bounds) - 1, 2 * permutations), np.uint64)
     full = np.flatnonzero(np.diff(bounds) > 0)
     if len(full):
         at = bounds[:-1][full]
-        for i in range(spec.permutations):
+        for i in range(permutations):
             moved = values * factors[i] + shifts[i]
             moved ^= moved >> np.uint64(32)
             moved *= np.uint64(0x9E3779B97F4A7C15)
@@ -89,7 +93,7 @@ def _profiles(spec: NearDup):
             for lo, hi, data, bounds in text_slices(batch.column("text")):
                 values, edges = shingle_sets(data, bounds, spec.shingle)
                 sizes = np.diff(edges)
-                signature = (signatures(values, edges, spec) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                signature = (signatures(values, edges, spec.permutations, spec.seed) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 # The set itself is named by two sums of its values, each under a mixing of its own.
                 names = [np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)]
                 full = sizes > 0
@@ -140,30 +144,88 @@ def _confirm(pairs: DataFrame, texts: DataFrame, spec: NearDup) -> DataFrame:
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(spec), "a long, b long"))
 
 
-def _across(spec: NearDup):
-    """Pairs of one tile that lie in different components and whose signatures agree enough."""
+def _long_signatures(spec: NearDup):
+    """The long signature of each text, a byte for each value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, bounds in text_slices(batch.column("text")):
+                values, edges = shingle_sets(data, bounds, spec.shingle)
+                top = (signatures(values, edges, spec.long_permutations, spec.seed + 1) >> np.uint64(56)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("cls").slice(lo, hi - lo), pa.array(np.diff(edges), pa.int64()),
+                    pa.array([row.tobytes() for row in top], pa.binary()),
+                ], ["cls", "n_shingles", "signature"])
+
+    return run
+
+
+def _closest(spec: NearDup, most: int):
+    """Pairs of a class (side 0) with the ``most`` closest members (side 1) of one tile of a component."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        cls, root, size = (table.column(c).to_numpy() for c in ("cls", "root", "n_shingles"))
-        signature = np.stack(table.column("signature").to_numpy()) if table.num_rows else np.zeros((0, 1))
+        side, cls, size = (table.column(c).to_numpy() for c in ("side", "cls", "n_shingles"))
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(cls), -1)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        values, sizes, names = signature[right], size[right], cls[right]
         found = [np.zeros((0, 2), np.int64)]
         for i in left:
-            apart = right[(root[right] != root[i]) & (cls[right] > cls[i])]
-            apart = apart[
-                (100 * size[apart] >= spec.threshold * size[i]) & (100 * size[i] >= spec.threshold * size[apart])
-            ]
-            if len(apart):
-                agree = (signature[apart] == signature[i]).mean(axis=1) >= spec.least_agreement
-                found.append(np.stack([np.full(agree.sum(), cls[i]), cls[apart[agree]]], axis=1))
+            agree = (values == signature[i]).mean(axis=1)
+            near = np.flatnonzero(
+                (agree >= spec.least_agreement)
+                & (100 * np.minimum(sizes, size[i]) >= spec.threshold * np.maximum(sizes, size[i]))
+            )
+            if len(near) > most:
+                near = near[np.argsort(-agree[near], kind="stable")[:most]]
+            found.append(np.stack([np.full(len(near), cls[i]), names[near]], axis=1))
         pairs = np.concatenate(found)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     return run
 
 
+def _apart(shared: DataFrame, roots: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, root) of every class with a component that it meets in a bucket but is not in, the class being of the smaller
+    one, and (cls, root) of the components' members."""
+    placed = shared.select("bucket", "cls").join(roots.withColumnRenamed("id", "cls"), "cls", "left").select(
+        "bucket", "cls", F.coalesce("root", "cls").alias("root")
+    )
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    placed = placed.join(mixed.select("bucket"), "bucket", "left_semi")
+    there = placed.select("bucket", F.col("root").alias("other")).distinct()
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    met = placed.join(there, "bucket").where("root <> other").select("cls", "root", "other").distinct()
+    sized = (
+        met.join(sizes, "root", "left")
+        .join(sizes.select(F.col("root").alias("other"), F.col("size").alias("other_size")), "other", "left")
+        .select("cls", "root", "other", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("other_size", F.lit(1)).alias("other_size"))
+        .where("other_size > size or other_size = size and other < root")
+    )
+    both = tested.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(
+        tested.select(F.col("b").alias("cls"), F.col("a").alias("other"))
+    ).withColumn("other_size", F.lit(1))
+    asks = written(sized.join(both, ["cls", "other", "other_size"], "left_anti").select("cls", F.col("other").alias("root")))
+    wanted = asks.select("root").distinct()
+    members = roots.select(F.col("id").alias("cls"), "root").join(wanted, "root").select("cls", "root")
+    single = wanted.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("cls"), "root")
+    return asks, members.union(single)
+
+
+def _ask(asks: DataFrame, members: DataFrame, long: DataFrame, spec: NearDup, most: int) -> DataFrame:
+    """The pairs to confirm: each asking class with the closest members of its component, in tiles of bounded size."""
+    count = lambda side: side.groupBy("root").count()
+    tiles = count(asks).withColumnRenamed("count", "n").join(count(members), "root").select(
+        "root", F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("x_tiles"), F.ceil(F.col("count") / F.lit(TILE)).cast("int").alias("y_tiles")
+    )
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    left = asks.join(tiles, "root").select("root", "cls", F.lit(0).alias("side"), own("x_tiles").alias("x"), spread("y_tiles").alias("y"))
+    right = members.join(tiles, "root").select("root", "cls", F.lit(1).alias("side"), spread("x_tiles").alias("x"), own("y_tiles").alias("y"))
+    rows = left.unionByName(right).join(long, "cls")
+    return written(rows.groupBy("root", "x", "y").applyInArrow(_closest(spec, most), "a long, b long").distinct())
+
+
 def near_duplicates(documents: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -172,6 +234,7 @@ def near_duplicates(documents: DataFrame, spec: NearDup = NearDup()) -> DataFram
     are one class whatever their number, repeated rows included. component_id is the least doc_id of the component; rows
     without doc_id join their component and are kept only where it has no doc_id at all. Other columns are not looked at.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
     profiles = written(rows.mapInArrow(_profiles(spec), PROFILE))
 
@@ -200,26 +263,17 @@ def near_duplicates(documents: DataFrame, spec: NearDup = NearDup()) -> DataFram
     texts = written(keys.join(distinct_texts(rows.select("text"), keys), ["k1", "k2"]).select("cls", "text"))
     links = _confirm(first, texts, spec)
     roots = components(links)
-
-    # Members of a bucket that are still apart are compared with each other, in tiles of bounded size.
-    placed = shared.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select(
-        "bucket", "cls", F.coalesce("root", "cls").alias("root")
-    )
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
-    tiles = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
-    apart = (
-        placed.join(mixed.where("lo <> hi").select("bucket", tiles.alias("tiles")), "bucket")
-        .join(classes.select("cls", "n_shingles", "signature"), "cls")
-        .withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-        .withColumn("to", F.explode(F.expr(
-            "concat(transform(sequence(0, tiles - 1), t -> struct(0 as side, tile as x, t as y)), "
-            "transform(sequence(0, tiles - 1), t -> struct(1 as side, t as x, tile as y)))"
-        )))
-        .select("bucket", "to.x", "to.y", "to.side", "cls", "root", "n_shingles", "signature")
-    )
-    second = apart.groupBy("bucket", "x", "y").applyInArrow(_across(spec), "a long, b long").distinct()
-    more = _confirm(written(second), texts, spec)
-    roots = components(links.union(more))
+    for most in spec.closest:
+        asks, members = _apart(shared, roots, first)
+        if asks.isEmpty():
+            break
+        members = written(members)
+        named_here = asks.select("cls").union(members.select("cls")).distinct()
+        long = written(texts.join(named_here, "cls").mapInArrow(_long_signatures(spec), "cls long, n_shingles long, signature binary"))
+        more = _confirm(_ask(asks, members, long, spec, most), texts, spec)
+        if not more.isEmpty():
+            links = written(links.union(more))
+            roots = components(links)
 
     named_classes = classes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select(
         *named, "least", F.coalesce("root", "cls").alias("root")

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fairtag.functions.once import computed_once
 from fairtag.llm.tables import text_key, written
 
 # The patterns of the known forms, their names in order, and the letters of the encodings.
@@ -54,10 +55,7 @@ def _spans(hits: Column, pieces: Column, kind: int) -> Column:
     return F.transform(hits, span)
 
 
-def _matches(pattern: str, kind: int) -> Column:
-    hits = F.regexp_extract_all("text", F.lit(pattern), 0)
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
-    return F.when(F.col("text").rlike(pattern), _spans(hits, F.split("text", pattern, -1), kind)).otherwise(empty)
+SPANS = "array<struct<start:int,kind:int,end:int,hit:string>>"
 
 
 def _joined(spans: Column) -> Column:
@@ -84,21 +82,24 @@ def battery(tokens: DataFrame) -> DataFrame:
     values = F.filter(
         F.transform(F.split(F.col("plain"), ""), lambda c: F.instr(F.col("alphabet"), c) - 1), lambda v: v >= 0
     )
-    v, n, m = F.col("v"), F.col("n"), F.col("m")
+    v, n, m, mean = F.col("v"), F.col("n"), F.col("m"), F.col("mean")
     total = lambda array: F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
     squares = total(F.transform(F.array_distinct(v), lambda d: F.pow(F.size(F.filter(v, lambda x: x == d)).cast("double"), 2)))
     earlier, later = F.slice(v, 1, n - 1), F.slice(v, 2, n - 1)
     turns = total(F.zip_with(earlier, later, lambda a, b: F.when((2 * a < m) != (2 * b < m), 1.0).otherwise(0.0)))
     low = total(F.transform(v, lambda x: F.when(2 * x < m, 1.0).otherwise(0.0)))
-    mean = F.col("mean")
     products = total(F.zip_with(earlier, later, lambda a, b: (a - mean) * (b - mean)))
     spread = total(F.transform(v, lambda x: (x - mean) * (x - mean)))
-    rows = (
-        tokens.withColumn("bare", bare).withColumn("encoding", encoding)
-        .withColumn("plain", plain).withColumn("alphabet", by_encoding(lambda a: F.lit(a)))
-        .withColumn("v", values).withColumn("n", F.size("v")).withColumn("m", F.char_length("alphabet")).where("n > 1")
-        .withColumn("mean", total(F.transform(v, lambda x: x.cast("double"))) / n)
-        .withColumns({"squares": squares, "turns": turns, "low": low, "products": products, "spread": spread})
+    # What a lambda reads is worked out once for each row, not for each element.
+    keep = tokens.columns
+    rows = computed_once(tokens, keep, bare=bare)
+    rows = computed_once(rows, [*keep, "bare"], encoding=encoding)
+    rows = computed_once(rows, [*keep, "encoding"], plain=plain, alphabet=by_encoding(lambda a: F.lit(a)))
+    rows = computed_once(rows, [*keep, "encoding", "alphabet"], v=values)
+    rows = computed_once(rows, [*keep, "encoding", "v"], n=F.size("v"), m=F.char_length("alphabet"))
+    rows = computed_once(rows, [*keep, "encoding", "v", "n", "m"], mean=total(F.transform(v, lambda x: x.cast("double"))) / n)
+    rows = computed_once(
+        rows.where("n > 1"), [*keep, "encoding", "n", "m"], squares=squares, turns=turns, low=low, products=products, spread=spread
     )
     # Chi-squared of n symbols over m: mean m - 1, variance 2 (m - 1)(1 - 1/n).
     chi = (F.col("squares") * m / n - n - (m - 1)) / F.sqrt(2 * (m - 1) * (1 - 1 / n))
@@ -111,9 +112,7 @@ def battery(tokens: DataFrame) -> DataFrame:
     least = F.least(
         1 - _normal_cdf(F.col("z_chi")), 2 * (1 - _normal_cdf(F.abs("z_runs"))), 2 * (1 - _normal_cdf(F.abs("z_serial")))
     )
-    return rows.withColumn("p_random", F.least(F.lit(1.0), 3 * least)).drop(
-        "bare", "plain", "alphabet", "v", "mean", "squares", "turns", "low", "products", "spread"
-    )
+    return rows.withColumn("p_random", F.least(F.lit(1.0), 3 * least)).drop("squares", "turns", "low", "products", "spread")
 
 
 #: Steps of log10 p that discoveries are counted in.
@@ -128,19 +127,22 @@ def discoveries(tokens: DataFrame, spec: Battery = Battery()) -> DataFrame:
         stratum = F.when(F.char_length("token") >= least, i).otherwise(stratum)
     # Statistics of unlike alphabets are brought to one scale by the symbols per token.
     tested = written(tested.withColumn("stratum", stratum).withColumn("plain_word", F.col("token").rlike("^[A-Za-z]?[a-z]+$")))
-    figures = (
-        tested.where("plain_word").groupBy("stratum")
-        .agg(F.count("*").alias("n0"), F.avg("z_chi").alias("mu"), F.stddev_samp("z_chi").alias("sd"))
+    null = F.when(F.col("plain_word"), F.col("z_chi"))
+    figures = tested.groupBy("stratum").agg(
+        F.count(null).alias("n0"), F.sum(null).alias("s1"), F.sum(null * null).alias("s2")
     )
-    everywhere = tested.where("plain_word").agg(F.avg("z_chi").alias("mu_all"), F.stddev_samp("z_chi").alias("sd_all"))
-    own = F.col("n0") >= spec.least_null
-    z = (F.col("z_chi") - F.when(own, F.col("mu")).otherwise(F.coalesce("mu_all", F.lit(6.0)))) / F.greatest(
-        F.when(own, F.col("sd")).otherwise(F.coalesce("sd_all", F.lit(1.0))), F.lit(0.5)
+    # One row for each stratum: the figures of all lengths stand in where a stratum has too few plain words.
+    every = Window.partitionBy(F.lit(0))
+    figures = figures.withColumns({c: F.when(F.col("n0") >= spec.least_null, F.col(c)).otherwise(F.sum(c).over(every)) for c in ("n0", "s1", "s2")})
+    mean = F.col("s1") / F.col("n0")
+    figures = figures.select(
+        "stratum", F.coalesce(mean, F.lit(6.0)).alias("mu"),
+        F.greatest(F.coalesce(F.sqrt(F.greatest(F.col("s2") / F.col("n0") - mean * mean, F.lit(0.0))), F.lit(1.0)), F.lit(0.5)).alias("sd"),
     )
-    # Both sides of these joins are single figures for each stratum.
-    scored = (
-        tested.join(F.broadcast(figures), "stratum", "left").join(F.broadcast(everywhere), F.lit(True), "left")
-        .withColumn("step", F.floor(-STEPS * F.log10(F.greatest(_normal_cdf(z), F.lit(1e-30)))).cast("int"))
+    # The joined sides are single figures for each stratum.
+    z = (F.col("z_chi") - F.col("mu")) / F.col("sd")
+    scored = tested.join(F.broadcast(figures), "stratum").withColumn(
+        "step", F.floor(-STEPS * F.log10(F.greatest(_normal_cdf(z), F.lit(1e-30)))).cast("int")
     )
     counts = scored.groupBy("stratum", "step").agg(F.count("*").alias("n"))
     above = Window.partitionBy("stratum").orderBy(F.desc("step"))
@@ -165,25 +167,33 @@ def find_secrets(documents: DataFrame, spec: Battery = Battery()) -> DataFrame:
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).select("doc_id", *text_key(), "text")
-    groups = F.regexp_extract_all("text", F.lit(ASSIGN), 2)
-    assign = F.when(F.size("assign") > 0, F.filter(
-        F.zip_with("assign", groups, lambda s, g: F.when(F.char_length(g) >= spec.assign_length, s)), lambda s: s.isNotNull()
-    )).otherwise(F.col("assign"))
-    scanned = written(
-        rows.select("doc_id", *key, "text", _matches(ASSIGN, 0).alias("assign"), _matches(ACCESS, 1).alias("access"),
-                    _matches(HEX, 2).alias("hex"), _matches(CANDIDATE, 3).alias("candidates"))
-        .select("doc_id", *key, assign.alias("assign"), "access", "hex", "candidates")
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "candidates": CANDIDATE}
+    nothing = F.array().cast("array<string>")
+    hits = computed_once(rows, ["doc_id", *key, "text"], **{
+        name: F.regexp_extract_all("text", F.lit(pattern), 0) for name, pattern in patterns.items()
+    })
+    parts = computed_once(
+        hits, ["doc_id", *key, *patterns], secrets=F.when(F.size("assign") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), 2)),
+        **{f"{name}_pieces": F.when(F.size(name) > 0, F.split("text", pattern, -1)).otherwise(nothing) for name, pattern in patterns.items()},
     )
-    based = scanned.select(
-        "doc_id", *key, *(F.size(c).cast("long").alias(f"n_{c}") for c in KINDS[:3]),
-        F.array_sort(F.concat("assign", "access", "hex")).alias("base_spans"), "candidates",
+    spans = computed_once(parts, ["doc_id", *key, "secrets"], **{
+        name: _spans(F.col(name), F.col(f"{name}_pieces"), kind) for kind, name in enumerate(patterns)
+    })
+    assign = F.coalesce(F.filter(
+        F.zip_with("assign", "secrets", lambda s, g: F.when(F.char_length(g) >= spec.assign_length, s)), lambda s: s.isNotNull()
+    ), F.array().cast(SPANS))
+    based = written(
+        spans.withColumn("assign", assign).select(
+            "doc_id", *key, *(F.size(c).cast("long").alias(f"n_{c}") for c in KINDS[:3]),
+            F.array_sort(F.concat("assign", "access", "hex")).alias("base_spans"), "candidates",
+        )
     )
     covered = lambda c: F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     tokens = based.select(
         *key, F.explode(F.filter("candidates", lambda c: ~covered(c))).alias("span")
     ).select(*key, "span", F.col("span.hit").alias("token"))
     found = discoveries(tokens, spec).groupBy(*key).agg(F.collect_set("span").alias("random"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
+    none = F.array().cast(SPANS)
     return based.join(found, key, "left").select(
         "doc_id", "n_assign", "n_access", "n_hex", F.coalesce(F.size("random"), F.lit(0)).cast("long").alias("n_random"),
         "base_spans", F.array_sort(F.concat("base_spans", F.coalesce("random", none))).alias("all_spans"),

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fairtag.llm.tables import distinct_texts, text_key, written
+from fairtag.llm.tables import distinct_texts, small_batches, text_key, written
 from fairtag.llm.words import Words, hashed_words, lists, mix, text_slices, window_hashes
 
 
@@ -122,16 +122,15 @@ def _emit_edges(spec: Spans):
                 text_of = words.text_of[use]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(hashes[use].view(np.int64)), pa.array(check[use]),
-                    batch.column("k1").slice(lo, hi - lo).take(pa.array(text_of)),
-                    batch.column("k2").slice(lo, hi - lo).take(pa.array(text_of)),
+                    batch.column("number").slice(lo, hi - lo).take(pa.array(text_of)),
                     pa.array((use - words.first[text_of]).astype(np.int32)),
                     batch.column("copies").slice(lo, hi - lo).take(pa.array(text_of)),
-                ], ["edge", "check", "k1", "k2", "position", "copies"])
+                ], ["edge", "check", "number", "position", "copies"])
 
     return run
 
 
-EDGES = "edge long, check int, k1 long, k2 int, position int, copies long"
+EDGES = "edge long, check int, number long, position int, copies long"
 
 
 def _compact(table: pa.Table) -> pa.Table:
@@ -143,7 +142,7 @@ def _compact(table: pa.Table) -> pa.Table:
     at = np.flatnonzero(opens)
     lengths = np.diff(np.append(at, len(position)))
     return pa.table({
-        "k1": table.column("k1").slice(0, 1), "k2": table.column("k2").slice(0, 1),
+        "number": table.column("number").slice(0, 1),
         "paths": lists(position[at].astype(np.int32), np.array([0, len(at)]), pa.int32()),
         "lengths": lists(lengths.astype(np.int32), np.array([0, len(at)]), pa.int32()),
         "checks": lists(check[at].astype(np.int32), np.array([0, len(at)]), pa.int32()),
@@ -181,6 +180,7 @@ def remove_repeats(documents: DataFrame, spec: Spans = Spans()) -> DataFrame:
     Windows are judged on the input. A null or empty text has no words. Rows that share a doc_id are documents of their own;
     other columns are not looked at.
     """
+    small_batches(documents.sparkSession)
     key = ["k1", "k2"]
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
     scanned = written(rows.mapInArrow(_scan(spec), SCANNED))
@@ -190,6 +190,7 @@ def remove_repeats(documents: DataFrame, spec: Spans = Spans()) -> DataFrame:
     repeated = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
     near = written(
         anchors.join(repeated, "anchor").groupBy(*key).agg(F.collect_set("position").alias("positions"))
+        .withColumn("number", F.monotonically_increasing_id())  # stays as it is, once written
     )
     copies = scanned.join(near.select(*key), key, "left_semi").groupBy(*key).agg(F.count("*").alias("copies"))
     texts = distinct_texts(rows.select("text"), near).join(near, key).join(copies, key)
@@ -199,8 +200,9 @@ def remove_repeats(documents: DataFrame, spec: Spans = Spans()) -> DataFrame:
     )
     paths = written(
         edges.drop("copies").join(times, ["edge", "check"])
-        .select(*key, "position", "check", "times").groupBy(*key)
-        .applyInArrow(_compact, "k1 long, k2 int, paths array<int>, lengths array<int>, checks array<int>")
+        .select("number", "position", "check", "times").groupBy("number")
+        .applyInArrow(_compact, "number long, paths array<int>, lengths array<int>, checks array<int>")
+        .join(near.select("number", *key), "number").drop("number")
     )
     changed = distinct_texts(rows.select("text"), paths).join(paths, key).mapInArrow(
         _remove(spec), "k1 long, k2 int, n_removed long, sha256 string"

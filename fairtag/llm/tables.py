@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fairtag.session import scratch
 
@@ -15,6 +15,16 @@ from fairtag.session import scratch
 FILTER_BITS = 1 << 23
 
 
+#: Rows of a batch that a Python worker holds; whole texts are wide.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Keep the batches of whole texts that are sent to Python workers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the cluster's shared folder, so what follows neither repeats it nor loses it."""
     path = f"{scratch(df.sparkSession)}/table"

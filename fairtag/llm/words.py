@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Texts are worked on in slices of about this many bytes, which bounds the memory of a task; one longer text is a slice.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
