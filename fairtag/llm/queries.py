@@ -137,3 +137,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairtag.llm.secrets import find_secrets, span_digests
 
     return span_digests(find_secrets(table(spark, sf_dir, "documents")))
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+) WHERE rank <= 5
+"""
+
+
+@query("op9_top_k", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairtag.llm.top_k import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors.where("vec_id % 50 = 0"), vectors)
