@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+def _remainder(modulus: int):
+    """crc32 of doc_id as text, by ``modulus``; a row without doc_id counts as 'null'."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % modulus
+
+
+@query("op8_language")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairtag.llm.language import fit, predict
+
+    documents = table(spark, sf_dir, "documents")
+    network = fit(documents.where(_remainder(4) != 2))
+    return predict(documents, network).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairtag.llm.toxicity import fit, score
+
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents, table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    return score(documents, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
