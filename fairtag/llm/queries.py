@@ -182,3 +182,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit(documents, table(spark, sf_dir, "labels").where(_remainder(5) != 0))
     return score(documents, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op4_urls")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairtag.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
