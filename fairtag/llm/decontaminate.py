@@ -204,52 +204,58 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def leaks_of(block: Block, data: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """By (text, item): the shares of the item and of its answer that are found in order, and the cosine."""
+    spec = block.spec
+    words = _words(data, bounds)
+    stride_of, owner, begins = _strides(words, spec)
+    at, term = block.terms_of(words.hashes)
+    # TF-IDF mass of each stride: of the benchmark's words, and of all (others weigh as much as an unseen word).
+    known = np.bincount(stride_of[at], block.idf[term].astype(np.float64) ** 2, len(owner))
+    sizes = np.bincount(stride_of, minlength=len(owner)) - np.bincount(stride_of[at], minlength=len(owner))
+    mass = known + sizes * block.unseen**2
+    more = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.zeros(0, bool)
+    known += np.append(known[1:], 0) * more
+    mass += np.append(mass[1:], 0) * more
+    # The last stride of a text is a passage of its own only where it is the only one.
+    alone = np.append(True, owner[1:] != owner[:-1]) if len(owner) else more
+    held = np.flatnonzero((more | alone) & (known >= spec.least_share * mass) & (known > 0))
+    found = []
+    edge = np.searchsorted(at, np.append(begins, len(words.hashes)))
+    for group in np.array_split(held, max(1, len(held) // 256)):
+        if not len(group):
+            continue
+        ends = [edge[s + 2] if more[s] else edge[s + 1] for s in group]
+        latent = np.stack([_project(block, block.basis, term[edge[s]:e]) for s, e in zip(group, ends)])
+        norms = np.linalg.norm(latent, axis=1, keepdims=True)
+        cosine = (latent / np.maximum(norms, 1e-9)) @ block.vectors.T
+        found += [(group[i], j, cosine[i, j]) for i, j in zip(*np.nonzero(cosine >= spec.least_cosine))]
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    tried = set()
+    for stride, passage, cosine in found:
+        item, start = block.passages[passage]
+        own, text = block.items[item], owner[stride]
+        # The words around the passage in which the whole item fits, however the two are aligned.
+        a = max(words.first[text], begins[stride] - start - 2 * spec.stride)
+        b = min(words.first[text + 1], begins[stride] - start + len(own) + 2 * spec.stride)
+        if (item, a) in tried:
+            continue
+        tried.add((item, a))
+        around = words.hashes[a:b]
+        share = common_subsequence(own, around) / len(own)
+        answer = common_subsequence(block.answers[item], around) / len(block.answers[item])
+        if share >= spec.verbatim or share >= spec.paraphrase and answer >= spec.answer:
+            key = (int(text), item)
+            best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, float(cosine)))
+    return best
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        spec = block.spec
         for batch in batches:
             for lo, hi, data, bounds in text_slices(batch.column("text")):
-                words = _words(data, bounds)
-                stride_of, owner, begins = _strides(words, spec)
-                at, term = block.terms_of(words.hashes)
-                # TF-IDF mass of each stride: of the benchmark's words, and of all (others weigh as much as an unseen word).
-                known = np.bincount(stride_of[at], block.idf[term].astype(np.float64) ** 2, len(owner))
-                sizes = np.bincount(stride_of, minlength=len(owner)) - np.bincount(stride_of[at], minlength=len(owner))
-                mass = known + sizes * block.unseen**2
-                more = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.zeros(0, bool)
-                known += np.append(known[1:], 0) * more
-                mass += np.append(mass[1:], 0) * more
-                # The last stride of a text is a passage of its own only where it is the only one.
-                alone = np.append(True, owner[1:] != owner[:-1]) if len(owner) else more
-                held = np.flatnonzero((more | alone) & (known >= spec.least_share * mass) & (known > 0))
-                found = []
-                edge = np.searchsorted(at, np.append(begins, len(words.hashes)))
-                for group in np.array_split(held, max(1, len(held) // 256)):
-                    if not len(group):
-                        continue
-                    ends = [edge[s + 2] if more[s] else edge[s + 1] for s in group]
-                    latent = np.stack([_project(block, block.basis, term[edge[s]:e]) for s, e in zip(group, ends)])
-                    norms = np.linalg.norm(latent, axis=1, keepdims=True)
-                    cosine = (latent / np.maximum(norms, 1e-9)) @ block.vectors.T
-                    found += [(group[i], j, cosine[i, j]) for i, j in zip(*np.nonzero(cosine >= spec.least_cosine))]
-                best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                tried = set()
-                for stride, passage, cosine in found:
-                    item, start = block.passages[passage]
-                    own, text = block.items[item], owner[stride]
-                    # The words around the passage in which the whole item fits, however the two are aligned.
-                    a = max(words.first[text], begins[stride] - start - 2 * spec.stride)
-                    b = min(words.first[text + 1], begins[stride] - start + len(own) + 2 * spec.stride)
-                    if (item, a) in tried:
-                        continue
-                    tried.add((item, a))
-                    around = words.hashes[a:b]
-                    share = common_subsequence(own, around) / len(own)
-                    answer = common_subsequence(block.answers[item], around) / len(block.answers[item])
-                    if share >= spec.verbatim or share >= spec.paraphrase and answer >= spec.answer:
-                        key = (int(text), item)
-                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, float(cosine)))
+                best = leaks_of(block, data, bounds)
                 keys = sorted(best)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(lo, hi - lo).take(pa.array([k[0] for k in keys], pa.int64())),
@@ -263,26 +269,47 @@ def _search(shared):
 LEAKS = "doc_id long, item_id long, lcs_share double, answer_share double, cosine double"
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, spec: Retrieval = Retrieval()) -> DataFrame:
-    """One row for each document and benchmark item that it holds: doc_id, item_id, lcs_share, answer_share, cosine.
-
-    Items or documents without words (null texts too) hold nothing. Items of equal text are all reported. Repeated rows of a
-    document give one row; a document without doc_id is reported with a null. Other columns are not looked at.
-    """
+def _fitted_blocks(documents: DataFrame, benchmark: DataFrame, spec: Retrieval) -> Iterator:
+    """The blocks of the benchmark, of about ``block_bytes`` each, fitted and sent to the executors."""
     spark = small_batches(documents.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = -(-size // spec.block_bytes)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = spark.createDataFrame([], LEAKS)
     for number in range(blocks):
-        # One block of the query set, of about block_bytes.
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == number)
         block = Block([tuple(r) for r in own.collect()], spec)
-        if not block.items:
-            continue
-        shared = spark.sparkContext.broadcast(fit(block, docs))
+        if block.items:
+            yield spark.sparkContext.broadcast(fit(block, documents))
+
+
+def find_leaks(documents: DataFrame, benchmark: DataFrame, spec: Retrieval = Retrieval()) -> DataFrame:
+    """One row for each document and benchmark item that it holds: doc_id, item_id, lcs_share, answer_share, cosine.
+
+    Items or documents without words (null texts too) hold nothing. Items of equal text are all reported. Repeated rows of a
+    document give one row; a document without doc_id is reported with a null. Other columns are not looked at.
+    """
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = documents.sparkSession.createDataFrame([], LEAKS)
+    for shared in _fitted_blocks(docs, benchmark, spec):
         found = found.union(docs.mapInArrow(_search(shared), LEAKS))
     return found.groupBy("doc_id", "item_id").agg(
         F.max("lcs_share").alias("lcs_share"), F.max("answer_share").alias("answer_share"), F.max("cosine").alias("cosine")
     )
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, spec: Retrieval = Retrieval()) -> DataFrame:
+    """The rows of ``documents`` that hold no item of the benchmark, with all their columns."""
+    def keep(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for lo, _, data, bounds in text_slices(batch.column("text")):
+                    clean[[lo + text for text, _ in leaks_of(shared.value, data, bounds)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    kept = documents
+    for shared in _fitted_blocks(documents, benchmark, spec):
+        kept = kept.mapInArrow(keep(shared), documents.schema)
+    return kept

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fairtag.llm.components import components
 from fairtag.llm.tables import distinct_texts, small_batches, text_key, written
@@ -226,14 +226,8 @@ def _ask(asks: DataFrame, members: DataFrame, long: DataFrame, spec: NearDup, mo
     return written(rows.groupBy("root", "x", "y").applyInArrow(_closest(spec, most), "a long, b long").distinct())
 
 
-def near_duplicates(documents: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Links hold between documents whose sets of lower-cased word shingles have 100 * intersection >= threshold * union.
-    A null text, or one without words, has an empty set and links with nothing: its component is itself. Documents of equal sets
-    are one class whatever their number, repeated rows included. component_id is the least doc_id of the component; rows
-    without doc_id join their component and are kept only where it has no doc_id at all. Other columns are not looked at.
-    """
+def _grouped(documents: DataFrame, spec: NearDup) -> DataFrame:
+    """doc_id, k1, k2 (its text), n_shingles, root (a name of its component, null for an empty set) and component (its least doc_id)."""
     small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
     profiles = written(rows.mapInArrow(_profiles(spec), PROFILE))
@@ -279,13 +273,51 @@ def near_duplicates(documents: DataFrame, spec: NearDup = NearDup()) -> DataFram
         *named, "least", F.coalesce("root", "cls").alias("root")
     )
     least = named_classes.groupBy("root").agg(F.min("least").alias("component"))
-    joined = named_classes.join(least, "root").select(*named, "component")
-    out = profiles.select("doc_id", *named).join(joined, named, "left")
+    joined = named_classes.join(least, "root").select(*named, "root", "component")
+    return profiles.select("doc_id", "k1", "k2", *named).join(joined, named, "left").select(
+        "doc_id", "k1", "k2", "n_shingles", "root", "component"
+    )
+
+
+def near_duplicates(documents: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Links hold between documents whose sets of lower-cased word shingles have 100 * intersection >= threshold * union.
+    A null text, or one without words, has an empty set and links with nothing: its component is itself. Documents of equal sets
+    are one class whatever their number, repeated rows included. component_id is the least doc_id of the component; rows
+    without doc_id join their component and are kept only where it has no doc_id at all. Other columns are not looked at.
+    """
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select(
+    return _grouped(documents, spec).select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
+def representatives(documents: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
+    """The rows of ``documents`` without near copies: of each component the row of least doc_id, once.
+
+    Rows without doc_id come last; texts without words have no copies and all stay. All columns are kept.
+    """
+    grouped = written(_grouped(documents, spec))
+    chosen = (
+        grouped.where("root is not null").groupBy("root")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "k1", "k2")).alias("c"))
+        .select("c._none", "c._id", F.col("c.k1").alias("_k1"), F.col("c.k2").alias("_k2"))
+    )
+    # Copies of one text have keys of their own, so a large group of them does not meet in one task.
+    key = ["_none", "_id", "_k1", "_k2"]
+    k1, k2 = text_key()
+    id_ = F.col("doc_id").cast("long")
+    marked = documents.withColumns({
+        "_none": id_.isNull(), "_id": F.coalesce(id_, F.lit(0)), "_k1": k1, "_k2": k2,
+        "_worded": F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)),
+    })
+    order = Window.partitionBy(*key).orderBy(F.lit(0))
+    once = (
+        marked.where("_worded").join(chosen, key).withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    )
+    return once.select(documents.columns).unionByName(marked.where("not _worded").select(documents.columns))
+
+
 #: Members of a bucket that one task compares with as many others.
 TILE = 2048

@@ -157,12 +157,8 @@ def discoveries(tokens: DataFrame, spec: Battery = Battery()) -> DataFrame:
     )
 
 
-def find_secrets(documents: DataFrame, spec: Battery = Battery()) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, n_random, base_spans, all_spans.
-
-    The spans are arrays of (start, kind, end, hit), in code points with the end exclusive, by start and kind. A null or empty text has
-    none. Repeated rows are scanned each; equal texts get equal spans. Other columns are not looked at.
-    """
+def _scanned(documents: DataFrame, spec: Battery) -> DataFrame:
+    """find_secrets with the key (k1, k2) of the text."""
     key = ["k1", "k2"]
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
@@ -195,11 +191,49 @@ def find_secrets(documents: DataFrame, spec: Battery = Battery()) -> DataFrame:
     found = discoveries(tokens, spec).groupBy(*key).agg(F.collect_set("span").alias("random"))
     none = F.array().cast(SPANS)
     return based.join(found, key, "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", F.coalesce(F.size("random"), F.lit(0)).cast("long").alias("n_random"),
+        "doc_id", *key, "n_assign", "n_access", "n_hex", F.coalesce(F.size("random"), F.lit(0)).cast("long").alias("n_random"),
         "base_spans", F.array_sort(F.concat("base_spans", F.coalesce("random", none))).alias("all_spans"),
     )
 
 
+def find_secrets(documents: DataFrame, spec: Battery = Battery()) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, n_random, base_spans, all_spans.
+
+    The spans are arrays of (start, kind, end, hit), in code points with the end exclusive, by start and kind. A null or empty text has
+    none. Repeated rows are scanned each; equal texts get equal spans. Other columns are not looked at.
+    """
+    return _scanned(documents, spec).drop("k1", "k2")
+
+
+def redact(documents: DataFrame, mask: str = "[SECRET]", spec: Battery = Battery()) -> DataFrame:
+    """``documents`` with every span of a secret replaced by ``mask``; spans that overlap are replaced as one.
+
+    Texts without a secret, null texts and all other columns stay as they are, but that n_chars, where there is one, follows the text.
+    """
+    spans = (
+        _scanned(documents, spec).where(F.size("all_spans") > 0).groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+        .agg(F.first("all_spans").alias("_spans"))
+    )
+    k1, k2 = text_key()
+    text = F.col("text")
+    between = lambda a, b: F.substr(text, a + 1, b - a)
+    cleaned = F.aggregate(
+        "_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda done, s: F.struct(
+            F.greatest(done["at"], s["end"]).alias("at"),
+            F.when((s["start"] < done["at"]) & (done["at"] > 0), done["out"])
+            .otherwise(F.concat(done["out"], between(done["at"], s["start"]), F.lit(mask))).alias("out"),
+        ),
+        lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1)),
+    )
+    joined = documents.withColumns({"_k1": k1, "_k2": k2}).join(spans, ["_k1", "_k2"], "left")
+    fresh = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), cleaned).otherwise(text))
+    if "n_chars" in documents.columns:
+        length = F.when(F.col("_spans").isNotNull(), F.char_length("text").cast(documents.schema["n_chars"].dataType))
+        fresh = fresh.withColumn("n_chars", F.coalesce(length, "n_chars"))
+    return fresh.select(documents.columns)
+
+
 def span_digests(found: DataFrame) -> DataFrame:
     """The spans as text and the digest of the known forms' spans."""
     return found.select(

@@ -270,3 +270,17 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``documents`` that are not predicted toxic, with all their columns."""
+    small_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            keep = [own.scores(own.features.of(data, bounds)) < 0.5 for _, _, data, bounds in text_slices(batch.column("text"))]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
+
+    return documents.mapInArrow(run, documents.schema)
