@@ -77,9 +77,7 @@ def src_8(spark, sf):
     )
     benchmark = parts.filter("p_size % 4 <> 0 OR p_partkey = 1").selectExpr("product_id", "CAST(p_size AS DOUBLE) AS raw")
     msrp = parts.filter("p_size % 3 = 0").selectExpr("product_id", "p_retailprice AS usd")
-    families = parts.limit(1).selectExpr(
-        "inline(array(struct(0 AS family_pos, 'ones' AS family, 'p_1' AS prefix), struct(1 AS family_pos, 'twos' AS family, 'p_2' AS prefix)))"
-    )
+    families = spark.createDataFrame([(0, "ones", "p_1"), (1, "twos", "p_2")], "family_pos int, family string, prefix string")
     built = cat.build_products(specs, benchmark, msrp, families, "parts", "p_1", ["laptop", "notebook"], 1.22)
     return built.select(
         "product_id", F.try_element_at("attributes", F.lit("perf_index")).alias("perf_index"), "retail_fallback_eur",

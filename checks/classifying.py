@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import check
-from checks.tables import read, spread, with_ctes
+from checks.tables import read, with_ctes
 from checks.texts import NORM
 from fairtag.functions import text
 from fairtag.operators import classify as cls
@@ -24,7 +24,7 @@ MODIFIERS = [
 
 def document_listings(spark, sf):
     """First line as the title, the whole text as the description."""
-    return spread(read(spark, sf, "documents")).selectExpr(
+    return read(spark, sf, "documents").selectExpr(
         "CAST(doc_id AS STRING) AS listing_id", "split(text, '\n')[0] AS title", "text AS description",
         "n_chars AS price_cents",
     )
@@ -135,8 +135,7 @@ PART_TEXT = """
 
 
 def part_listings(spark, sf, items=None):
-    items = spread(read(spark, sf, "lineitem")) if items is None else items
-    items = items.filter("l_returnflag <> 'R'")
+    items = read(spark, sf, "lineitem") if items is None else items
     return items.join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS listing_id", "'parts' AS category",
         f"{PART_TITLE.format(cat='||')} AS title", f"{PART_TEXT} AS description",
@@ -159,7 +158,7 @@ ad AS (
   SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS listing_id,
     {PART_TITLE.format(cat='||')} AS title, {PART_TEXT} AS description, CAST(floor(l_extendedprice) AS BIGINT) AS price_cents,
     l_shipdate AS last_seen
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R')
+  FROM lineitem JOIN part ON l_partkey = p_partkey)
 """
 MATCH_SQL = f"""
 y AS (SELECT *, {NORM.format('title')} AS norm, {NORM.format("title || ' ' || description")} AS hay FROM ad),
@@ -219,9 +218,7 @@ res AS (
 
 def ruled(spark, sf):
     catalog = part_catalog(spark, sf)
-    titles = cls.read_titles(part_listings(spark, sf), catalog).repartition("listing_id")
-    labels = catalog.products.select(F.col("pos").alias("rule_pos"), F.col("product_id").alias("rule_product"))
-    return cls.best_rule(titles, catalog.products).join(labels, "rule_pos", "left")
+    return cls.best_rule(cls.read_titles(part_listings(spark, sf), catalog), catalog.products)
 
 
 @check(
@@ -334,7 +331,7 @@ def qlt_6(spark, sf):
     listings = part_listings(spark, sf)
     results = cls.classify(listings, part_catalog(spark, sf)).withColumn("updated_at", F.lit(NOW).cast("timestamp"))
     _, matches = quality.preview_rule(
-        results, listings, ["Ring"], ["SMALL", "old"], ["gpu"], product_id="base_ring", scan_limit=None
+        results, listings, ["Ring"], ["SMALL", "old"], ["gpu"], product_id="base_ring"
     )
     return matches.drop("updated_at")
 
@@ -344,11 +341,11 @@ def qlt_6(spark, sf):
     with_ctes(PART_SQL, FUZZY_SQL, RESULT_SQL, select="""
 , sc0 AS (SELECT *, contains(' ' || norm || ' ', ' ring ') AS m FROM res WHERE match_kind <> 'excluded' AND norm <> '')
 SELECT count(*) AS scanned, count(*) FILTER (WHERE m) AS matched,
-  least(10, count(*) FILTER (WHERE m AND coalesce(product_id <> 'base_ring', false))) AS steal_count FROM sc0"""),
+  count(*) FILTER (WHERE m AND coalesce(product_id <> 'base_ring', false)) AS steal_count FROM sc0"""),
 )
 def qlt_6_summary(spark, sf):
     listings = part_listings(spark, sf)
     results = cls.classify(listings, part_catalog(spark, sf)).withColumn("updated_at", F.lit(NOW).cast("timestamp"))
-    scanned, matches = quality.preview_rule(results, listings, ["ring"], [], [], "base_ring", scan_limit=None)
+    scanned, matches = quality.preview_rule(results, listings, ["ring"], [], [], "base_ring")
     return quality.preview_summary(scanned, matches)
 

@@ -11,7 +11,7 @@ from checks.classifying import (
     FUZZY_SQL, MATCH_SQL, PART_TEXT, PART_TITLE, RESULT_SQL, RULES_SQL, part_catalog,
 )
 from checks.markets import DEAL_SQL, RANK_SQL
-from checks.tables import AS_OF, COMPARABLE_SQL, PARAMS, SAMPLES_SQL, SPREAD_SQL, as_of, read, rounded, spread, with_ctes
+from checks.tables import AS_OF, COMPARABLE_SQL, PARAMS, SAMPLES_SQL, SPREAD_SQL, as_of, read, rounded, with_ctes
 from fairtag import schemas
 from fairtag.operators import classify as cls
 from fairtag.operators import market
@@ -21,7 +21,7 @@ RUN_PARAMS = replace(PARAMS, cycle_minutes=60 * 24 * 100)
 
 
 def line_sightings(spark, sf):
-    items = spread(read(spark, sf, "lineitem"))
+    items = read(spark, sf, "lineitem")
     return items.join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(
         "'lines' AS site", "concat_ws('-', l_orderkey, l_linenumber) AS site_listing_id", "'parts' AS category",
         "concat('https://lines.example/', l_orderkey) AS url", f"{PART_TITLE.format(cat='||')} AS title",

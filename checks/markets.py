@@ -9,6 +9,7 @@ from checks.tables import (
     AS_OF, COMPARABLE_SQL, MARKET_SQL, PARAMS, PRODUCTS_SQL, RETAIL_PARAMS, RETAIL_SQL, SAMPLES_SQL, SPREAD_SQL,
     as_of, classified, micros, products, r6, retail_prices, rounded, with_ctes,
 )
+from fairtag.functions.numbering import numbered
 from fairtag.operators import compare, deals, market, retail
 from fairtag.operators.market import PRODUCT
 
@@ -398,18 +399,11 @@ def cmp_4_5(spark, sf):
     "cmp_6_ranking",
     with_ctes(*COMPARE, _compare_sql("p25"), select="""
 SELECT product_id, round(cost_per_point, 6) AS cost_per_point, row_number() OVER (ORDER BY cost_per_point ASC NULLS LAST, pos) AS place
-FROM v ORDER BY place LIMIT 100"""),
+FROM v"""),
 )
 def cmp_6(spark, sf):
-    # The hundred best value products; the position is read off the sorted report.
-    best = compare.ranked(compared(spark, sf)).limit(100)
-    ordered = best.agg(
-        F.array_sort(F.collect_list(F.struct("cost_per_point", "pos", "product_id"))).alias("rows")
-    ).select(F.posexplode("rows").alias("at", "row"))
-    return ordered.select(
-        F.col("row.product_id").alias("product_id"), rounded("row.cost_per_point"),
-        (F.col("at") + 1).cast("bigint").alias("place"),
-    )
+    rows = numbered(compared(spark, sf), *compare.rank_keys())
+    return rows.select("product_id", r6("cost_per_point"), (F.col("place") + 1).alias("place"))
 
 
 @check(

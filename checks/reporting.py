@@ -11,6 +11,7 @@ from checks.markets import BASE, BINS_SQL, bins, current, spread
 from checks.tables import (
     MARKET_SQL, PARAMS, PRODUCTS_SQL, RETAIL_SQL, SPREAD_SQL, as_of, classified, micros, products, r6, with_ctes,
 )
+from fairtag.functions.numbering import numbered
 from fairtag.operators import deals, feed, reports
 
 GONE = "disappeared_at IS NOT NULL"
@@ -93,10 +94,11 @@ def agg_6(spark, sf):
 
 @check(
     "agg_6_best_covered_products",
-    with_ctes(*OVERVIEW, select=" SELECT product_id, n FROM ov ORDER BY n = 0, n DESC, pos LIMIT 100"),
+    with_ctes(*OVERVIEW, select=" SELECT product_id, n, row_number() OVER (ORDER BY n = 0, n DESC, pos) AS place FROM ov"),
 )
 def agg_6_order(spark, sf):
-    return reports.overview_order(overview(spark, sf)).limit(100).select("product_id", "n")
+    rows = numbered(overview(spark, sf), *reports.overview_keys())
+    return rows.select("product_id", "n", (F.col("place") + 1).alias("place"))
 
 
 @check(

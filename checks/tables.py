@@ -22,12 +22,6 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows for every core ahead of text work. Test tables come as one split, a cluster's as many."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def classified(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as classified listings of part ads; see MARKET_SQL for the same in SQL."""
     items = read(spark, sf, "lineitem")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fairtag.functions.numbering import numbered
 from fairtag.functions.numeric import money, whole
-from fairtag.operators.deals import top
 from fairtag.params import Params
 
 ALERT_KEY = ["listing_id", "alert_cents"]
@@ -24,9 +24,9 @@ def fresh_deals(deals: DataFrame, alerted: DataFrame, min_score: float | None =
 
 
 def record_alerts(alerted: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The alert log with the fresh keys added; keys already logged keep their entry."""
+    """The alert log with the keys of ``fresh`` added, which are not in it (see ``fresh_deals``)."""
     new = with_alert_key(fresh).select(*ALERT_KEY, "score").dropDuplicates(ALERT_KEY)
-    return alerted.select(*ALERT_KEY, "score").unionByName(new.join(alerted, ALERT_KEY, "left_anti"))
+    return alerted.select(*ALERT_KEY, "score").unionByName(new)
 
 
 def push_new_deals(
@@ -152,20 +152,13 @@ def embed(sent_at: Column) -> Column:
     )
 
 
-def alert_batches(
-    deals: DataFrame, sent_at: Column, sender: str, limit: int = 50, params: Params = Params()
-) -> DataFrame:
+def alert_batches(deals: DataFrame, sent_at: Column, sender: str, params: Params = Params()) -> DataFrame:
     """JSON messages of up to ten deals, best first; the first one says how many there are.
 
-    Alerts are fed by the top deals only, so numbering them in one task is
-    bounded by ``limit``.
+    Every deal is sent; a caller who wants the best few limits the deals.
     """
-    order = Window.orderBy(F.desc("score"), "listing_id")
-    numbered = (
-        top(deals, limit)
-        .select("listing_id", "score", embed(sent_at).alias("embed"))
-        .withColumn("place", F.row_number().over(order) - 1)
-        .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+    placed = numbered(
+        deals.select("listing_id", "score", embed(sent_at).alias("embed")), F.desc("score"), F.asc("listing_id")
     )
     summary = F.concat(
         F.lit("**"), F.first("total").cast("string"), F.lit(" new deal"),
@@ -173,7 +166,7 @@ def alert_batches(
     )
     batch = F.floor(F.col("place") / params.alert_batch).alias("batch")
     return (
-        numbered.groupBy(batch)
+        placed.groupBy(batch)
         .agg(
             F.count(F.lit(1)).alias("n_deals"),
             summary.alias("summary"),

@@ -12,6 +12,7 @@ from fairtag.functions.numeric import clamp, round_cents
 from fairtag.functions.once import computed_once
 from fairtag.functions.similarity import token_set_ratio
 from fairtag.params import Params
+from fairtag.session import cut_lineage
 from fairtag.sources.catalog import Catalog, Modifier
 
 USABLE = ("rule", "fuzzy")
@@ -76,50 +77,50 @@ def rule_anchors(products: DataFrame) -> DataFrame:
     ).filter("anchor <> ''")
 
 
-def best_rule(titles: DataFrame, products: DataFrame) -> DataFrame:
-    """Adds ``rule_pos`` and ``specificity`` of the most specific matching rule, null if none,
-    and ``open``: neither excluded nor matched nor blank, so due for the fuzzy pass.
+def open_titles(titles: DataFrame) -> DataFrame:
+    """The distinct normalised titles that are neither excluded nor blank."""
+    return titles.filter("excluded_by IS NULL AND normalized_title <> ''").select("normalized_title").distinct()
+
 
-    ``titles`` has one row per ``listing_id`` and is hash-partitioned by it, so
-    regrouping the exploded words needs no second shuffle. An empty word keeps
-    titles without candidates. The winner is one long (specificity high, catalog
-    order low), which keeps the aggregation in the hash path.
+def rule_matches(names: DataFrame, products: DataFrame) -> DataFrame:
+    """``rule_product``, ``rule_pos`` and ``specificity`` of the most specific rule of each distinct ``normalized_title``.
+
+    Only words of titles take part in the join. The winner is one long (specificity
+    high, catalog order low), which keeps the aggregation in the hash path.
     """
-    anchored = rule_anchors(products)
-    spread = titles.withColumn(
-        "word",
-        F.explode(
-            F.concat(
-                F.array(F.lit("")),
-                F.when(F.col("excluded_by").isNull(), text.tokens(F.col("normalized_title")))
-                .otherwise(F.array().cast("array<string>")),
-            )
-        ),
-    )
     rank = F.shiftleft((10 * F.size("all") + F.size("any_of")).cast("bigint"), 32) - F.col("pos")
     holds = text.rule_holds(
         text.padded(F.col("normalized_title")), F.col("all"), F.col("any_of"), F.col("none_of")
     )
     best = (
-        spread.join(anchored, F.col("word") == F.col("anchor"), "left")
-        .filter((F.col("word") == "") | holds)
-        .withColumn("rank", F.when(F.col("word") != "", rank))
-        .groupBy(*titles.columns)
-        # ``open`` is an aggregate so that filters on it stay above the shuffle,
-        # which the fuzzy pass then reuses instead of reading the texts again.
-        .agg(
-            F.max("rank").alias("rank"),
-            F.bool_or(
-                F.col("excluded_by").isNull() & (F.col("normalized_title") != "") & (F.col("word") == "")
-            ).alias("candidate"),
-        )
+        names.withColumn("word", F.explode(text.tokens(F.col("normalized_title")))).filter("word <> ''")
+        .join(rule_anchors(products), F.col("word") == F.col("anchor"))
+        .filter(holds)
+        .groupBy("normalized_title")
+        .agg(F.max(rank).alias("rank"))
     )
     specificity = F.shiftright(F.col("rank") + F.lit(2**31), 32)
-    return best.select(
-        *titles.columns,
+    won = best.select(
+        "normalized_title",
         specificity.alias("specificity"),
         (F.shiftleft(specificity, 32) - F.col("rank")).cast("int").alias("rule_pos"),
-        (F.col("candidate") & F.col("rank").isNull()).alias("open"),
+    )
+    rules = products.select(F.col("pos").alias("rule_pos"), F.col("product_id").alias("rule_product"))
+    return won.join(rules, "rule_pos")
+
+
+def best_rule(titles: DataFrame, products: DataFrame) -> DataFrame:
+    """Adds ``rule_product``, ``rule_pos`` and ``specificity`` of the most specific matching rule, null if none,
+    and ``open``: neither excluded nor matched nor blank, so due for the fuzzy pass.
+
+    Each distinct title is matched once, however many listings have it.
+    """
+    found = rule_matches(open_titles(titles), products)
+    due = F.col("excluded_by").isNull() & (F.col("normalized_title") != "")
+    return (
+        titles.join(found, "normalized_title", "left")
+        .withColumns({c: F.when(due, F.col(c)) for c in ("rule_product", "rule_pos", "specificity")})
+        .withColumn("open", due & F.col("rule_pos").isNull())
     )
 
 
@@ -335,25 +336,20 @@ def classify(
     listings: DataFrame, catalog: Catalog, params: Params = Params(), fuzzy: bool = True
 ) -> DataFrame:
     """One classification row per listing; pure function of listing text and catalog."""
-    read = read_titles(listings, catalog).repartition("listing_id")
-    ruled = best_rule(read, catalog.products)
-    rules = catalog.products.select(F.col("pos").alias("rule_pos"), F.col("product_id").alias("rule_product"))
-    unmatched = {"fuzzy_product": F.lit(None).cast("string"), "fuzzy_score": F.lit(None).cast("double")}
+    read = read_titles(listings, catalog)
+    # Every distinct title is matched once; what is found goes back to the listings in one join.
+    names = cut_lineage(open_titles(read))
+    matches = rule_matches(names, catalog.products).withColumn("fuzzy_score", F.lit(None).cast("double"))
     if fuzzy:
-        # Only titles left open are shuffled by title; all parts read the same shuffled texts.
-        open_ = ruled.filter("open")
-        found = fuzzy_match(open_, catalog.products, params)
-        ruled = (
-            ruled.filter(~F.col("open")).withColumns(unmatched)
-            .unionByName(open_.join(found, "normalized_title", "left"))
-        )
-    else:
-        ruled = ruled.withColumns(unmatched)
-    ruled = ruled.join(rules, "rule_pos", "left")
+        matches = cut_lineage(matches)
+        left = names.join(matches, "normalized_title", "left_anti")
+        found = fuzzy_match(left, catalog.products, params)
+        matches = matches.unionByName(found.withColumnRenamed("fuzzy_product", "rule_product"), allowMissingColumns=True)
+    ruled = read.join(matches.drop("rule_pos"), "normalized_title", "left")
     kind = (
         F.when(F.col("excluded_by").isNotNull(), "excluded")
-        .when(F.col("rule_product").isNotNull(), "rule")
-        .when(F.col("fuzzy_product").isNotNull(), "fuzzy")
+        .when(F.col("specificity").isNotNull(), "rule")
+        .when(F.col("fuzzy_score").isNotNull(), "fuzzy")
         .otherwise("none")
     )
     usable = F.col("match_kind").isin(*USABLE)
@@ -365,9 +361,7 @@ def classify(
         .select(
             "listing_id",
             F.lit(catalog.category).alias("category"),
-            F.when(F.col("match_kind") == "rule", F.col("rule_product"))
-            .when(F.col("match_kind") == "fuzzy", F.col("fuzzy_product"))
-            .alias("product_id"),
+            F.when(usable, F.col("rule_product")).alias("product_id"),
             "match_kind",
             F.when(F.col("match_kind") == "rule", F.col("specificity").cast("double"))
             .when(F.col("match_kind") == "fuzzy", F.col("fuzzy_score"))
@@ -408,7 +402,7 @@ def reclassify(
         if force else stale(listings, normalized, catalog)
     )
     fresh = classify(todo, catalog, params).withColumn("updated_at", now)
-    kept = normalized.join(fresh.select("listing_id"), "listing_id", "left_anti")
+    kept = normalized.join(todo.select("listing_id"), "listing_id", "left_anti")
     return fresh, kept.unionByName(fresh)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairtag.functions.numeric import round_1dp
@@ -67,10 +67,11 @@ def compare(
         .withColumn("basis_price", F.coalesce(price, F.lit(0.0)))
         .withColumn("cost_per_point", F.when((F.col("basis_price") > 0) & (attr > 0), F.col("basis_price") / attr))
     )
-    cheapest = rows.groupBy("category").agg(F.min("cost_per_point").alias("cheapest"))
+    # Products are catalog rows, few to a category; their window needs no second plan of the statistics.
+    cheapest = F.min("cost_per_point").over(Window.partitionBy("category"))
     index = F.coalesce(round_1dp(F.col("cheapest") / F.col("cost_per_point") * 100), F.lit(0.0))
     return (
-        rows.join(cheapest, "category")
+        rows.withColumn("cheapest", cheapest)
         .select(
             *PRODUCT, "pos", "label", "brand", "attributes",
             F.col("p25").alias("used_p25"), F.col("p50").alias("used_median"), "retail_eur",
@@ -81,6 +82,10 @@ def compare(
     )
 
 
+def rank_keys() -> tuple[Column, ...]:
+    return F.asc_nulls_last("cost_per_point"), F.asc("pos")
+
+
 def ranked(rows: DataFrame) -> DataFrame:
     """Cheapest per point first, products without a cost last, catalog order on ties."""
-    return rows.orderBy(F.asc_nulls_last("cost_per_point"), "pos")
+    return rows.orderBy(*rank_keys())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fairtag.functions import text
 from fairtag.functions.ordered import with_previous
 from fairtag.operators.market import PRODUCT
+from fairtag.params import Params
 
 
 def _finding(level: str, message: Column, where: Column) -> list[Column]:
@@ -217,11 +218,11 @@ def preview_rule(
     any_of: list[str],
     none_of: list[str],
     product_id: str | None = None,
-    scan_limit: int | None = 4000,
+    scan_limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(scanned titles, matches of the candidate rule). ``steals`` marks other products' listings.
 
-    Titles are taken newest first; ``scan_limit`` None scans all of them.
+    All titles are scanned, or the newest ``scan_limit`` (``Params.preview_scan`` is the customary number).
     """
     scanned = results.filter("match_kind <> 'excluded' and normalized_title <> ''")
     if scan_limit is not None:
@@ -242,16 +243,13 @@ def preview_rule(
     return scanned, matches
 
 
-def preview_summary(scanned: DataFrame, matches: DataFrame, limit: int = 10) -> DataFrame:
-    """Counts of a dry run; at most ``limit`` steals are counted."""
-    found = matches.agg(
-        F.count(F.lit(1)).alias("matched"),
-        F.least(F.count_if("steals"), F.lit(limit)).alias("steal_count"),
-    )
+def preview_summary(scanned: DataFrame, matches: DataFrame) -> DataFrame:
+    """Counts of a dry run."""
+    found = matches.agg(F.count(F.lit(1)).alias("matched"), F.count_if("steals").alias("steal_count"))
     return found.withColumn("scanned", scanned.agg(F.count(F.lit(1))).scalar())
 
 
-def preview_examples(matches: DataFrame, limit: int = 10) -> DataFrame:
+def preview_examples(matches: DataFrame, limit: int = Params().preview_examples) -> DataFrame:
     """The newest examples of each sort; a ranked filter, so each task keeps ``limit`` rows only."""
     order = Window.partitionBy("steals").orderBy(F.desc("updated_at"), "listing_id")
     return matches.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)

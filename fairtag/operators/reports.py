@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtag.operators import market
@@ -62,7 +62,11 @@ def product_overview(products: DataFrame, spread: DataFrame, retail: DataFrame)
 
 def overview_order(overview: DataFrame) -> DataFrame:
     """Products with data first, the best covered first, catalog order on ties."""
-    return overview.orderBy(F.col("n") == 0, F.desc("n"), "pos")
+    return overview.orderBy(*overview_keys())
+
+
+def overview_keys() -> tuple[Column, ...]:
+    return F.asc(F.col("n") == 0), F.desc("n"), F.asc("pos")
 
 
 def product_detail(overview: DataFrame, live: DataFrame, bins: DataFrame) -> DataFrame:

@@ -30,6 +30,11 @@ class Params:
     # Classification
     fuzzy_cutoff: int = 88
     adjust_limit_pct: float = 35.0
+    description_chars: int | None = 8000  # of an ad's description; None keeps all
+
+    # Rule dry runs, where a caller wants the newest titles only
+    preview_scan: int = 4000
+    preview_examples: int = 10
 
     # Width of the time slots a listing's history is ordered in.
     slot_minutes: int = 60

@@ -154,8 +154,10 @@ def build_products(
         .withColumn("scaled", F.col("raw") / anchor_raw * 100)
         .select("product_id", round_1dp(F.col("scaled")).alias("perf"))
     )
+    # Every beginning of an id meets the families of that very prefix; ids are short.
+    beginnings = F.transform(F.sequence(F.lit(1), F.length("product_id")), lambda n: F.left("product_id", n))
     grouped = (
-        specs.join(families, F.startswith("product_id", "prefix"))
+        specs.withColumn("prefix", F.explode(beginnings)).join(families, "prefix")
         .groupBy("product_id")
         .agg(F.min(F.struct("family_pos", "family")).alias("home"))
     )

@@ -1,87 +1,95 @@
-"""Product offers from the JSON-LD blocks of shop pages."""
+"""Product offers from the JSON-LD blocks of shop pages, as VARIANT expressions."""
 
 from __future__ import annotations
 
-import json
-import math
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructType
 
-# The functions travel to the executors by value, which need not have this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from fairtag.session import cut_lineage
 
 # Fixed value: a JSON-LD script element of any attribute order.
 BLOCK = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
-OFFERS = ArrayType(
-    StructType()
-    .add("name", StringType())
-    .add("price_eur", DoubleType())
-    .add("url", StringType())
-    .add("in_stock", BooleanType())
-)
-
-
-def _price_and_stock(offers: object) -> tuple[float | None, bool]:
-    if isinstance(offers, list):
-        priced = (_price_and_stock(o) for o in offers)
-        return next((found for found in priced if found[0]), (None, False))
-    if not isinstance(offers, dict):
-        return None, False
-    shelf = str(offers.get("availability", "")).lower()
-    amount = offers.get("price") or offers.get("lowPrice")
-    try:
-        price = None if amount is None else float(str(amount).replace(",", "."))
-    except ValueError:
-        price = None
-    return price, not shelf or "instock" in shelf
-
-
-def _products(block: str) -> list[dict]:
-    """Offers of one block in document order; nesting depth is unbounded, so no fixed-depth explode."""
-    try:
-        stack = [json.loads(block)]
-    except (ValueError, RecursionError):
-        return []
-    found = []
-    while stack:
-        node = stack.pop()
-        if isinstance(node, list):
-            stack.extend(reversed(node))
-            continue
-        if not isinstance(node, dict):
-            continue
-        stack.extend(reversed(node.values()))
-        if node.get("@type") not in ("Product", "ProductGroup") and "offers" not in node:
-            continue
-        price, in_stock = _price_and_stock(node.get("offers"))
-        if node.get("name") and price and 0 < price < math.inf:
-            link = node.get("url") or node.get("@id") or ""
-            found.append({"name": str(node["name"]), "price_eur": price, "url": str(link), "in_stock": in_stock})
-    return found
-
-
-@F.pandas_udf(OFFERS)
-def products_in(blocks: pd.Series) -> pd.Series:
-    return blocks.map(_products)
+
+def page_blocks(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """One row per JSON-LD block: ``keys``, its place in the page, and its JSON, null where it is none (or nested too deep)."""
+    return (
+        pages.filter(F.contains(F.lower(html), F.lit("ld+json")))
+        .select(*keys, F.posexplode(F.regexp_extract_all(html, F.lit(BLOCK), 1)).alias("block_no", "block"))
+        .select(*keys, "block_no", F.try_parse_json("block").alias("node"))
+    )
+
+
+def refused_blocks(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """Per ``keys`` the blocks found and those that were refused as JSON."""
+    return page_blocks(pages, keys, html).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.col("node").isNull()).alias("n_refused")
+    )
+
+
+def _text(node: Column, field: str) -> Column:
+    """A scalar field as text; empty text and, unless they are text, zero and false count as missing."""
+    path = f"$['{field}']"
+    value = F.try_variant_get(node, path, "string")
+    is_text = F.schema_of_variant(F.try_variant_get(node, path, "variant")) == "STRING"
+    return F.when((value != "") & (is_text | ((value != "false") & ~F.coalesce(value.try_cast("double") == 0, F.lit(False)))), value)
+
+
+def _prices(offers: Column) -> Column:
+    """array<struct<price, in_stock>> of one offer or an array of offers, those with a price only, in order."""
+    single = F.array(offers)
+    listed = F.coalesce(F.try_variant_get(offers, "$", "array<variant>"), single)
+    # An array may stand in the place of an offer.
+    flat = F.flatten(F.transform(listed, lambda o: F.coalesce(F.try_variant_get(o, "$", "array<variant>"), F.array(o))))
+
+    def read(offer: Column) -> Column:
+        amount = F.replace(F.coalesce(_text(offer, "price"), _text(offer, "lowPrice")), F.lit(","), F.lit("."))
+        shelf = F.lower(F.coalesce(_text(offer, "availability"), F.lit("")))
+        stocked = (shelf == "") | F.contains(shelf, F.lit("instock"))
+        return F.struct(F.trim(amount).try_cast("double").alias("price_eur"), stocked.alias("in_stock"))
+
+    return F.filter(F.transform(flat, read), lambda o: o["price_eur"] != 0)
 
 
 def page_offers(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
-    """One row per priced product node: ``keys``, its place in the page, and the offer.
+    """One row per priced product node: ``keys``, its block and place in it, and the offer.
 
-    Only the matched script blocks reach Python, not the pages.
+    A product is an object with a name and a priced offer, at any depth. The nodes of a block are taken level by level until a level has no
+    objects or arrays; places follow array positions and, in objects, the names of the fields. Prices that are not positive or not
+    finite do not count.
     """
-    blocks = (
-        pages.filter(F.contains(F.lower(html), F.lit("ld+json")))
-        .select(*keys, F.posexplode(F.regexp_extract_all(html, F.lit(BLOCK), 1)).alias("block_no", "block"))
+    level = cut_lineage(
+        page_blocks(pages, keys, html).filter("node IS NOT NULL").withColumn("path", F.array().cast("array<string>"))
     )
-    return (
-        blocks.select(*keys, "block_no", products_in("block").alias("offers"))
-        .select(*keys, "block_no", F.posexplode("offers").alias("node_no", "offer"))
-        .select(*keys, "block_no", "node_no", "offer.*")
+    found = []
+    while not level.isEmpty():
+        offers = F.variant_get("node", "$.offers", "variant")
+        is_object = F.startswith(F.schema_of_variant("node"), F.lit("OBJECT"))
+        found.append(
+            level.filter(is_object).filter(offers.isNotNull())
+            .select(*keys, "block_no", "path", "node", F.try_element_at(_prices(offers), F.lit(1)).alias("offer"))
+            .filter("offer.price_eur > 0 AND offer.price_eur < double('Infinity')")
+            .select(
+                *keys, "block_no", "path", _text(F.col("node"), "name").alias("name"), "offer.price_eur",
+                F.coalesce(_text(F.col("node"), "url"), _text(F.col("node"), "@id"), F.lit("")).alias("url"), "offer.in_stock",
+            )
+            .filter("name IS NOT NULL")
+        )
+        level.createOrReplaceTempView("fairtag_jsonld_level")
+        columns = ", ".join(f"l.`{c}`" for c in [*keys, "block_no"])
+        # Positions are written with leading zeros, so paths sort as text.
+        level = cut_lineage(level.sparkSession.sql(f"""
+            SELECT {columns}, v.value AS node, array_append(l.path, lpad(CAST(v.pos AS STRING), 10, '0')) AS path
+            FROM fairtag_jsonld_level l, LATERAL variant_explode(l.node) v
+            WHERE schema_of_variant(v.value) LIKE 'OBJECT%' OR schema_of_variant(v.value) LIKE 'ARRAY%'
+        """))
+    nth = Window.partitionBy(*keys, "block_no").orderBy("path")
+    if not found:
+        empty = level.select(*keys, "block_no", F.lit(0).alias("node_no"))
+        return empty.selectExpr("*", "'' AS name", "0D AS price_eur", "'' AS url", "true AS in_stock")
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows.withColumn("node_no", F.row_number().over(nth) - 1).select(
+        *keys, "block_no", "node_no", "name", "price_eur", "url", "in_stock"
     )

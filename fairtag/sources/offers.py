@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fairtag import schemas
 from fairtag.functions.once import computed_once
+from fairtag.params import Params
 
-MAX_DESCRIPTION = 8000
 # Prices of one currency unit or less stand for free and swap-only ads.
 MIN_PRICE_CENTS = 100
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -33,10 +33,22 @@ def price_param(params: Column) -> tuple[Column, Column]:
     return F.when(cents > MIN_PRICE_CENTS, cents), F.coalesce(currency, F.lit("EUR"))
 
 
+def moment(text: Column) -> Column:
+    """A time in ISO or one of the common free spellings; a bare time of day names no day and is null."""
+    # The name of the weekday says nothing that the date does not.
+    plain = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},?\s+(?=\d)", "")
+    spellings = [
+        "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy",
+        "d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "d/M/yyyy", "d.M.yyyy HH:mm", "d.M.yyyy", "d-M-yyyy HH:mm", "d-M-yyyy",
+    ]
+    found = F.coalesce(plain.try_cast("timestamp"), *[F.try_to_timestamp(plain, F.lit(s)) for s in spellings])
+    return F.when(F.rlike(plain, F.lit(r"\d{4}")), found)
+
+
 def posted_at(offer: Column) -> Column:
     """First of creation, refresh and expiry time that parses."""
     names = ("created_time", "last_refresh_time", "valid_to_time")
-    return F.coalesce(*[offer[n].try_cast("timestamp") for n in names])
+    return F.coalesce(*[moment(offer[n]) for n in names])
 
 
 def location_label(location: Column) -> Column:
@@ -44,10 +56,13 @@ def location_label(location: Column) -> Column:
     return F.nullif(F.concat_ws(", ", *parts), F.lit(""))
 
 
-def parse_offers(payloads: DataFrame, site: str, url_prefix: str) -> DataFrame:
+def parse_offers(payloads: DataFrame, site: str, url_prefix: str, params: Params = Params()) -> DataFrame:
     """Sightings from rows (payload, category, batch_ts, batch_pos); ads without id or title drop out."""
     offer = F.col("offer")
     cents, currency = price_param(offer["params"])
+    described = stripped(offer["description"])
+    if params.description_chars is not None:
+        described = F.left(described, F.lit(params.description_chars))
     yes = F.coalesce(offer["user"]["is_business"], F.lit(False)) | F.coalesce(offer["business"], F.lit(False))
     return (
         computed_once(payloads, ["payload", "category", "batch_ts", "batch_pos"], offer=F.from_json("payload", PAYLOAD_SCHEMA))
@@ -58,7 +73,7 @@ def parse_offers(payloads: DataFrame, site: str, url_prefix: str) -> DataFrame:
             "category",
             F.coalesce(F.nullif(offer["url"], F.lit("")), F.concat(F.lit(url_prefix), offer["id"])).alias("url"),
             stripped(offer["title"]).alias("title"),
-            F.left(stripped(offer["description"]), F.lit(MAX_DESCRIPTION)).alias("description"),
+            described.alias("description"),
             cents.alias("price_cents"),
             currency.alias("currency"),
             location_label(offer["location"]).alias("location"),
