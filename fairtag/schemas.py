@@ -22,6 +22,8 @@ MODIFIER = """
 
 QUERY_TERM = "category string, pos int, term string"
 
+CATEGORY = "category string, attributes array<string>, rank_by string"
+
 RETAIL_PRICE = """
     category string, product_id string, source string, observed_on date,
     price_cents bigint, url string, in_stock boolean

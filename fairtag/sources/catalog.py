@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +13,6 @@ from fairtag import schemas
 from fairtag.functions.numeric import round_1dp
 from fairtag.functions.text import normalize
 
-# Modifiers become expressions of the plan, so their number is checked when read.
-MAX_MODIFIERS = 2000
-
 
 @dataclass(frozen=True)
 class Modifier:
@@ -56,11 +54,8 @@ def with_defaults(products: DataFrame) -> DataFrame:
 
 
 def read_modifiers(modifiers: DataFrame, category: str) -> list[Modifier]:
-    rows = (
-        modifiers.filter(F.col("category") == category).orderBy("pos").limit(MAX_MODIFIERS + 1).collect()
-    )
-    if len(rows) > MAX_MODIFIERS:
-        raise ValueError(f"more than {MAX_MODIFIERS} modifiers in category {category!r}")
+    """The modifiers of a category, which become expressions of the plan."""
+    rows = modifiers.filter(F.col("category") == category).orderBy("pos").collect()
     return [
         Modifier(
             r["modifier_id"], tuple(r["patterns"] or ()), bool(r["exclude"]),
@@ -116,25 +111,50 @@ def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
     return good, errors
 
 
-def load(
-    spark: SparkSession, folder: str, category: str, attributes: tuple[str, ...] = (), rank_by: str = ""
-) -> Catalog:
-    """Catalog of one category from ``products``, ``modifiers`` and ``query_terms`` JSON tables."""
-    products = read_json(spark, f"{folder}/products", schemas.PRODUCT)[0]
-    modifiers = read_json(spark, f"{folder}/modifiers", schemas.MODIFIER)[0]
-    terms = read_json(spark, f"{folder}/query_terms", schemas.QUERY_TERM)[0]
-    found = content_version(products, modifiers, terms).filter(F.col("category") == category).first()
-    if found is None:
+def load_all(spark: SparkSession, folder: str) -> tuple[dict[str, Catalog], DataFrame]:
+    """(catalog of each category, errors of bad files) from the JSON tables of ``folder``.
+
+    ``products``, ``modifiers`` and ``query_terms`` make the catalogs; ``categories`` names the attributes of a category and
+    the one it is ranked by. Each table is read once for all categories; a table without a folder is empty.
+    """
+    tables, errors = {}, []
+    for name, schema in (
+        ("products", schemas.PRODUCT), ("modifiers", schemas.MODIFIER), ("query_terms", schemas.QUERY_TERM), ("categories", schemas.CATEGORY),
+    ):
+        try:
+            tables[name], bad = read_json(spark, f"{folder}/{name}", schema)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            tables[name] = spark.createDataFrame([], schema)
+        else:
+            errors.append(bad.withColumn("table", F.lit(name)))
+    versions = content_version(tables["products"], tables["modifiers"], tables["query_terms"]).collect()
+    ranks = {r["category"]: r for r in tables["categories"].collect()}
+    catalogs = {}
+    for row in versions:
+        category = row["category"]
+        own = {name: t.filter(F.col("category") == category) for name, t in tables.items()}
+        about = ranks.get(category)
+        catalogs[category] = Catalog(
+            category=category,
+            products=with_defaults(own["products"]),
+            query_terms=own["query_terms"],
+            modifiers=read_modifiers(tables["modifiers"], category),
+            attributes=tuple(about["attributes"] or ()) if about else (),
+            rank_by=(about["rank_by"] or "") if about else "",
+            version=row["version"],
+        )
+    none = spark.createDataFrame([], "file string, error string, `table` string")
+    return catalogs, reduce(DataFrame.unionByName, errors, none)
+
+
+def load(spark: SparkSession, folder: str, category: str) -> Catalog:
+    """Catalog of one category; see ``load_all``."""
+    catalogs, _ = load_all(spark, folder)
+    if category not in catalogs:
         raise KeyError(f"no catalog for category {category!r}")
-    return Catalog(
-        category=category,
-        products=with_defaults(products.filter(F.col("category") == category)),
-        query_terms=terms.filter(F.col("category") == category),
-        modifiers=read_modifiers(modifiers, category),
-        attributes=attributes,
-        rank_by=rank_by,
-        version=found["version"],
-    )
+    return catalogs[category]
 
 
 def build_products(

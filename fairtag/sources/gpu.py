@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fairtag.sources.catalog import (
@@ -14,94 +17,9 @@ ATTRIBUTES = ("perf_index", "vram_gb", "tdp_w")
 ANCHOR = "rtx_5070_ti"
 RETAIL_FACTOR = 1.22
 
-# Id, memory in GB, board power in W, words that rule it out, short spellings.
-# Label, brand and required words follow from the id.
-SPECS = """
-rtx_5090 32 575 - rtx5090
-rtx_5080 16 360 super,ti rtx5080
-rtx_5070_ti 16 300 super 5070ti,rtx5070ti
-rtx_5070 12 250 ti,super rtx5070
-rtx_5060_ti_16 16 180 - 5060ti 16gb
-rtx_5060_ti_8 8 180 16gb 5060ti
-rtx_5060 8 145 ti rtx5060
-rtx_5050 8 130 - rtx5050
-rtx_4090 24 450 - rtx4090
-rtx_4080_super 16 320 - 4080s
-rtx_4080 16 320 super rtx4080
-rtx_4070_ti_super 16 285 - 4070tis
-rtx_4070_ti 12 285 super 4070ti
-rtx_4070_super 12 220 ti 4070s
-rtx_4070 12 200 ti,super rtx4070
-rtx_4060_ti_16 16 165 - 4060ti 16gb
-rtx_4060_ti_8 8 160 16gb 4060ti
-rtx_4060 8 115 ti rtx4060
-rtx_3090_ti 24 450 - 3090ti
-rtx_3090 24 350 ti rtx3090
-rtx_3080_ti 12 350 - 3080ti
-rtx_3080_10 10 320 ti rtx3080
-rtx_3070_ti 8 290 - 3070ti
-rtx_3070 8 220 ti rtx3070
-rtx_3060_ti 8 200 - 3060ti
-rtx_3060_12 12 170 ti rtx3060
-rtx_3050 8 130 - rtx3050
-rx_9070_xt 16 304 gre 9070xt,rx9070xt
-rx_9070_gre 12 220 - 9070gre
-rx_9070 16 220 xt,gre rx9070
-rx_9060_xt_16 16 160 - 9060xt 16gb
-rx_9060_xt_8 8 150 16gb 9060xt
-rx_7900_xtx 24 355 - 7900xtx
-rx_7900_xt 20 315 xtx,gre 7900xt
-rx_7900_gre 16 260 - 7900gre
-rx_7800_xt 16 263 - 7800xt
-rx_7700_xt 12 245 - 7700xt
-rx_7600_xt 16 190 - 7600xt
-rx_7600 8 165 xt rx7600
-rx_6950_xt 16 335 - 6950xt
-rx_6900_xt 16 300 - 6900xt
-rx_6800_xt 16 300 - 6800xt
-rx_6800 16 250 xt rx6800
-rx_6750_xt 12 250 - 6750xt
-rx_6700_xt 12 230 - 6700xt
-rx_6650_xt 8 180 - 6650xt
-rx_6600_xt 8 160 - 6600xt
-rx_6600 8 132 xt rx6600
-arc_b580 12 190 - arc b580
-arc_b570 10 150 - arc b570
-rtx_2080_ti 11 250 - 2080ti
-rtx_2080_super 8 250 - 2080s
-rtx_2080 8 215 ti,super rtx2080
-rtx_2070_super 8 215 - 2070s
-rtx_2070 8 175 super rtx2070
-rtx_2060_super 8 175 - 2060s
-rtx_2060 6 160 super rtx2060
-gtx_1080_ti 11 250 - 1080ti
-gtx_1080 8 180 ti gtx1080
-gtx_1070_ti 8 180 - 1070ti
-gtx_1070 8 150 ti gtx1070
-gtx_1660_super 6 125 - 1660s
-gtx_1660_ti 6 120 - 1660ti
-gtx_1660 6 120 ti,super gtx1660
-gtx_1650 4 75 super gtx1650
-gtx_1060_6 6 120 - gtx1060
-"""
-
-# Relative speed in percent of the fastest card, from a public benchmark table.
-BENCHMARK = """
-rtx_5090 100.0, rtx_5080 76.7, rtx_5070_ti 69.8, rtx_5070 57.6, rtx_5060_ti_16 43.9, rtx_5060_ti_8 41.0,
-rtx_5060 35.8, rtx_5050 27.1, rtx_4090 85.7, rtx_4080_super 70.9, rtx_4080 70.3, rtx_4070_ti_super 62.1,
-rtx_4070_ti 58.6, rtx_4070_super 54.5, rtx_4070 46.5, rtx_4060_ti_16 36.2, rtx_4060_ti_8 35.2, rtx_4060 28.4,
-rtx_3090_ti 59.7, rtx_3090 54.7, rtx_3080_ti 53.3, rtx_3080_10 49.0, rtx_3070_ti 40.0, rtx_3070 34.8,
-rtx_3060_ti 30.5, rtx_3060_12 25.0, rtx_3050 17.8, rx_9070_xt 69.7, rx_9070 62.1, rx_9070_gre 51.8,
-rx_9060_xt_16 40.2, rx_9060_xt_8 37.3, rx_7900_xtx 73.1, rx_7900_xt 64.6, rx_7800_xt 50.7, rx_7700_xt 43.4,
-rx_7600_xt 30.0, rx_7600 27.2, rx_6950_xt 53.5, rx_6900_xt 50.2, rx_6800_xt 47.6, rx_6750_xt 34.4,
-rx_6700_xt 32.5, rx_6600_xt 24.3, rx_6650_xt 22.7, rx_6600 14.9, arc_b580 30.3, arc_b570 26.5
-"""
-
-# List prices in USD of the cards still sold new.
-MSRP = """
-rtx_5090 1999, rtx_5080 999, rtx_5070_ti 749, rtx_5070 549, rtx_5060_ti_16 429, rtx_5060_ti_8 379, rtx_5060 299,
-rtx_5050 249, rx_9070_xt 599, rx_9070 549, rx_9060_xt_16 349, rx_9060_xt_8 299, arc_b580 249, arc_b570 219
-"""
+# The cards in catalog order. ``benchmark`` is the speed in percent of the fastest card, from a public
+# benchmark table; ``msrp_usd`` the list price of the cards still sold new; null where there is none.
+CARDS = Path(__file__).with_name("gpu_cards.jsonl")
 
 # Families in catalog order, and words no desktop card carries.
 FAMILIES = [
@@ -109,9 +27,6 @@ FAMILIES = [
     ("RX 6000", "rx_6"), ("Arc", "arc_"), ("Older", "rtx_2"), ("Older", "gtx_"),
 ]
 LAPTOP_WORDS = ["laptop", "portatil", "notebook"]
-SERIES = {
-    "rtx": ("GeForce RTX", "nvidia"), "gtx": ("GeForce GTX", "nvidia"), "rx": ("Radeon RX", "amd"), "arc": ("Arc", "intel"),
-}
 
 # Broad search terms.
 QUERY_TERMS = [
@@ -167,34 +82,23 @@ MODIFIERS = [
 ]
 
 
-def _spec(pos: int, line: str) -> tuple:
-    product_id, vram, tdp, banned, aliases = line.split(" ", 4)
-    series, model, *more = product_id.split("_")
-    capacity = [p for p in more if p.isdigit()]
-    variant = [p for p in more if not p.isdigit()]
-    family, brand = SERIES[series]
-    shown = [v.capitalize() if v in ("ti", "super") else v.upper() for v in variant]
-    label = " ".join([family, model.upper(), *shown, *[f"{c}GB" for c in capacity]])
-    # A 16 GB card with a smaller sibling has to name its capacity.
-    any_of = ["16gb"] if capacity == ["16"] else []
-    none_of = [] if banned == "-" else banned.split(",")
-    attributes = {"vram_gb": float(vram), "tdp_w": float(tdp)}
-    return pos, product_id, label, brand, attributes, [model, *variant], any_of, none_of, aliases.split(",")
-
-
-def _pairs(listing: str) -> list[tuple[str, float]]:
-    return [(name, float(value)) for name, value in (entry.split() for entry in listing.split(","))]
-
-
 def source_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(specifications, benchmark, list prices, families)."""
+    cards = [json.loads(line) for line in CARDS.read_text().splitlines()]
     specs = spark.createDataFrame(
-        [_spec(i, line) for i, line in enumerate(SPECS.strip().splitlines())],
+        [
+            (
+                c["pos"], c["product_id"], c["label"], c["brand"], {"vram_gb": c["vram_gb"], "tdp_w": c["tdp_w"]},
+                c["all"], c["any_of"], c["none_of"], c["aliases"],
+            )
+            for c in cards
+        ],
         "pos int, product_id string, label string, brand string, attributes map<string,double>, "
         "`all` array<string>, any_of array<string>, none_of array<string>, aliases array<string>",
     )
-    benchmark = spark.createDataFrame(_pairs(BENCHMARK), "product_id string, raw double")
-    msrp = spark.createDataFrame(_pairs(MSRP), "product_id string, usd double")
+    known = lambda name: [(c["product_id"], float(c[name])) for c in cards if c[name] is not None]
+    benchmark = spark.createDataFrame(known("benchmark"), "product_id string, raw double")
+    msrp = spark.createDataFrame(known("msrp_usd"), "product_id string, usd double")
     families = spark.createDataFrame(
         [(i, name, prefix) for i, (name, prefix) in enumerate(FAMILIES)], "family_pos int, family string, prefix string"
     )

@@ -27,9 +27,9 @@ def messages(spark, df, **options):
 
 
 def test_batches_of_ten_and_one_summary(spark):
-    sent = messages(spark, deals(spark, *[{"score": 90.0 - i} for i in range(23)]))
-    assert [len(m["embeds"]) for m in sent] == [10, 10, 3]
-    assert sent[0]["content"] == "**23 new deals**" and all("content" not in m for m in sent[1:])
+    sent = messages(spark, deals(spark, *[{"score": 90.0 - i} for i in range(37)]))
+    assert [len(m["embeds"]) for m in sent] == [10, 10, 10, 7]
+    assert sent[0]["content"] == "**37 new deals**" and all("content" not in m for m in sent[1:])
     assert all(m["allowed_mentions"] == {"parse": []} and m["username"] == "me" for m in sent)
     assert messages(spark, deals(spark, {}))[0]["content"] == "**1 new deal**"
     assert messages(spark, deals(spark).limit(0)) == []
@@ -45,7 +45,7 @@ def test_entry_content_and_limits(spark):
     }
     assert entry["footer"] == {"text": "ads · score 70/100"}
     long = messages(spark, deals(spark, {
-        "title": "T" * 5000, "product_label": "L" * 400, "reasons": ["y" * 500] * 20, "cautions": ["z" * 500] * 20,
+        "title": "wide " * 90, "product_label": "name " * 70, "reasons": [f"reason {i} " * 30 for i in range(12)], "cautions": [f"caution {i} " * 40 for i in range(9)],
         "retail_ratio": None, "retail_eur": None, "location": None, "score": 50.0,
     }))[0]["embeds"][0]
     assert len(long["title"]) == 256 and len(long["description"]) == 4000 and long["color"] == alerts.COLOR_WARM

@@ -1,79 +1,88 @@
+"""Classification of titles generated from the catalog's own rows and patterns."""
+
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from fairtag.functions import text
 from fairtag.operators import classify as cls
 
 
+def bare(pattern):
+    """The plain words of a pattern, and the guard words that must not stand before them."""
+    guards = re.findall(r"\(\?<!([^)]*)\)", pattern)
+    words = re.sub(r"\(\?<![^)]*\)", "", pattern)
+    for sign, plain in ((r"\b", ""), ("^", ""), (r"\d+", "3"), ("[- ]", " ")):
+        words = words.replace(sign, plain)
+    return words.strip(), guards
+
+
+def modifier_titles(gpu):
+    """Every pattern alone and after each of its guard words."""
+    for m in gpu.modifiers:
+        for pattern in m.patterns:
+            words, guards = bare(pattern)
+            for guard in ["", *guards]:
+                yield f"{guard}{words} rtx 3090" if pattern.startswith("^") else f"rtx 3090 {guard}{words}"
+
+
 @pytest.fixture(scope="module")
-def results(spark, gpu):
-    """All titles of this module classified in one pass."""
-    titles = (
-        [t for t, _ in RULES] + [t for t, _ in EXCLUDED] + UNMATCHED + [t for t, _ in FUZZY] + [t for t, _, _ in MODIFIERS]
-    )
+def labels(gpu):
+    return {r.label: r for r in gpu.products.collect()}
+
+
+@pytest.fixture(scope="module")
+def results(spark, gpu, labels):
+    """All titles of this module classified in one pass: title -> (normalised title, result)."""
+    titles = [*labels, *(f"{label} {gpu_word}" for label in labels for gpu_word in ("laptop",)), *modifier_titles(gpu), *FUZZY, *UNKNOWN]
     rows = [(str(i), t, "", 100_000) for i, t in enumerate(dict.fromkeys(titles))]
     listings = spark.createDataFrame(rows, "listing_id string, title string, description string, price_cents bigint")
+    plain = {r.listing_id: r.n for r in listings.select("listing_id", text.normalize(F.col("title")).alias("n")).collect()}
     found = {r.listing_id: r for r in cls.classify(listings, gpu).collect()}
     assert len(found) == len(rows)
-    return {t: found[i] for i, t, _, _ in rows}
-
-
-RULES = [
-    ("Zotac RTX 5070Ti Solid", "rtx_5070_ti"), ("RTX 5070 Windforce 12 GB", "rtx_5070"),
-    ("MSI rtx4080 super expert", "rtx_4080_super"), ("RTX 4080 TUF", "rtx_4080"),
-    ("4070TI SUPER 16go", "rtx_4070_ti_super"), ("Gainward 4070 Ti", "rtx_4070_ti"),
-    ("RTX4070 Super dual", "rtx_4070_super"), ("GeForce RTX 4070 dual fan", "rtx_4070"),
-    ("RTX 5060 Ti 16 GB Palit", "rtx_5060_ti_16"), ("RTX 5060ti Palit", "rtx_5060_ti_8"),
-    ("XFX RX 7900XTX Merc", "rx_7900_xtx"), ("RX 7900 XT Merc", "rx_7900_xt"), ("RX7900GRE", "rx_7900_gre"),
-    ("Sapphire 9070 XT Pure", "rx_9070_xt"), ("PowerColor RX 9070 Reaper", "rx_9070"),
-    ("RX 9060XT 8GB", "rx_9060_xt_8"), ("RX 6800 XT Gaming Z", "rx_6800_xt"), ("RX 6800 midnight", "rx_6800"),
-    ("Intel ARC B580 Limited", "arc_b580"), ("GTX 1080Ti aorus", "gtx_1080_ti"), ("GTX 1660 Super ventus", "gtx_1660_super"),
-    ("GTX 1080 boa para 1080p", "gtx_1080"), ("RTX 3080 sem artefactos, tudo ok", "rtx_3080_10"),
-    ("RTX 3080 com backplate preta", "rtx_3080_10"), ("4080s founders", "rtx_4080"),
-]
-EXCLUDED = [
-    ("Procuro uma RTX 4090", "wanted_ad"), ("Compro RX 6600 barata", "wanted_ad"), ("RTX 3070 não liga", "faulty"),
-    ("GTX 1660 com artefactos", "faulty"), ("PC Gaming Completo Ryzen RTX 4060", "whole_system"),
-    ("Rig de mineração 8 placas", "mining_rig"), ("Backplate RTX 3090", "accessory_only"),
-]
-UNMATCHED = [
-    "Radeon Pro W5500", "GTX 960 4GB", "Mesa de escritório branca", "Monitor 1080p curvo", "RTX 4060 laptop 8GB",
-    "Placa RTX 3070 portátil", "rtx4070 notebook",
-]
+    return {t: (plain[i], found[i]) for i, t, _, _ in rows}
+
+
 # A title of which only a common word is left counts as contained in the first alias that has it.
-FUZZY = [("arc placa gaming b", "arc_b580")]
-MODIFIERS = [
-    ("RTX 3090 com garantia", {"warranty"}, set()), ("RTX 3090 sem garantia", {"no_returns"}, {"warranty"}),
-    ("RTX 3090 c/ garantia e fatura", {"warranty", "invoice"}, set()), ("RTX 3090 sem fatura", set(), {"invoice"}),
-    ("RTX 3090 sem caixa", set(), {"boxed"}), ("RTX 3090 nunca minou", set(), {"mined_on"}),
-    ("RTX 3090 usada para mineração", {"mined_on"}, set()), ("RTX 3090 s/ garantia", set(), {"warranty"}),
-]
+FUZZY = {"arc placa gaming b": "arc_b580"}
+UNKNOWN = ["Candeeiro de pé", "Quadro W7100", "Ecrã de 32 polegadas", ""]
 
 
-@pytest.mark.parametrize("title,product", RULES)
-def test_rules(results, title, product):
-    assert (results[title].match_kind, results[title].product_id) == ("rule", product)
+def test_each_card_is_told_from_its_variants(results, labels):
+    got = {label: (results[label][1].match_kind, results[label][1].product_id) for label in labels}
+    assert got == {label: ("rule", row.product_id) for label, row in labels.items()}
+    # A variant's title names the base card too; the rule with more words wins.
+    words = {row.product_id: set(row["all"]) for row in labels.values()}
+    pairs = [(a, b) for a in words for b in words if words[a] < words[b]]
+    assert len(pairs) > 15
 
 
-@pytest.mark.parametrize("title,reason", EXCLUDED)
-def test_exclusions(results, title, reason):
-    row = results[title]
-    assert (row.match_kind, row.excluded_by, row.product_id, row.modifiers, row.adjust_pct) == ("excluded", reason, None, [], 0)
+def test_laptop_cards_stay_unmatched(results, labels):
+    assert {results[f"{label} laptop"][1].match_kind for label in labels} == {"none"}
 
 
-@pytest.mark.parametrize("title", UNMATCHED)
-def test_unknown_titles_stay_unmatched(results, title):
-    assert results[title].match_kind == "none" and results[title].product_id is None
+def test_unknown_titles_stay_unmatched(results):
+    assert {(results[t][1].match_kind, results[t][1].product_id) for t in UNKNOWN} == {("none", None)}
 
 
-@pytest.mark.parametrize("title,product", FUZZY)
-def test_fuzzy(results, title, product):
-    assert (results[title].match_kind, results[title].product_id) == ("fuzzy", product)
+def test_fuzzy(results):
+    assert {t: (results[t][1].match_kind, results[t][1].product_id) for t in FUZZY} == {t: ("fuzzy", p) for t, p in FUZZY.items()}
 
 
-@pytest.mark.parametrize("title,present,absent", MODIFIERS)
-def test_negation_does_not_invert_a_modifier(results, title, present, absent):
-    found = set(results[title].modifiers)
-    assert present <= found and not absent & found
+def test_patterns_and_their_guards(results, gpu):
+    guarded = 0
+    for title in modifier_titles(gpu):
+        plain, row = results[title]
+        hits = [m for m in gpu.modifiers if any(re.search(p, plain) for p in m.patterns)]
+        reason = next((m.modifier_id for m in hits if m.exclude), None)
+        assert row.excluded_by == reason, title
+        found = [] if reason else [m for m in hits if not m.exclude]
+        assert sorted(row.modifiers) == sorted(m.modifier_id for m in found), title
+        assert row.adjust_pct == sum(m.price_adjust_pct for m in found), title
+        assert reason is None or (row.match_kind, row.product_id) == ("excluded", None)
+        guarded += not hits
+    assert guarded >= 5
 
 
 def test_adjustment_is_clamped_and_null_safe(spark):

@@ -1,6 +1,5 @@
-"""The whole run on a made-up card market with one planted bargain per model."""
+"""The whole run on an even market of catalog cards with one planted bargain each."""
 
-import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,52 +9,66 @@ from fairtag import schemas
 from fairtag.plans.cycle import run_cycle, search, value_ranking
 
 NOW = datetime(2024, 6, 1)
-MARKET = {"RTX 5070 Ti": ("rtx_5070_ti", 720), "RX 9070 XT": ("rx_9070_xt", 610), "RTX 4070 Super": ("rtx_4070_super", 470)}
-NOISE = ["Procuro RTX 5070 Ti", "PC Gaming completo RTX 4070", "RTX 3080 para peças", "Cadeira preta"]
+# Every ninth card of the catalog is on the market, at a street price that falls with its place.
+STEP, ADS, SALES = 9, 24, 5
+
+
+def street(pos):
+    return 900 - 10 * pos
+
+
+def seen(key, title, cents, posted, last=NOW, pos=0, pro=False):
+    return ("ads", key, "gpu", f"https://ads.example/{key}", title, "", cents, "EUR", "Porto", "u", pro, 1, posted, None, last, pos)
 
 
 @pytest.fixture(scope="module")
-def cycle(spark, gpu):
-    rng = random.Random(11)
+def traded(gpu):
+    return [r for r in gpu.products.orderBy("pos").collect() if r.pos % STEP == 0]
+
+
+@pytest.fixture(scope="module")
+def sightings(traded):
     rows = []
+    for card in traded:
+        euros = street(card.pos)
+        # Asking prices climb evenly from 12 % under the street price to 11 % over it; posted over five weeks.
+        for i in range(ADS):
+            rows.append(seen(f"{card.product_id}-{i}", card.label, euros * (88 + i), NOW - timedelta(days=1 + 1.4 * i)))
+        # Sold: seen for half a day, a week ago.
+        for i in range(SALES):
+            start = NOW - timedelta(days=7, hours=i)
+            rows.append(seen(f"{card.product_id}-sold{i}", card.label, euros * 97, start, start))
+            rows.append(seen(f"{card.product_id}-sold{i}", card.label, euros * 96, start, start + timedelta(hours=12), 1))
+        rows.append(seen(f"{card.product_id}-bargain", card.label, euros * 65, NOW - timedelta(hours=3)))
+        rows.append(seen(f"{card.product_id}-shop", card.label, euros * 40, NOW, pro=True))
+    first = traded[0].label
+    rows += [seen("noise0", f"Busco {first}", 5000, NOW), seen("noise1", f"{first} averiada", 5000, NOW), seen("noise2", "Estante de pinho", 5000, NOW)]
+    return rows
 
-    def ad(key, title, cents, posted, seen=NOW, pos=0, pro=False):
-        rows.append(("ads", key, "gpu", f"https://ads.example/{key}", title, "Entrega em mão.", cents, "EUR", "Lisboa", "u", pro, 3, posted, None, seen, pos))
-
-    for model, (_, street) in MARKET.items():
-        for i in range(30):
-            posted = NOW - timedelta(days=rng.uniform(0, 40))
-            cents = int(max(120, rng.gauss(street, street * 0.08)) * 100)
-            ad(f"{model}-{i}", f"{rng.choice(['Vendo', 'Placa Gráfica', ''])} {model} {rng.choice(['MSI', 'Asus'])}", cents, posted)
-        # Sold quickly: seen twice, gone within two days.
-        for i in range(4):
-            start = NOW - timedelta(days=6)
-            ad(f"{model}-sold{i}", model, street * 95, start, start)
-            ad(f"{model}-sold{i}", model, street * 90, start, start + timedelta(hours=9), 1)
-        ad(f"{model}-bargain", f"{model} urgente", int(street * 70), NOW - timedelta(hours=5))
-        ad(f"{model}-shop", model, int(street * 50), NOW, pro=True)
-    for i, title in enumerate(NOISE):
-        ad(f"noise{i}", title, 10000, NOW)
-    sightings = spark.createDataFrame(rows, schemas.SIGHTING)
+
+@pytest.fixture(scope="module")
+def cycle(spark, gpu, traded, sightings):
     nothing = spark.createDataFrame([], schemas.NORMALIZED)
-    retail = spark.createDataFrame([("gpu", "rtx_5070_ti", "shop", NOW.date(), 90000, "u", True)], schemas.RETAIL_PRICE)
+    shop_price = 2 * street(0) * 100
+    retail = spark.createDataFrame([("gpu", traded[0].product_id, "shop", NOW.date(), shop_price, "u", True)], schemas.RETAIL_PRICE)
     alerted = spark.createDataFrame([], "listing_id string, alert_cents bigint, score double")
     as_of = F.lit(NOW).cast("timestamp")
-    return run_cycle(sightings, nothing, gpu, retail, alerted, as_of, ["chat"]), retail, as_of
+    run = run_cycle(spark.createDataFrame(sightings, schemas.SIGHTING), nothing, gpu, retail, alerted, as_of, ["chat"])
+    return run, retail, as_of
 
 
-def test_bargains_surface_and_noise_does_not(cycle):
+def test_bargains_surface_and_noise_does_not(cycle, traded):
     run, _, _ = cycle
     found = run.deals.collect()
-    ids = [r.listing_id for r in found]
-    best_of = {pid: next(r.listing_id for r in found if r.product_id == pid) for pid, _ in MARKET.values()}
-    assert best_of == {pid: f"ads/{model}-bargain" for model, (pid, _) in MARKET.items()}
-    assert not any("noise" in i or "shop" in i or "sold" in i for i in ids)
-    best = next(r for r in found if r.listing_id == "ads/RTX 5070 Ti-bargain")
-    assert best.retail_eur == 900.0 and "4 comparable sales observed" in best.reasons and "posted in the last 48h" in best.reasons
+    best_of = {c.product_id: next((r.listing_id for r in found if r.product_id == c.product_id), None) for c in traded}
+    assert best_of == {c.product_id: f"ads/{c.product_id}-bargain" for c in traded}
+    assert not any(word in r.listing_id for r in found for word in ("noise", "shop", "sold"))
+    best = next(r for r in found if r.product_id == traded[0].product_id)
+    assert best.retail_eur == 2.0 * street(0) and f"{SALES} comparable sales observed" in best.reasons and "posted in the last 48h" in best.reasons
     assert {r.listing_id for r in run.fresh.collect()} == {r.listing_id for r in found if r.score >= 45}
     kinds = {r.match_kind: r["count"] for r in run.normalized.groupBy("match_kind").count().collect()}
-    assert kinds["excluded"] == 3 and kinds["none"] == 1 and run.unmatched.first().sample_title == "Cadeira preta"
+    assert kinds == {"excluded": 2, "none": 1, "rule": len(traded) * (ADS + SALES + 2)}
+    assert run.unmatched.first().sample_title == "Estante de pinho"
 
 
 def test_a_second_run_alerts_nothing_new(spark, gpu, cycle):
@@ -66,12 +79,16 @@ def test_a_second_run_alerts_nothing_new(spark, gpu, cycle):
     assert again.count() == 0 and log.count() == run.alerted.count()
 
 
-def test_value_ranking_and_search(spark, gpu, cycle):
+def test_value_ranking_and_search(spark, gpu, cycle, traded):
     run, retail, as_of = cycle
     rows = value_ranking(run, gpu, retail, as_of).collect()
-    assert len(rows) == 66 and rows[0].value_index == 100.0 and rows[-1].cost_per_point is None
-    assert {r.product_id for r in rows[:3]} == {pid for pid, _ in MARKET.values()}
-    wanted = spark.createDataFrame([("noise3",), ("RTX 5070 Ti-bargain",)], "site_listing_id string")
-    cheap, chair = sorted(search(wanted, run, gpu, as_of).collect(), key=lambda r: r.match_kind, reverse=True)
-    assert cheap.product_label == "GeForce RTX 5070 Ti" and cheap.pct_rank < 0.05 and cheap.vs_median > 20
-    assert (chair.match_kind, chair.pct_rank, chair.confidence) == ("none", None, "none")
+    ranked = [r for r in rows if r.cost_per_point is not None]
+    with_index = {c.product_id for c in traded if c.attributes.get("perf_index")}
+    assert len(rows) == gpu.products.count() and rows[-1].cost_per_point is None
+    assert {r.product_id for r in ranked} >= with_index and ranked[0].value_index == 100.0
+    assert [r.cost_per_point for r in ranked] == sorted(r.cost_per_point for r in ranked)
+    key = f"{traded[0].product_id}-bargain"
+    wanted = spark.createDataFrame([("noise2",), (key,)], "site_listing_id string")
+    cheap, shelf = sorted(search(wanted, run, gpu, as_of).collect(), key=lambda r: r.match_kind, reverse=True)
+    assert cheap.product_label == traded[0].label and cheap.pct_rank < 0.05 and cheap.vs_median > 30
+    assert (shelf.match_kind, shelf.pct_rank, shelf.confidence) == ("none", None, "none")
