@@ -117,15 +117,23 @@ def snk_4(spark, sf):
 @check(
     "snk_3_alert_batches",
     with_ctes(*ALERTS, select=f"""
-, rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, listing_id) - 1 AS place FROM (SELECT * FROM fresh ORDER BY score DESC, listing_id LIMIT 50))
+, rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, listing_id) - 1 AS place, {REASONS_SQL} AS rs, {CAUTIONS_SQL} AS cs FROM fresh)
 SELECT place // 10 AS batch, place, listing_id, {HEADLINE} AS title, CASE WHEN score >= 65 THEN 828172 WHEN score >= 45 THEN 16429593 ELSE 2783446 END AS color,
-  5 + CASE WHEN retail_ratio <> 0 THEN 1 ELSE 0 END - CASE WHEN location <> '' THEN 0 ELSE 1 END AS n_fields,
+  left(left(title, 240) || CASE WHEN len(rs) > 0 THEN chr(10) || chr(10) || array_to_string(rs, ' · ') ELSE '' END
+    || CASE WHEN len(cs) > 0 THEN chr(10) || chr(10) || '⚠️ **Caution:** ' || array_to_string(cs, '; ') ELSE '' END
+    || CASE WHEN len(modifiers) > 0 THEN chr(10) || '`' || replace(array_to_string(modifiers, '` `'), '_', ' ') || '`' ELSE '' END, 4000) AS description,
+  'Price=**' || {_money('price_eur')} || '**' || CASE WHEN abs(adjusted_eur - price_eur) > 5 THEN chr(10) || '≈' || {_money('adjusted_eur')} || ' like-for-like' ELSE '' END
+    || '|vs median=−' || {_w('below_median_pct')} || '% (' || {_money('p50')} || ')' || chr(10) || 'saves ≈' || {_money('saving_eur')}
+    || '|Market=n=' || n || chr(10) || confidence || ' confidence'
+    || CASE WHEN retail_ratio <> 0 THEN '|vs retail=' || {_w('retail_ratio * 100')} || '% of ' || {_money('retail_eur')} ELSE '' END
+    || CASE WHEN location <> '' THEN '|Where=' || location ELSE '' END || '|Listed=' || {_w('days_listed')} || ' days ago' AS fields,
+  'market · score ' || {_w('score')} || '/100' AS footer,
   CASE WHEN place < 10 THEN '**' || (SELECT count(*) FROM rk) || ' new deals**' END AS content FROM rk"""),
 )
 def snk_3(spark, sf):
     batches = alerts.alert_batches(fresh(spark, sf), sent_at(), "alerts")
     message = F.from_json("payload", """
-        content string, embeds array<struct<title:string, url:string, color:int, fields:array<struct<name:string, value:string>>>>
+        content string, embeds array<struct<title:string, url:string, description:string, color:int, fields:array<struct<name:string, value:string>>, footer:struct<text:string>>>
     """).alias("m")
     return (
         batches.select("batch", message)
@@ -133,6 +141,7 @@ def snk_3(spark, sf):
         .select(
             "batch", (F.col("batch") * 10 + F.col("nth")).alias("place"),
             F.concat(F.lit("market/"), F.element_at(F.split("embed.url", "/"), -1)).alias("listing_id"),
-            "embed.title", "embed.color", F.size("embed.fields").alias("n_fields"), "content",
+            "embed.title", "embed.color", "embed.description", F.col("embed.footer.text").alias("footer"),
+            F.array_join(F.transform("embed.fields", lambda f: F.concat(f["name"], F.lit("="), f["value"])), "|").alias("fields"), "content",
         )
     )

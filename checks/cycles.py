@@ -11,7 +11,7 @@ from checks.classifying import (
     FUZZY_SQL, MATCH_SQL, PART_TEXT, PART_TITLE, RESULT_SQL, RULES_SQL, part_catalog,
 )
 from checks.markets import DEAL_SQL, RANK_SQL
-from checks.tables import AS_OF, COMPARABLE_SQL, PARAMS, SAMPLES_SQL, SPREAD_SQL, as_of, read, rounded, with_ctes
+from checks.tables import AS_OF, COMPARABLE_SQL, PARAMS, SAMPLES_SQL, SPREAD_SQL, as_of, micros, read, rounded, with_ctes
 from fairtag import schemas
 from fairtag.operators import classify as cls
 from fairtag.operators import market
@@ -63,25 +63,62 @@ RUN_SQL = (
 )
 
 
-@check(
-    "cyc_full_cycle_deals",
-    with_ctes(*RUN_SQL, select="""
+DEALS_SQL = with_ctes(*RUN_SQL, select="""
 SELECT listing_id, product_label, price_eur, round(p50, 6) AS median_eur, round(pct_rank, 9) AS pct_rank, round(price_drop_pct, 6) AS price_drop_pct, score
-FROM g ORDER BY score DESC, listing_id LIMIT 50"""),
-)
-def full_cycle(spark, sf):
-    catalog = part_catalog(spark, sf)
-    catalog = replace(catalog, products=catalog.products.withColumn("retail_fallback_eur", F.lit(0.0)))
-    run = cycle.run_cycle(
-        line_sightings(spark, sf), spark.createDataFrame([], schemas.NORMALIZED), catalog,
-        spark.createDataFrame([], schemas.RETAIL_PRICE),
-        spark.createDataFrame([], "listing_id string, alert_cents bigint, score double"), as_of(), ["chat"], RUN_PARAMS,
+FROM g ORDER BY score DESC, listing_id LIMIT 50""")
+
+
+def run(spark, sightings, moment, catalog, before=None):
+    nothing = spark.createDataFrame([], schemas.NORMALIZED)
+    retail = spark.createDataFrame([], schemas.RETAIL_PRICE)
+    log = spark.createDataFrame([], "listing_id string, alert_cents bigint, score double")
+    if before is None:
+        return cycle.run_cycle(sightings, nothing, catalog, retail, log, moment, ["chat"], RUN_PARAMS)
+    return cycle.run_cycle(
+        sightings, before.normalized, catalog, retail, before.alerted, moment, ["chat"], RUN_PARAMS,
+        prior=before.folded, queue=before.unmatched,
     )
-    return run.deals.select(
+
+
+def unpriced_catalog(spark, sf):
+    catalog = part_catalog(spark, sf)
+    return replace(catalog, products=catalog.products.withColumn("retail_fallback_eur", F.lit(0.0)))
+
+
+def deal_columns(found):
+    return found.deals.select(
         "listing_id", "product_label", "price_eur", rounded("median_eur"), rounded("pct_rank", 9), rounded("price_drop_pct"), "score"
     )
 
 
+@check("cyc_full_cycle_deals", DEALS_SQL)
+def full_cycle(spark, sf):
+    return deal_columns(run(spark, line_sightings(spark, sf), as_of(), unpriced_catalog(spark, sf)))
+
+
+# Two runs: the sightings before a day, then the others on top of what the first run left.
+HALF = "1996-01-01"
+
+
+def two_runs(spark, sf):
+    lines, catalog = line_sightings(spark, sf), unpriced_catalog(spark, sf)
+    first = run(spark, lines.filter(F.col("batch_ts") < HALF), F.lit(HALF).cast("timestamp"), catalog)
+    return run(spark, lines.filter(F.col("batch_ts") >= HALF), as_of(), catalog, first)
+
+
+@check("cyc_two_cycles", DEALS_SQL)
+def two_cycles(spark, sf):
+    return deal_columns(two_runs(spark, sf))
+
+
+@check(
+    "cyc_two_cycles_listings",
+    with_ctes(*RUN_SQL, select=" SELECT listing_id, title, seen_count, epoch_us(last_seen) AS last_seen, price_cents FROM fl"),
+)
+def two_cycles_listings(spark, sf):
+    return two_runs(spark, sf).listings.select("listing_id", "title", "seen_count", micros("last_seen"), "price_cents")
+
+
 # Joins of the classification with the listings.
 
 

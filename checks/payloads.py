@@ -33,7 +33,8 @@ def payloads(spark, sf):
           'location', named_struct(
             'city', IF(l_suppkey % 4 = 0, NULL, named_struct('name', concat('City ', l_suppkey % 10))),
             'region', IF(l_suppkey % 5 = 0, NULL, named_struct('name', concat('Region ', l_suppkey % 3)))),
-          'created_time', CASE WHEN l_linenumber = 1 THEN 'yesterday' WHEN l_linenumber > 2 THEN concat(date_format(l_shipdate, 'yyyy-MM-dd'), 'T00:00:00+01:00') END,
+          'created_time', CASE WHEN l_linenumber = 1 THEN 'yesterday' WHEN l_linenumber = 3 THEN concat('Tue, ', date_format(l_shipdate, 'dd MMM yyyy'), ' 23:00:00 GMT') WHEN l_linenumber = 4 THEN date_format(l_shipdate, 'd/M/yyyy HH:mm')
+            WHEN l_linenumber > 4 THEN concat(date_format(l_shipdate, 'yyyy-MM-dd'), 'T00:00:00+01:00') END,
           'last_refresh_time', IF(l_linenumber = 2, date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss'), NULL),
           'valid_to_time', concat(date_format(l_shipdate, 'yyyy-MM-dd'), 'T10:30:00Z')))
     """)
@@ -82,7 +83,7 @@ def src_2(spark, sf):
 @check(
     "src_3_posting_time",
     with_ctes(ADS_SQL, select="""
-SELECT sid AS site_listing_id, epoch_us(l_shipdate + CASE l_linenumber WHEN 1 THEN INTERVAL '630 minutes' WHEN 2 THEN INTERVAL '0 minutes' ELSE INTERVAL '-60 minutes' END) AS posted_at FROM i"""),
+SELECT sid AS site_listing_id, epoch_us(l_shipdate + CASE l_linenumber WHEN 1 THEN INTERVAL '630 minutes' WHEN 2 THEN INTERVAL '0 minutes' WHEN 3 THEN INTERVAL '1380 minutes' WHEN 4 THEN INTERVAL '0 minutes' ELSE INTERVAL '-60 minutes' END) AS posted_at FROM i"""),
 )
 def src_3(spark, sf):
     return parsed(spark, sf).select("site_listing_id", micros("posted_at"))

@@ -392,16 +392,24 @@ def stale(listings: DataFrame, normalized: DataFrame, catalog: Catalog) -> DataF
     )
 
 
+def work_list(listings: DataFrame, normalized: DataFrame, catalog: Catalog, force: bool = False) -> DataFrame:
+    """The listings of the category to classify: the stale ones, or all with ``force``."""
+    return listings.filter(F.col("category") == catalog.category) if force else stale(listings, normalized, catalog)
+
+
+def replaced(normalized: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The result table with the fresh results in the place of the old ones."""
+    return normalized.join(fresh.select("listing_id"), "listing_id", "left_anti").unionByName(fresh)
+
+
 def reclassify(
     listings: DataFrame, normalized: DataFrame, catalog: Catalog, now: Column,
     force: bool = False, params: Params = Params(),
 ) -> tuple[DataFrame, DataFrame]:
     """(new results only, full table with those replaced)."""
-    todo = (
-        listings.filter(F.col("category") == catalog.category)
-        if force else stale(listings, normalized, catalog)
-    )
+    todo = work_list(listings, normalized, catalog, force)
     fresh = classify(todo, catalog, params).withColumn("updated_at", now)
+    # The listings to replace are known before they are classified.
     kept = normalized.join(todo.select("listing_id"), "listing_id", "left_anti")
     return fresh, kept.unionByName(fresh)
 

@@ -16,6 +16,9 @@ from fairtag.sources.catalog import Catalog
 
 @dataclass(frozen=True)
 class Cycle:
+    """``folded`` and ``unmatched`` are what the next run starts from."""
+
+    folded: DataFrame
     listings: DataFrame
     normalized: DataFrame
     unmatched: DataFrame
@@ -34,24 +37,30 @@ def run_cycle(
     channels: list[str],
     params: Params = Params(),
     force: bool = False,
-    checkpoint: bool = True,
+    prior: DataFrame | None = None,
+    queue: DataFrame | None = None,
+    limit: int | None = 50,
 ) -> Cycle:
-    """Fold, classify what is new or stale, score the live market and pick what to alert on.
+    """Fold the new sightings, classify what is new or stale, score the live market and pick what to alert on.
 
-    ``force`` reclassifies everything, as a first run or a catalog edit does.
-    Scoring reads the classification several times, so its narrow table is
-    materialised in the shared folder unless ``checkpoint`` is off.
+    ``prior`` and ``queue`` are the ``folded`` and ``unmatched`` tables of the run before, so only new sightings are read.
+    ``force`` reclassifies everything, as a catalog edit asks for. The best ``limit`` deals are kept, all of them with None.
+    The fold and the fresh results are materialised in the shared folder; everything else reads them.
     """
-    listings = fold.fold(sightings, as_of, params)
-    fresh_results, results = cls.reclassify(listings, normalized, catalog, as_of, force, params)
-    if checkpoint:
-        results = cut_lineage(results)
-    queue = cls.unmatched_titles(fresh_results, listings, as_of)
+    partial = fold.partial_fold(sightings)
+    folded = cut_lineage(partial if prior is None else fold.merge_folds(prior.unionByName(partial)))
+    listings = fold.close_missing(fold.finish_fold(folded), as_of, params)
+    todo = cls.work_list(listings, normalized, catalog, force)
+    fresh_results = cut_lineage(cls.classify(todo, catalog, params).withColumn("updated_at", as_of))
+    results = cls.replaced(normalized, fresh_results)
+    unmatched = cls.unmatched_titles(fresh_results, listings, as_of)
+    if queue is not None:
+        unmatched = cls.merge_unmatched(queue, unmatched)
     classified = market.classified_listings(listings, results)
     prices = retail.current_retail(retail_prices, catalog.products, as_of, params)
-    found = deals.find_deals(classified, catalog.products, prices, as_of, params)
+    found = deals.find_deals(classified, catalog.products, prices, as_of, params, limit=limit)
     fresh, log = alerts.push_new_deals(found, alerted, channels, params)
-    return Cycle(listings, results, queue, found, fresh, log)
+    return Cycle(folded, listings, results, unmatched, found, fresh, log)
 
 
 def value_ranking(
