@@ -152,7 +152,7 @@ def qlt_1(spark, sf):
     "qlt_2_duplicate_ids",
     """
 WITH p AS (SELECT p_partkey AS pos, p_name AS id, lag(p_partkey) OVER (PARTITION BY p_name ORDER BY p_partkey) AS earlier FROM part)
-SELECT id AS product_id, 'Duplicate product id ''' || id || ''' (also at products[' || earlier || ']).' AS message, 'products[' || pos || '] (' || id || ')' AS "where"
+SELECT id AS product_id, 'Duplicate product id ''' || id || ''' (also at products[' || earlier || ']). Ids are database keys — two rows would fight over one history.' AS message, 'products[' || pos || '] (' || id || ')' AS "where"
 FROM p WHERE earlier IS NOT NULL""",
 )
 def qlt_2(spark, sf):

@@ -147,3 +147,21 @@ def str_6(spark, sf):
     return folding.refresh_distributions(known, sampled, touched, products, tables.PARAMS).select(
         "product_id", "n", rounded("p50")
     )
+
+
+@check(
+    "str_6_distribution_stream",
+    with_ctes(
+        tables.MARKET_SQL, tables.COMPARABLE_SQL, tables.SAMPLES_SQL, tables.SPREAD_SQL, tables.PRODUCTS_SQL,
+        select=""" SELECT product_id, n, round(p50, 6) AS p50 FROM p JOIN d USING (product_id)""",
+    ),
+)
+def str_6_stream(spark, sf):
+    # The samples arrive in four files, one to a micro-batch; each refreshes the products it touches.
+    arriving, refreshed = f"{scratch(spark)}/samples", f"{scratch(spark)}/distributions"
+    sampled = market.samples(tables.classified(spark, sf), tables.as_of(), tables.PARAMS)
+    sampled.repartition(4, "product_id", "listing_id").write.parquet(arriving)
+    stored = spark.read.parquet(arriving)
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    run(folding.distribution_stream(stream, lambda: stored, tables.products(spark, sf), refreshed, tables.PARAMS), spark)
+    return folding.read_distributions(spark, refreshed).select("product_id", "n", rounded("p50"))

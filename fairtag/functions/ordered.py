@@ -19,7 +19,7 @@ def time_slot(ts: Column, minutes: int) -> Column:
 def with_previous(df: DataFrame, keys: list[str], slot: str, order: list[str], into: str) -> DataFrame:
     """Add struct ``into`` holding the preceding row of the key, null on the first.
 
-    Rows without key or slot drop out. Both readers of the rows take the same
+    Rows without key or slot have no place in an order and are left out. Both readers of the rows take the same
     columns, the row travelling as one struct, so that they share one shuffle.
     """
     inside = Window.partitionBy(*keys, slot).orderBy(*order)

@@ -47,10 +47,13 @@ def _fold_table() -> tuple[str, str, dict[str, str]]:
 
 def strip_accents(text: Column) -> Column:
     source, target, longer = _fold_table()
-    out = F.translate(text, source, target)
+    plain = F.translate(text, source, target)
+    out = plain
     for char, base in longer.items():
         out = F.replace(out, F.lit(char), F.lit(base))
-    return F.regexp_replace(out, r"\p{Mn}+", "")
+    # The characters that become several letters are rare; one look tells whether a text has any.
+    rare = F.rlike(plain, F.lit(f"[{''.join(longer)}]"))
+    return F.regexp_replace(F.when(rare, out).otherwise(plain), r"\p{Mn}+", "")
 
 
 def _ascii_fold(text: Column) -> Column:

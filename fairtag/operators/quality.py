@@ -91,7 +91,8 @@ def duplicate_ids(products: DataFrame) -> DataFrame:
     """
     message = F.concat(
         F.lit("Duplicate product id '"), F.col("product_id"), F.lit("' (also at products["),
-        F.col("earlier").cast("string"), F.lit("])."),
+        F.col("earlier").cast("string"),
+        F.lit("]). Ids are database keys — two rows would fight over one history."),  # fixed value: wording
     )
     placed = products.filter(_has_id()).select(
         *PRODUCT, "pos", F.floor(F.col("pos") / 65536).alias("_stretch")

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from fairtag.operators import classify as cls
@@ -20,7 +21,11 @@ from fairtag.sources.catalog import Catalog
 
 def _to_folders(path: str, transform: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.persist()  # several branches read it
+        try:
+            transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return write
 
@@ -61,12 +66,21 @@ def refresh_distributions(
 
 
 def distribution_stream(
-    samples_stream: DataFrame, read_samples: Callable[[], DataFrame], read_known: Callable[[], DataFrame],
-    products: DataFrame, path: str, params: Params = Params(),
+    samples_stream: DataFrame, read_samples: Callable[[], DataFrame], products: DataFrame, path: str, params: Params = Params(),
 ) -> DataStreamWriter:
-    """Each micro-batch of new samples refreshes its products and writes the new table version."""
+    """Each micro-batch of new samples writes the distributions of the products it touches; see ``read_distributions``."""
 
     def refreshed(batch: DataFrame) -> DataFrame:
-        return refresh_distributions(read_known(), read_samples(), batch, products, params)
+        changed = batch.select(*PRODUCT).distinct()
+        return market.distributions(
+            read_samples().join(changed, PRODUCT, "left_semi"), products.join(changed, PRODUCT, "left_semi"), params
+        )
 
     return samples_stream.writeStream.foreachBatch(_to_folders(path, refreshed))
+
+
+def read_distributions(spark: SparkSession, path: str) -> DataFrame:
+    """The newest distribution of every product that a micro-batch has touched."""
+    versions = spark.read.parquet(path)
+    newest = Window.partitionBy(*PRODUCT).orderBy(F.desc("batch"))
+    return versions.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth", "batch")
