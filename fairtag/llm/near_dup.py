@@ -2,9 +2,9 @@
 
 Every permutation of the shingle hashes gives two signature values, its least and its greatest, so half the hash evaluations
 fill a signature. Bands of the signature propose pairs; a pair is a link only if the full shingle sets confirm it. Documents
-of equal sets form one class and are compared once. Classes meet the least class of their bucket first. A class that then
-still is in another component than some member of a bucket is compared with all members of that component, the closest by
-a longer signature first, so a large group of copies is never expanded into pairs.
+of equal sets form one class and are compared once. Classes meet the least class of their bucket first. Members of a bucket
+that then still are in different components are compared by a longer signature, in tiles; only pairs that it leaves open are
+confirmed, the closest first, so a large group of copies is never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ class NearDup:
     threshold: int = 80  # hundredths of intersection over union
     permutations: int = 64
     rows: int = 4
-    # Classes against components: pairs whose long signatures agree in less than this share are not compared on their sets.
-    # At a true similarity of 0.8 that is 5.5 standard deviations off (under 1e-7).
-    long_permutations: int = 1024
-    least_agreement: float = 0.75
-    # Members of a component that a class is confirmed against, the closest first, in each pass; the last takes all.
-    closest: tuple[int, ...] = (4, 64, 1 << 30)
+    # Members of different components: pairs whose long signatures agree in less than this share are not compared on their
+    # sets. At a true similarity of 0.8 that is 5.6 standard deviations off (about 1e-8).
+    long_permutations: int = 256
+    least_agreement: float = 0.70
+    # Members of other components that a class is confirmed against, the closest first, in each pass; the last takes all.
+    closest: tuple[int, ...] = (4, 1 << 30)
     seed: int = 5
 
     @property
@@ -161,69 +161,49 @@ def _long_signatures(spec: NearDup):
 
 
 def _closest(spec: NearDup, most: int):
-    """Pairs of a class (side 0) with the ``most`` closest members (side 1) of one tile of a component."""
+    """Pairs of a class (side 0) with the ``most`` closest members (side 1) of other components in one tile of a bucket."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        side, cls, size = (table.column(c).to_numpy() for c in ("side", "cls", "n_shingles"))
+        side, cls, root, size = (table.column(c).to_numpy() for c in ("side", "cls", "root", "n_shingles"))
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(cls), -1)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        values, sizes, names = signature[right], size[right], cls[right]
         found = [np.zeros((0, 2), np.int64)]
         for i in left:
-            agree = (values == signature[i]).mean(axis=1)
-            near = np.flatnonzero(
-                (agree >= spec.least_agreement)
-                & (100 * np.minimum(sizes, size[i]) >= spec.threshold * np.maximum(sizes, size[i]))
-            )
+            apart = right[(root[right] != root[i]) & (100 * np.minimum(size[right], size[i]) >= spec.threshold * np.maximum(size[right], size[i]))]
+            if not len(apart):
+                continue
+            agree = (signature[apart] == signature[i]).mean(axis=1)
+            near = np.flatnonzero(agree >= spec.least_agreement)
             if len(near) > most:
                 near = near[np.argsort(-agree[near], kind="stable")[:most]]
-            found.append(np.stack([np.full(len(near), cls[i]), names[near]], axis=1))
-        pairs = np.concatenate(found)
+            other = cls[apart[near]]
+            found.append(np.stack([np.minimum(other, cls[i]), np.maximum(other, cls[i])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     return run
 
 
-def _apart(shared: DataFrame, roots: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cls, root) of every class with a component that it meets in a bucket but is not in, the class being of the smaller
-    one, and (cls, root) of the components' members."""
+def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, cls, root) of the buckets whose members lie in several components."""
     placed = shared.select("bucket", "cls").join(roots.withColumnRenamed("id", "cls"), "cls", "left").select(
         "bucket", "cls", F.coalesce("root", "cls").alias("root")
     )
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    placed = placed.join(mixed.select("bucket"), "bucket", "left_semi")
-    there = placed.select("bucket", F.col("root").alias("other")).distinct()
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    met = placed.join(there, "bucket").where("root <> other").select("cls", "root", "other").distinct()
-    sized = (
-        met.join(sizes, "root", "left")
-        .join(sizes.select(F.col("root").alias("other"), F.col("size").alias("other_size")), "other", "left")
-        .select("cls", "root", "other", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("other_size", F.lit(1)).alias("other_size"))
-        .where("other_size > size or other_size = size and other < root")
-    )
-    both = tested.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(
-        tested.select(F.col("b").alias("cls"), F.col("a").alias("other"))
-    ).withColumn("other_size", F.lit(1))
-    asks = written(sized.join(both, ["cls", "other", "other_size"], "left_anti").select("cls", F.col("other").alias("root")))
-    wanted = asks.select("root").distinct()
-    members = roots.select(F.col("id").alias("cls"), "root").join(wanted, "root").select("cls", "root")
-    single = wanted.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("cls"), "root")
-    return asks, members.union(single)
-
-
-def _ask(asks: DataFrame, members: DataFrame, long: DataFrame, spec: NearDup, most: int) -> DataFrame:
-    """The pairs to confirm: each asking class with the closest members of its component, in tiles of bounded size."""
-    count = lambda side: side.groupBy("root").count()
-    tiles = count(asks).withColumnRenamed("count", "n").join(count(members), "root").select(
-        "root", F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("x_tiles"), F.ceil(F.col("count") / F.lit(TILE)).cast("int").alias("y_tiles")
+    mixed = (
+        placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
+        .where("lo <> hi").select("bucket", F.ceil(F.col("members") / F.lit(TILE)).cast("int").alias("tiles"))
     )
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    left = asks.join(tiles, "root").select("root", "cls", F.lit(0).alias("side"), own("x_tiles").alias("x"), spread("y_tiles").alias("y"))
-    right = members.join(tiles, "root").select("root", "cls", F.lit(1).alias("side"), spread("x_tiles").alias("x"), own("y_tiles").alias("y"))
-    rows = left.unionByName(right).join(long, "cls")
-    return written(rows.groupBy("root", "x", "y").applyInArrow(_closest(spec, most), "a long, b long").distinct())
+    return placed.join(mixed, "bucket")
+
+
+def _ask(apart: DataFrame, long: DataFrame, spec: NearDup, most: int) -> DataFrame:
+    """The pairs to confirm, from tiles of bounded size."""
+    own = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    side = lambda number, x, y: apart.select("bucket", "cls", "root", F.lit(number).alias("side"), x.alias("x"), y.alias("y"))
+    rows = side(0, own, every).unionByName(side(1, every, own)).join(long, "cls")
+    return written(rows.groupBy("bucket", "x", "y").applyInArrow(_closest(spec, most), "a long, b long").distinct())
 
 
 def _grouped(documents: DataFrame, spec: NearDup) -> DataFrame:
@@ -257,14 +237,13 @@ def _grouped(documents: DataFrame, spec: NearDup) -> DataFrame:
     texts = written(keys.join(distinct_texts(rows.select("text"), keys), ["k1", "k2"]).select("cls", "text"))
     links = _confirm(first, texts, spec)
     roots = components(links)
+    long = None
     for most in spec.closest:
-        asks, members = _apart(shared, roots, first)
-        if asks.isEmpty():
-            break
-        members = written(members)
-        named_here = asks.select("cls").union(members.select("cls")).distinct()
-        long = written(texts.join(named_here, "cls").mapInArrow(_long_signatures(spec), "cls long, n_shingles long, signature binary"))
-        more = _confirm(_ask(asks, members, long, spec, most), texts, spec)
+        apart = written(_apart(shared, roots))
+        if long is None:
+            wanted = apart.select("cls").distinct()
+            long = written(texts.join(wanted, "cls").mapInArrow(_long_signatures(spec), "cls long, n_shingles long, signature binary"))
+        more = _confirm(_ask(apart, long, spec, most), texts, spec)
         if not more.isEmpty():
             links = written(links.union(more))
             roots = components(links)
