@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import check
 from checks.tables import read
 from checks.texts import NORM
 from fairtag.operators import quality
+from fairtag.session import scratch
 from fairtag.sources import catalog as cat
 
 
@@ -57,6 +61,32 @@ def src_7_version(spark, sf):
     return cat.content_version(terms, parts.selectExpr("category", "p_size AS size"))
 
 
+@check(
+    "src_7_load_all",
+    """
+SELECT p_brand AS category, count(*) AS n_products, CASE WHEN p_brand LIKE '%1' THEN '' ELSE 'size' END AS rank_by,
+  CASE WHEN p_brand LIKE '%1' THEN '' ELSE 'size,' || p_brand END AS attributes, 1 AS n_errors FROM part GROUP BY p_brand""",
+)
+def src_7_all(spark, sf):
+    # One catalog to a brand, some without an entry in the table of categories, and a broken file beside the good ones.
+    folder, parts = f"{scratch(spark)}/catalogs", read(spark, sf, "part")
+    parts.selectExpr(
+        "p_brand AS category", "CAST(p_partkey AS INT) AS pos", "concat('p', p_partkey) AS product_id", "array(p_type) AS `all`"
+    ).write.json(f"{folder}/products")
+    spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(f"{folder}/products")
+    parts.selectExpr("p_brand AS category", "array('size', p_brand) AS attributes", "'size' AS rank_by").filter(
+        "category NOT LIKE '%1'"
+    ).distinct().write.json(f"{folder}/categories")
+    catalogs, errors = cat.load_all(spark, folder)
+    rows = [
+        c.products.agg(F.count(F.lit(1)).alias("n_products")).select(
+            F.lit(name).alias("category"), "n_products", F.lit(c.rank_by).alias("rank_by"), F.lit(",".join(c.attributes)).alias("attributes")
+        )
+        for name, c in catalogs.items()
+    ]
+    return reduce(DataFrame.union, rows).withColumn("n_errors", F.lit(errors.count()))
+
+
 @check(
     "src_8_catalog_build",
     """
