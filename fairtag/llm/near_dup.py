@@ -3,8 +3,9 @@
 Every permutation of the shingle hashes gives two signature values, its least and its greatest, so half the hash evaluations
 fill a signature. Bands of the signature propose pairs; a pair is a link only if the full shingle sets confirm it. Documents
 of equal sets form one class and are compared once. Classes meet the least class of their bucket first. Members of a bucket
-that then still are in different components are compared by a longer signature, in tiles; only pairs that it leaves open are
-confirmed, the closest first, so a large group of copies is never expanded into pairs.
+that then still are in different components are compared in tiles inside a task, by counts of shared shingles; only pairs that
+reach the threshold leave it, the closest first, so neither a large group of copies nor one of texts that are merely alike is
+expanded into pairs.
 """
 
 from __future__ import annotations
@@ -30,10 +31,6 @@ class NearDup:
     threshold: int = 80  # hundredths of intersection over union
     permutations: int = 64
     rows: int = 4
-    # Members of different components: pairs whose long signatures agree in less than this share are not compared on their
-    # sets. At a true similarity of 0.8 that is 5.6 standard deviations off (about 1e-8).
-    long_permutations: int = 256
-    least_agreement: float = 0.70
     # Members of other components that a class is confirmed against, the closest first, in each pass; the last takes all.
     closest: tuple[int, ...] = (4, 1 << 30)
     seed: int = 5
@@ -144,40 +141,46 @@ def _confirm(pairs: DataFrame, texts: DataFrame, spec: NearDup) -> DataFrame:
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(spec), "a long, b long"))
 
 
-def _long_signatures(spec: NearDup):
-    """The long signature of each text, a byte for each value."""
+def _short_sets(spec: NearDup):
+    """The shingles of each text, 32 bits each: two sets share at least as many of these as of the shingles themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, bounds in text_slices(batch.column("text")):
                 values, edges = shingle_sets(data, bounds, spec.shingle)
-                top = (signatures(values, edges, spec.long_permutations, spec.seed + 1) >> np.uint64(56)).astype(np.uint8)
+                short = (values >> np.uint64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("cls").slice(lo, hi - lo), pa.array(np.diff(edges), pa.int64()),
-                    pa.array([row.tobytes() for row in top], pa.binary()),
-                ], ["cls", "n_shingles", "signature"])
+                    batch.column("cls").slice(lo, hi - lo),
+                    pa.array([short[edges[i]:edges[i + 1]].tobytes() for i in range(hi - lo)], pa.binary()),
+                ], ["cls", "shingles"])
 
     return run
 
 
 def _closest(spec: NearDup, most: int):
-    """Pairs of a class (side 0) with the ``most`` closest members (side 1) of other components in one tile of a bucket."""
+    """Of one tile of a bucket, pairs of members of different components that reach the threshold: the ``most`` closest of each."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        side, cls, root, size = (table.column(c).to_numpy() for c in ("side", "cls", "root", "n_shingles"))
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(cls), -1)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        tile, x, y, cls, root = (table.column(c).to_numpy() for c in ("tile", "x", "y", "cls", "root"))
+        sets = [np.frombuffer(b, np.uint32) for b in table.column("shingles").to_pylist()]
+        left, right = np.flatnonzero(tile == x[0]), np.flatnonzero(tile == y[0])
+        sizes = np.array([len(sets[i]) for i in right])
+        owner = np.repeat(np.arange(len(right)), sizes)
+        values = np.concatenate([sets[i] for i in right]) if len(right) else np.zeros(0, np.uint32)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
         found = [np.zeros((0, 2), np.int64)]
         for i in left:
-            apart = right[(root[right] != root[i]) & (100 * np.minimum(size[right], size[i]) >= spec.threshold * np.maximum(size[right], size[i]))]
-            if not len(apart):
-                continue
-            agree = (signature[apart] == signature[i]).mean(axis=1)
-            near = np.flatnonzero(agree >= spec.least_agreement)
+            begin, end = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+            lengths = end - begin
+            hits = np.repeat(begin - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+            shared = np.bincount(owner[hits], minlength=len(right))
+            union = sizes + len(sets[i]) - shared
+            near = np.flatnonzero((100 * shared >= spec.threshold * union) & (root[right] != root[i]))
             if len(near) > most:
-                near = near[np.argsort(-agree[near], kind="stable")[:most]]
-            other = cls[apart[near]]
+                near = near[np.argsort(-(shared / union)[near], kind="stable")[:most]]
+            other = cls[right[near]]
             found.append(np.stack([np.minimum(other, cls[i]), np.maximum(other, cls[i])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
@@ -197,12 +200,14 @@ def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed, "bucket")
 
 
-def _ask(apart: DataFrame, long: DataFrame, spec: NearDup, most: int) -> DataFrame:
-    """The pairs to confirm, from tiles of bounded size."""
-    own = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    side = lambda number, x, y: apart.select("bucket", "cls", "root", F.lit(number).alias("side"), x.alias("x"), y.alias("y"))
-    rows = side(0, own, every).unionByName(side(1, every, own)).join(long, "cls")
+def _ask(apart: DataFrame, sets: DataFrame, spec: NearDup, most: int) -> DataFrame:
+    """The pairs to confirm, from tiles of bounded size: every two parts of a bucket meet in one."""
+    rows = (
+        apart.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("bucket", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "cls", "root")
+        .join(sets, "cls")
+    )
     return written(rows.groupBy("bucket", "x", "y").applyInArrow(_closest(spec, most), "a long, b long").distinct())
 
 
@@ -237,13 +242,12 @@ def _grouped(documents: DataFrame, spec: NearDup) -> DataFrame:
     texts = written(keys.join(distinct_texts(rows.select("text"), keys), ["k1", "k2"]).select("cls", "text"))
     links = _confirm(first, texts, spec)
     roots = components(links)
-    long = None
+    sets = None
     for most in spec.closest:
         apart = written(_apart(shared, roots))
-        if long is None:
-            wanted = apart.select("cls").distinct()
-            long = written(texts.join(wanted, "cls").mapInArrow(_long_signatures(spec), "cls long, n_shingles long, signature binary"))
-        more = _confirm(_ask(apart, long, spec, most), texts, spec)
+        if sets is None:
+            sets = written(texts.join(apart.select("cls").distinct(), "cls").mapInArrow(_short_sets(spec), "cls long, shingles binary"))
+        more = _confirm(_ask(apart, sets, spec, most), texts, spec)
         if not more.isEmpty():
             links = written(links.union(more))
             roots = components(links)
@@ -299,4 +303,4 @@ def representatives(documents: DataFrame, spec: NearDup = NearDup()) -> DataFram
 
 
 #: Members of a bucket that one task compares with as many others.
-TILE = 2048
+TILE = 1024

@@ -188,7 +188,8 @@ def _scanned(documents: DataFrame, spec: Battery) -> DataFrame:
     tokens = based.select(
         *key, F.explode(F.filter("candidates", lambda c: ~covered(c))).alias("span")
     ).select(*key, "span", F.col("span.hit").alias("token"))
-    found = discoveries(tokens, spec).groupBy(*key).agg(F.collect_set("span").alias("random"))
+    # Written, so that the join below can split the rows of a text that very many documents share.
+    found = written(discoveries(tokens, spec).groupBy(*key).agg(F.collect_set("span").alias("random")))
     none = F.array().cast(SPANS)
     return based.join(found, key, "left").select(
         "doc_id", *key, "n_assign", "n_access", "n_hex", F.coalesce(F.size("random"), F.lit(0)).cast("long").alias("n_random"),
@@ -210,7 +211,7 @@ def redact(documents: DataFrame, mask: str = "[SECRET]", spec: Battery = Battery
 
     Texts without a secret, null texts and all other columns stay as they are, but that n_chars, where there is one, follows the text.
     """
-    spans = (
+    spans = written(
         _scanned(documents, spec).where(F.size("all_spans") > 0).groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
         .agg(F.first("all_spans").alias("_spans"))
     )
