@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from fairtag.llm.tables import small_batches
@@ -41,7 +42,7 @@ class Retrieval:
 
 
 def _words(data: np.ndarray, bounds: np.ndarray) -> Words:
-    return hashed_words(data, bounds, lower=True, marks=False)
+    return hashed_words(data, bounds, marks=False)
 
 
 def _strides(words: Words, spec: Retrieval) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,6 +68,7 @@ class Block:
     def __init__(self, rows: list[tuple[int, str]], spec: Retrieval):
         self.spec, self.ids, self.items, self.answers = spec, [], [], []
         for item, text in rows:
+            text = pc.utf8_lower(pa.scalar(text)).as_py()
             data = np.frombuffer(text.encode(), np.uint8)
             own = _words(data, np.array([0, len(data)])).hashes
             if not len(own):
@@ -108,7 +110,7 @@ def _frequencies(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, strides = np.zeros(len(block.terms), np.int64), 0
         for batch in batches:
-            for _, _, data, bounds in text_slices(batch.column("text")):
+            for _, _, data, bounds in text_slices(pc.utf8_lower(batch.column("text"))):
                 words = _words(data, bounds)
                 stride_of, owner, _ = _strides(words, block.spec)
                 at, term = block.terms_of(words.hashes)
@@ -183,10 +185,17 @@ def fit(block: Block, documents: DataFrame) -> Block:
     strong = values > 1e-4 * max(values[0], 1e-9)
     basis = (basis @ turn[strong].T).astype(np.float32)
     block.basis, vectors = basis, vectors @ turn[strong].T
-    block.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    # The space holds only part of a passage's mass. Scaled by that part, the product with a copy of the passage is its
+    # cosine, however small the part is; what other words add to it is noise that the word comparison sorts out.
+    lengths = np.array([_length(block, block.passage_terms(i)) for i in range(len(block.passages))])
+    block.vectors = vectors * (lengths / np.maximum((vectors**2).sum(axis=1), 1e-9))[:, None]
     return block
 
 
+def _length(block: Block, term: np.ndarray) -> float:
+    return float(np.sqrt((np.bincount(np.unique(block.dimension(term), return_inverse=True)[1], block.idf[term]) ** 2).sum()))
+
+
 def _project(block: Block, basis: np.ndarray, term: np.ndarray) -> np.ndarray:
     return (basis[block.dimension(term)] * block.idf[term][:, None]).sum(axis=0)
 
@@ -227,8 +236,7 @@ def leaks_of(block: Block, data: np.ndarray, bounds: np.ndarray) -> dict[tuple[i
             continue
         ends = [edge[s + 2] if more[s] else edge[s + 1] for s in group]
         latent = np.stack([_project(block, block.basis, term[edge[s]:e]) for s, e in zip(group, ends)])
-        norms = np.linalg.norm(latent, axis=1, keepdims=True)
-        cosine = (latent / np.maximum(norms, 1e-9)) @ block.vectors.T
+        cosine = (latent / np.sqrt(known[group])[:, None]) @ block.vectors.T
         found += [(group[i], j, cosine[i, j]) for i, j in zip(*np.nonzero(cosine >= spec.least_cosine))]
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     tried = set()
@@ -254,7 +262,7 @@ def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
-            for lo, hi, data, bounds in text_slices(batch.column("text")):
+            for lo, hi, data, bounds in text_slices(pc.utf8_lower(batch.column("text"))):
                 best = leaks_of(block, data, bounds)
                 keys = sorted(best)
                 yield pa.RecordBatch.from_arrays([
@@ -303,7 +311,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, spec: Retrieval =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for lo, _, data, bounds in text_slices(batch.column("text")):
+                for lo, _, data, bounds in text_slices(pc.utf8_lower(batch.column("text"))):
                     clean[[lo + text for text, _ in leaks_of(shared.value, data, bounds)]] = False
                 yield batch.filter(pa.array(clean))
 
