@@ -9,7 +9,6 @@ from fairtag.functions.numeric import round_1dp
 from fairtag.operators import market
 from fairtag.operators.deals import is_live
 from fairtag.operators.market import PRODUCT
-from fairtag.params import Params
 
 
 def best_active(classified: DataFrame) -> DataFrame:
