@@ -123,12 +123,12 @@ def test_longest_common_subsequence():
 
 @here
 def test_held_out_accuracy(spark):
-    big = SF.replace("0.001", "0.01")
+    big = SF.replace("0.001", "0.1")  # the smaller tables hold out too few toxic documents to measure on
     documents, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
     lang = QUERIES["op8_language"](spark, big).where("held_out").join(documents.select("doc_id", "lang"), "doc_id").toPandas()
     assert (lang.lang == lang.lang_pred).mean() > 0.97 and lang.score.between(0, 1).all()
     tox = QUERIES["op10_toxicity"](spark, big).where("held_out").join(labels, "doc_id").toPandas()
-    assert tox.toxic[tox.predicted == 1].mean() > 0.8 and tox.predicted[tox.toxic == 1].mean() > 0.5
+    assert tox.toxic[tox.predicted == 1].mean() > 0.9 and tox.predicted[tox.toxic == 1].mean() > 0.75
 
 
 def test_secrets_are_masked_in_place(spark):
