@@ -105,23 +105,47 @@ def windows_of(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
     return out, edges
 
 
+def _training_windows(spec: Network):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, bounds in text_slices(batch.column("text")):
+                windows, edges = windows_of(data, bounds, spec.window)
+                picks = [
+                    windows[np.unique(np.linspace(edges[i], edges[i + 1] - 1, spec.train_windows).astype(int))].tobytes()
+                    for i in range(hi - lo)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "lang")), pa.array(picks, pa.binary())],
+                    ["doc_id", "lang", "windows"],
+                )
+
+    return run
+
+
 def fit(labelled: DataFrame, spec: Network = Network()) -> ByteCnn | None:
-    """A network for (doc_id, text, lang) rows; None if no row has a text and a language.
+    """A network for (doc_id, text, lang) rows; None if no row has an id, a text and a language.
 
-    It learns from at most ``train_rows`` documents, the ones of least hash, and ``train_windows`` windows of each.
+    It learns from at most ``train_rows`` documents, the ones of least hash and each once, and ``train_windows`` windows of each;
+    only these windows are gathered.
     """
-    usable = labelled.where("text is not null and lang is not null and length(text) > 0")
-    rows = usable.select("text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(spec.train_rows).toPandas()
+    small_batches(labelled.sparkSession)
+    usable = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(
+        "doc_id is not null and lang is not null and length(text) > 0"
+    )
+    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(spec.train_rows)
+    rows = (
+        usable.join(F.broadcast(chosen), "doc_id")  # at most train_rows ids
+        .mapInArrow(_training_windows(spec), "doc_id long, lang string, windows binary")
+        .groupBy("doc_id").agg(F.min(F.struct("lang", "windows")).alias("one")).select("doc_id", "one.*")
+        .toPandas().sort_values("doc_id")
+    )
     if not len(rows):
         return None
     languages = sorted(set(rows.lang))
     windows, labels = [], []
-    for text, lang in zip(rows.text, rows.lang):
-        data = np.frombuffer(text.encode(), np.uint8)
-        own, _ = windows_of(data, np.array([0, len(data)]), spec.window)
-        pick = own[np.unique(np.linspace(0, len(own) - 1, spec.train_windows).astype(int))]
-        windows.append(pick)
-        labels += [languages.index(lang)] * len(pick)
+    for lang, own in zip(rows.lang, rows.windows):
+        windows.append(np.frombuffer(own, np.uint8).reshape(-1, spec.window))
+        labels += [languages.index(lang)] * len(windows[-1])
     return ByteCnn(languages, spec).train(np.concatenate(windows), np.array(labels))
 
 
