@@ -3,11 +3,11 @@
 Known forms (assignments, access keys, long hex strings) are found by their patterns. Every other run of 20 or more key
 characters is a candidate. Its encoding is inferred from its characters, and three tests hold its symbols against uniform
 random ones: chi-squared on the symbol counts, the number of runs above and below the middle, and the serial correlation. A
-candidate must pass the battery, and it must also look more random than text of its length does: the chi-squared statistic is
-held against that of the corpus's plain words (letters only), in strata of length, and the p-values are taken up to the
-Benjamini-Hochberg bound of each stratum. Short words pass a randomness test easily, so their stratum asks more.
+candidate must pass the battery, and it must also look more random than text does: its likelihood as random symbols is held
+against that under the pairs of characters in the corpus's own words, and the ratios are taken up to the Benjamini-Hochberg
+bound of each stratum of length. Tests are distinct tokens. The parts of a candidate between '=' and '/' are candidates too.
 
-DataFrame functions only. Counts cover all documents; the tables of strata are of fixed size.
+DataFrame functions only. Counts cover all documents; the tables of pairs and of strata are of fixed size.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+PLAIN = "^[A-Za-z]?[a-z]+$"
 ALPHABETS = {
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
@@ -39,7 +40,8 @@ class Battery:
     battery_level: float = 0.001  # least p-value of the battery, corrected for its three tests
     false_discoveries: float = 0.01  # share of discoveries that may be text
     strata: tuple[int, ...] = (20, 24, 32, 48, 80)  # least lengths
-    least_null: int = 30  # plain words a stratum must have; with fewer it takes the figures of all lengths
+    prior_weight: float = 32.0  # pairs that what is known of a character in general counts as
+    noise: float = 0.05  # share of text whose characters are anything; bounds what one odd character of a word can say
 
 
 def _spans(hits: Column, pieces: Column, kind: int) -> Column:
@@ -115,46 +117,93 @@ def battery(tokens: DataFrame) -> DataFrame:
     return rows.withColumn("p_random", F.least(F.lit(1.0), 3 * least)).drop("squares", "turns", "low", "products", "spread")
 
 
-#: Steps of log10 p that discoveries are counted in.
+#: Steps of log10 E that discoveries are counted in.
 STEPS = 20
+#: What is known of text before any is read: the shares of lower case, upper case, digits and other key characters.
+PRIOR = (("abcdefghijklmnopqrstuvwxyz", 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.05), ("0123456789", 0.04), ("+/_=-", 0.01))
 
 
-def discoveries(tokens: DataFrame, spec: Battery = Battery()) -> DataFrame:
-    """The rows of ``tokens`` that pass the battery and are more random than text of their length."""
-    tested = battery(tokens)
+def text_model(texts: DataFrame, spec: Battery) -> DataFrame:
+    """(symbol, next, cost): -log of the probability of ``next`` after ``symbol`` in words, for every pair of key characters.
+
+    Counted over the distinct words of all ``texts``. Runs as long as a candidate count only if they are plain words, so that keys
+    are not taken for text. The pairs of 67 characters are a table of fixed size.
+    """
+    words = (
+        texts.select(F.explode(F.split("text", "[^A-Za-z0-9+/_=-]+")).alias("word"))
+        .where((F.char_length("word") > 1) & ((F.char_length("word") < 20) | F.col("word").rlike(PLAIN))).distinct()
+    )
+    pairs = words.select(_pairs(F.col("word")).alias("pair")).groupBy("pair.symbol", "pair.next").agg(F.count("*").alias("n"))
+    letters = texts.sparkSession.createDataFrame([(c, share / len(chars)) for chars, share in PRIOR for c in chars], "next string, prior double")
+    grid = letters.select(F.col("next").alias("symbol")).crossJoin(letters).join(pairs, ["symbol", "next"], "left").fillna(0, "n")
+    row, column, whole = Window.partitionBy("symbol"), Window.partitionBy("next"), Window.partitionBy(F.lit(0))
+    w = F.lit(spec.prior_weight)
+    single = (F.sum("n").over(column) + w * F.col("prior")) / (F.sum("n").over(whole) + w)
+    after = (F.col("n") + w * F.col("single")) / (F.col("row") + w)
+    return (
+        grid.withColumns({"single": single, "row": F.sum("n").over(row)})
+        .select("symbol", "next", (-F.log((1 - spec.noise) * after + spec.noise / 64)).alias("cost"))
+    )
+
+
+def _pairs(word: Column) -> Column:
+    """One row for each two neighbouring characters."""
+    at = F.sequence(F.lit(1), F.char_length(word) - 1)
+    return F.explode(F.transform(at, lambda i: F.struct(F.substr(word, i, F.lit(1)).alias("symbol"), F.substr(word, i + 1, F.lit(1)).alias("next"))))
+
+
+def discoveries(tokens: DataFrame, texts: DataFrame, spec: Battery = Battery()) -> DataFrame:
+    """The distinct ``token`` of ``tokens`` that pass the battery and are more random than text.
+
+    E is the likelihood of the token as random symbols over that as text. Its mean over text is at most 1, whatever the lengths and
+    however the tokens depend on each other, so 1 / E serves as the p-value of the bound (e-BH). The encoding is the best of four,
+    which E is divided by.
+    """
+    tested = written(battery(tokens.select("token").distinct()).where(F.col("p_random").isNotNull()))
     stratum = F.lit(0)
     for i, least in enumerate(spec.strata):
         stratum = F.when(F.char_length("token") >= least, i).otherwise(stratum)
-    # Statistics of unlike alphabets are brought to one scale by the symbols per token.
-    tested = written(tested.withColumn("stratum", stratum).withColumn("plain_word", F.col("token").rlike("^[A-Za-z]?[a-z]+$")))
-    null = F.when(F.col("plain_word"), F.col("z_chi"))
-    figures = tested.groupBy("stratum").agg(
-        F.count(null).alias("n0"), F.sum(null).alias("s1"), F.sum(null * null).alias("s2")
-    )
-    # One row for each stratum: the figures of all lengths stand in where a stratum has too few plain words.
-    every = Window.partitionBy(F.lit(0))
-    figures = figures.withColumns({c: F.when(F.col("n0") >= spec.least_null, F.col(c)).otherwise(F.sum(c).over(every)) for c in ("n0", "s1", "s2")})
-    mean = F.col("s1") / F.col("n0")
-    figures = figures.select(
-        "stratum", F.coalesce(mean, F.lit(6.0)).alias("mu"),
-        F.greatest(F.coalesce(F.sqrt(F.greatest(F.col("s2") / F.col("n0") - mean * mean, F.lit(0.0))), F.lit(1.0)), F.lit(0.5)).alias("sd"),
-    )
-    # The joined sides are single figures for each stratum.
-    z = (F.col("z_chi") - F.col("mu")) / F.col("sd")
-    scored = tested.join(F.broadcast(figures), "stratum").withColumn(
-        "step", F.floor(-STEPS * F.log10(F.greatest(_normal_cdf(z), F.lit(1e-30)))).cast("int")
-    )
-    counts = scored.groupBy("stratum", "step").agg(F.count("*").alias("n"))
+    # Capitals alone are read as the same word in lower case. Padding is no symbol; any other '=' ends a key.
+    bare = F.regexp_replace("token", "=+$", "")
+    read = F.when(bare == F.upper(bare), F.lower(bare)).otherwise(bare)
+    costs = (
+        tested.where(~F.contains(bare, F.lit("="))).select("token", "m", read.alias("read")).select("token", "m", _pairs(F.col("read")).alias("pair"))
+        .select("token", "m", "pair.symbol", "pair.next").join(F.broadcast(text_model(texts, spec)), ["symbol", "next"])
+        .groupBy("token").agg(F.sum(F.col("cost") - F.log(F.col("m").cast("double"))).alias("log_e"))
+    )
+    log10 = (F.col("log_e") - F.log(F.lit(float(len(ALPHABETS))))) / F.log(F.lit(10.0))
+    scored = written(
+        tested.select("token", "p_random").withColumn("stratum", stratum).join(costs, "token", "left")
+        .withColumn("step", F.coalesce(F.floor(STEPS * F.least(F.greatest(log10, F.lit(0.0)), F.lit(300.0))).cast("int"), F.lit(0)))
+    )
+    # What fails the battery is no discovery, but a test.
+    counts = scored.groupBy("stratum", "step").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("p_random") >= spec.battery_level, 1)).alias("passed")
+    )
     above = Window.partitionBy("stratum").orderBy(F.desc("step"))
     whole = Window.partitionBy("stratum")
     bounds = (
-        counts.withColumn("found", F.sum("n").over(above)).withColumn("tests", F.sum("n").over(whole))
+        counts.withColumn("found", F.sum("passed").over(above)).withColumn("tests", F.sum("n").over(whole))
         .where(F.pow(F.lit(10.0), -F.col("step") / STEPS) * F.col("tests") <= spec.false_discoveries * F.col("found"))
         .groupBy("stratum").agg(F.min("step").alias("bound"))
     )
     return scored.join(F.broadcast(bounds), "stratum").where(
         (F.col("step") >= F.col("bound")) & (F.col("p_random") >= spec.battery_level)
-    )
+    ).select("token")
+
+
+def _parts(span: Column) -> Column:
+    """The span, and the parts of it between '=' and between '=' or '/' that are as long as a candidate."""
+    def cut(at: str) -> Column:
+        pieces = F.split(span["hit"], at, -1)
+        begin = lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + F.char_length(x) + 1)
+        return F.filter(F.transform(pieces, lambda x, i: F.struct(
+            (span["start"] + begin(i)).alias("start"), span["kind"].alias("kind"),
+            (span["start"] + begin(i) + F.char_length(x)).alias("end"), x.alias("hit"),
+        )), lambda s: F.char_length(s["hit"]) >= 20)
+
+    # A '=' that others or nothing follow is padding of the part before it.
+    return F.array_distinct(F.concat(F.array(span), cut("=(?=[^=])"), cut("=(?=[^=])|/")))
 
 
 def _scanned(documents: DataFrame, spec: Battery) -> DataFrame:
@@ -185,11 +234,16 @@ def _scanned(documents: DataFrame, spec: Battery) -> DataFrame:
         )
     )
     covered = lambda c: F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    tokens = based.select(
-        *key, F.explode(F.filter("candidates", lambda c: ~covered(c))).alias("span")
-    ).select(*key, "span", F.col("span.hit").alias("token"))
+    # A text that very many documents share is read once.
+    tokens = written(based.select(
+        *key, F.explode(F.filter("candidates", lambda c: ~covered(c))).alias("whole")
+    ).distinct().select(*key, F.explode(_parts(F.col("whole"))).alias("span")).select(*key, "span", F.col("span.hit").alias("token")))
     # Written, so that the join below can split the rows of a text that very many documents share.
-    found = written(discoveries(tokens, spec).groupBy(*key).agg(F.collect_set("span").alias("random")))
+    inside = lambda s, all_: F.exists(all_, lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["hit"] != s["hit"]))
+    found = written(
+        tokens.join(discoveries(tokens, rows, spec), "token").groupBy(*key).agg(F.collect_set("span").alias("all"))
+        .select(*key, F.filter("all", lambda s: ~inside(s, F.col("all"))).alias("random"))
+    )
     none = F.array().cast(SPANS)
     return based.join(found, key, "left").select(
         "doc_id", *key, "n_assign", "n_access", "n_hex", F.coalesce(F.size("random"), F.lit(0)).cast("long").alias("n_random"),

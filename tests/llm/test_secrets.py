@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+from pathlib import Path
+
+import pytest
 
 from fairtag.llm.secrets import find_secrets, span_digests
 
@@ -50,5 +53,36 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
     assert len(found - set(planted.items())) <= 4
 
 
+def test_single_keys_among_the_words_of_the_corpus(spark):
+    """A key alone among 250 plain words, then 22 keys of 20 to 62 characters, some behind '=' or '/'."""
+    path = Path("/root/testdata/sf0.1/documents.parquet")
+    if not path.exists():
+        pytest.skip("driver tables not here")
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    docs = spark.read.parquet(str(path)).select("doc_id", "text").where("text is not null").orderBy("doc_id").limit(1000).collect()
+    vocabulary = sorted({w for d in docs[:200] for w in re.findall("[a-z]+", d.text)})
+    for lengths in ([24], list(range(20, 64, 2))):
+        rows, planted = [], set()
+        for i, d in enumerate(docs):
+            text = d.text
+            if i % 4 == 0:  # words of the corpus, joined to runs as long as the keys
+                word, length = "", rng.randint(20, 64)
+                while len(word) < length:
+                    word += rng.choice(vocabulary)
+                text += " " + word
+            if i % 40 == 7 and i // 40 < len(lengths):
+                key = "".join(rng.choice(letters) for _ in range(lengths[i // 40]))
+                text = f"{text} {('', 'id=', 'some/path/')[i // 40 % 3]}{key} end"
+                planted.add((i, key))
+            rows.append((i, text, None, None, None))
+        out = find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()
+        spans = [(r.doc_id, rows[r.doc_id][1][s.start:s.end]) for r in out for s in r.all_spans if s.kind == 3]
+        hit = {(i, key) for i, key in planted if any(j == i and key in x for j, x in spans)}
+        assert len(hit) >= 0.9 * len(planted), (lengths, planted - hit)
+        plain_words = [x for _, x in spans if x.isalpha() and x[1:].islower()]
+        assert len(plain_words) <= 1, plain_words
+
+
 def test_no_rows(spark):
     assert find_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
