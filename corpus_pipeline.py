@@ -19,8 +19,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return copies.representatives(docs)
+    """One document of each group of near copies stays: sets of five words, of which 0.8 or more are shared (op5 takes two words)."""
+    return copies.representatives(docs, copies.NearDup(shingle=5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
