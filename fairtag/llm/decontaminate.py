@@ -13,6 +13,7 @@ dimensions, so the space has one size whatever the benchmark's.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,7 +32,6 @@ class Retrieval:
     stride: int = 16
     dimensions: int = 1 << 16  # hashed terms
     rank: int = 128  # of the latent space
-    least_share: float = 0.15  # of a passage's TF-IDF mass, that words of the benchmark must hold
     least_cosine: float = 0.4
     verbatim: float = 0.75  # of the item's words, in order: a leak by itself
     paraphrase: float = 0.55  # of the item's words, in order: a leak if the answer is there too
@@ -81,6 +81,11 @@ class Block:
             self.ids.append(item)
             self.items.append(own)
             self.answers.append(answer)
+        self.counts = [Counter(own.tolist()) for own in self.items]
+        # Benchmark words that a passage must hold: half of what the shortest item asks of the words of one stride. What
+        # else the corpus holds, and how much of it, plays no part.
+        shortest = min((min(len(own), spec.stride) for own in self.items), default=1)
+        self.least_words = max(1, int(spec.paraphrase * shortest / 2))
         self.terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.items]))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -170,7 +175,6 @@ def fit(block: Block, documents: DataFrame) -> Block:
     held = rows[rows.term >= 0]
     counts[held.term.to_numpy()] = held.n.to_numpy()
     block.idf = np.log((1 + total) / (1 + counts)).astype(np.float32)
-    block.unseen = float(np.log((1 + total) / 1))
     shared = spark.sparkContext.broadcast(block)
     numbers = spark.range(len(block.passages)).withColumnRenamed("id", "passage")
     parts = numbers.mapInArrow(_range_part(shared), "dimension long, vector array<float>")
@@ -219,16 +223,15 @@ def leaks_of(block: Block, data: np.ndarray, bounds: np.ndarray) -> dict[tuple[i
     words = _words(data, bounds)
     stride_of, owner, begins = _strides(words, spec)
     at, term = block.terms_of(words.hashes)
-    # TF-IDF mass of each stride: of the benchmark's words, and of all (others weigh as much as an unseen word).
+    # TF-IDF mass and number of the benchmark's words in each stride.
     known = np.bincount(stride_of[at], block.idf[term].astype(np.float64) ** 2, len(owner))
-    sizes = np.bincount(stride_of, minlength=len(owner)) - np.bincount(stride_of[at], minlength=len(owner))
-    mass = known + sizes * block.unseen**2
+    number = np.bincount(stride_of[at], minlength=len(owner))
     more = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.zeros(0, bool)
     known += np.append(known[1:], 0) * more
-    mass += np.append(mass[1:], 0) * more
+    number = number + np.append(number[1:], 0) * more
     # The last stride of a text is a passage of its own only where it is the only one.
     alone = np.append(True, owner[1:] != owner[:-1]) if len(owner) else more
-    held = np.flatnonzero((more | alone) & (known >= spec.least_share * mass) & (known > 0))
+    held = np.flatnonzero((more | alone) & (number >= block.least_words) & (known > 0))
     found = []
     edge = np.searchsorted(at, np.append(begins, len(words.hashes)))
     for group in np.array_split(held, max(1, len(held) // 256)):
@@ -250,6 +253,10 @@ def leaks_of(block: Block, data: np.ndarray, bounds: np.ndarray) -> dict[tuple[i
             continue
         tried.add((item, a))
         around = words.hashes[a:b]
+        # No more words can follow in order than are there at all.
+        there = set(around.tolist())
+        if sum(n for word, n in block.counts[item].items() if word in there) < spec.paraphrase * len(own):
+            continue
         share = common_subsequence(own, around) / len(own)
         answer = common_subsequence(block.answers[item], around) / len(block.answers[item])
         if share >= spec.verbatim or share >= spec.paraphrase and answer >= spec.answer:

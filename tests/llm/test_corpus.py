@@ -174,3 +174,22 @@ def test_pipeline_keeps_what_five_words_tell_apart(spark):
                 least = [a if x == b else x for x in least]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dup(spark, docs, "").collect()} == set(least)
+
+
+def test_short_items_among_words_the_benchmark_does_not_hold(spark):
+    """Items of 5 to 12 words that are frequent in the corpus; nearly all other words of their documents are unseen."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(60)]
+    items = [rng.sample(common, rng.randint(5, 12)) for _ in range(20)]
+    texts = []
+    for i in range(1500):
+        text = [f"u{i}x{j}" for j in range(60)]
+        at = rng.randrange(len(text))
+        text[at:at] = items[i] if i < len(items) else rng.sample(common, 4)
+        texts.append((i, " ".join(text)))
+    out = decontaminate.find_leaks(
+        spark.createDataFrame(texts, "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"),
+    )
+    found = {(r.doc_id, r.item_id) for r in out.collect()}
+    assert {(i, i) for i in range(len(items))} <= found
