@@ -7,11 +7,12 @@ repeated edges can be removed, so only they enter the graph:
    hold the same anchor, so a window without a repeated anchor is not repeated. Anchors are about a twelfth of all words.
 2. *Edges.* Texts with a repeated anchor give the hashes of the windows around it. Counting them leaves the repeated edges.
 3. *Paths.* A join puts the repeated edges back on their texts, where edges that follow each other with one multiplicity are
-   compacted into a path. A path keeps its source coordinates and the hash of its first edge.
-4. *Verification.* At the source coordinates the words are hashed again; only a path whose first edge is found there is
-   removed.
+   compacted into a path inside a task; node degrees are not looked at. A path keeps its coordinates in the text and the hash
+   of its first edge.
+4. *Coordinates.* There the words of the text are hashed again; only a path whose first edge is found is removed. Words are not
+   compared with those of another occurrence.
 
-Windows are named by 96 bits. Equal texts are worked on once and counted as often as they occur.
+Windows are named by 96 bits, and equal names count as equal windows. Equal texts are worked on once and counted as often as they occur.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ def _remove(spec: Spans):
                     first, n = words.first[i], words.first[i + 1] - words.first[i]
                     keep = np.ones(n, bool)
                     for start, length, seen in zip(*(batch.column(c)[lo + i].as_py() for c in ("paths", "lengths", "checks"))):
-                        # The words at the source coordinates must be those of the path.
+                        # The first edge at the coordinates must be that of the path.
                         if start < n and valid[first + start] and check[first + start] == seen:
                             keep[start:start + length + spec.span - 1] = False
                     removed.append(int(n - keep.sum()))
