@@ -189,3 +189,55 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairtag.llm.urls import judge
 
     return judge(table(spark, sf_dir, "pages"))
+
+
+def _crc32_sql(value: str, table: str = "t") -> str:
+    """Unsigned crc32 of the bytes of a text; ``table`` lists the 256 remainders of CRC_TABLE."""
+    hexed = f"hex(encode({value}))"
+    steps = f"list_prepend(4294967295::BIGINT, list_transform(range(0, len({hexed}) // 2), lambda j: ('0x' || {hexed}[2 * j + 1:2 * j + 2])::BIGINT))"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+CRC_TABLE = """crc_table AS (
+  SELECT list(CASE WHEN true THEN list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) END ORDER BY i) AS t
+  FROM range(256) r(i)
+)"""
+OP13_SQL = f"""
+WITH {CRC_TABLE}, turns AS (
+  SELECT conv_id, length(coalesce(text, '')) AS chars, turn,
+    sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT conv_id, k, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS pos FROM turns
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32_sql("conv_id::VARCHAR")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table
+), built AS (
+  SELECT i.conv_id, 0 AS part, p.pos, p.k, p.chars FROM ids i JOIN placed p ON p.conv_id = i.base AND p.pos < i.h
+  UNION ALL SELECT i.conv_id, 1, p.pos, p.k, p.chars FROM ids i JOIN placed p ON p.conv_id = i.conv_id AND p.pos >= i.h
+), paths AS (SELECT conv_id, list(k ORDER BY part, pos) AS p, list(chars ORDER BY part, pos) AS c FROM built GROUP BY conv_id),
+whole AS (SELECT ids.conv_id, coalesce(p, []) AS p, coalesce(c, []) AS c FROM ids LEFT JOIN paths USING (conv_id)),
+members AS (
+  SELECT conv_id, d, len(p) = d AS ends, array_to_string(p[1:d], '') AS node,
+    CASE WHEN d > 0 THEN array_to_string(p[1:d - 1], '') END AS parent, CASE WHEN d > 0 THEN c[d] ELSE 0 END AS chars
+  FROM (SELECT conv_id, p, c, unnest(range(0, len(p) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT node, parent, d, min(conv_id) AS conv_id, count(*) AS n, max(chars) AS chars,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends
+  FROM members GROUP BY node, parent, d
+), children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT a.node, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves, sum((b.n - 1) * b.chars) AS saved
+  FROM nodes a JOIN nodes b ON starts_with(b.node, a.node) LEFT JOIN children k ON k.node = b.node GROUP BY a.node
+)
+SELECT x.conv_id, x.d::BIGINT AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM nodes x JOIN below ON below.node = x.node LEFT JOIN children ON children.node = x.node LEFT JOIN nodes up ON up.node = x.parent
+"""
+
+
+@query("op13_conversation_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairtag.llm.conversation_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
