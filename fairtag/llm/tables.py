@@ -15,13 +15,15 @@ from fairtag.session import scratch
 FILTER_BITS = 1 << 23
 
 
-#: Rows of a batch that a Python worker holds; whole texts are wide.
+#: Rows and bytes of a batch that a Python worker holds; whole texts are wide.
 BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
     """Keep the batches of whole texts that are sent to Python workers small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
