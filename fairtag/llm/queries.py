@@ -269,3 +269,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairtag.llm.fill_middle import digests, fill_in_middle
 
     return digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+@query("op12_pii")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairtag.llm.pii import find_private, span_digests
+
+    return span_digests(find_private(table(spark, sf_dir, "documents")))
