@@ -255,6 +255,59 @@ def cls_4(spark, sf):
     )
 
 
+# Misspelt part ads: every part's name and type with letters lost, doubled or replaced, words moved or added.
+VARIANT = """
+  CASE p_partkey % 7
+    WHEN 0 THEN left(base, spot - 1) || substr(base, spot + 1) WHEN 1 THEN left(base, spot) || substr(base, spot)
+    WHEN 2 THEN lower(p_type) || ' ' || p_name WHEN 3 THEN left(base, spot - 1) || 'q' || substr(base, spot + 1)
+    WHEN 4 THEN base || ' ' || lower(replace(p_brand, '#', ' ')) WHEN 5 THEN left(base, spot - 1) || substr(base, spot + 1, 4) || substr(base, spot + 6)
+    ELSE p_name || ' ' || lower(replace(p_brand, '#', '')) END
+"""
+VARIANT_PARTS = "SELECT *, p_name || ' ' || lower(p_type) AS base, CAST(2 + p_partkey % 13 AS INT) AS spot FROM part"
+VARIANT_SQL = f"""
+titles AS (SELECT DISTINCT {VARIANT} AS norm FROM ({VARIANT_PARTS})),
+win AS (SELECT '' AS norm WHERE false),
+prod AS (
+  SELECT CAST(min(p_partkey) AS INT) AS pos, p_name || '/' || p_type AS product_id, [p_name || ' ' || lower(p_type)] AS aliases,
+    CASE WHEN p_name LIKE '%gear' THEN ['brand 1', 'brand 17', 'brand 9'] ELSE [] END AS none_of
+  FROM part GROUP BY p_name, p_type)
+"""
+# Fewer inserts and deletes than edits there cannot be, so only pairs within the cutoff by edits need the table.
+NEAR_FUZZY_SQL = FUZZY_SQL.replace(
+    "st AS (SELECT DISTINCT a, b FROM sp WHERE a <> '' AND b <> '')",
+    "st AS (SELECT DISTINCT a, b FROM sp WHERE a <> '' AND b <> '' AND "
+    "levenshtein(a, b) <= 0.12 * (2 * (length(i) + CASE WHEN i <> '' THEN 1 ELSE 0 END) + length(a) + length(b)) + 1e-9)",
+)
+
+
+def variants(spark, sf):
+    """(titles, products) of the misspelt part ads."""
+    parts = read(spark, sf, "part")
+    titles = parts.selectExpr("*", "p_name || ' ' || lower(p_type) AS base", "CAST(2 + p_partkey % 13 AS INT) AS spot").selectExpr(
+        f"{VARIANT} AS normalized_title"
+    )
+    products = parts.groupBy("p_name", "p_type").agg(F.min("p_partkey").cast("int").alias("pos")).selectExpr(
+        "pos", "p_name || '/' || p_type AS product_id", "array(p_name || ' ' || lower(p_type)) AS aliases",
+        "IF(p_name LIKE '%gear', array('brand 1', 'brand 17', 'brand 9'), CAST(array() AS ARRAY<STRING>)) AS none_of",
+    )
+    return titles, products
+
+
+@check(
+    "cls_4_fuzzy_variants",
+    with_ctes(VARIANT_SQL, NEAR_FUZZY_SQL, select="""
+SELECT norm AS normalized_title, CASE WHEN fz.norm IS NOT NULL THEN bf.fuzzy_product END AS fuzzy_product, round(bf.fuzzy_score, 6) AS best_score
+FROM bf LEFT JOIN fz USING (norm)"""),
+)
+def cls_4_variants(spark, sf):
+    """Every title that reaches the cutoff with its best score; vetoed ones have no product."""
+    titles, products = variants(spark, sf)
+    never = products.withColumn("none_of", F.array().cast("array<string>"))
+    best = cls.fuzzy_match(titles, never).select("normalized_title", (F.rint(F.col("fuzzy_score") * 1e6) / 1e6).alias("best_score"))
+    kept = cls.fuzzy_match(titles, products).select("normalized_title", "fuzzy_product")
+    return best.join(kept, "normalized_title", "left")
+
+
 @check(
     "cls_classify",
     with_ctes(PART_SQL, FUZZY_SQL, RESULT_SQL, select="""

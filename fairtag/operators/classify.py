@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fairtag.functions import text
 from fairtag.functions.numeric import clamp, round_cents
 from fairtag.functions.once import computed_once
-from fairtag.functions.similarity import token_set_ratio
+from fairtag.functions.similarity import rest_ratio, rests
 from fairtag.params import Params
 from fairtag.session import cut_lineage
 from fairtag.sources.catalog import Catalog, Modifier
@@ -127,29 +127,36 @@ def best_rule(titles: DataFrame, products: DataFrame) -> DataFrame:
 # Fuzzy fallback: lossless blocking, then exact scoring of the candidate pairs.
 
 
-def _signature(words: Column, cutoff: int) -> Column:
-    """Longest words until the rest is too short for a partial overlap without any of them.
+def _signature(counted: Column, cutoff: int) -> Column:
+    """The rarest words, until the rest is too short for a partial overlap without any of them.
 
-    If the shared words are all of one side, or nearly all of it by length
-    (similarity to that side at or above the cutoff), the words missing from
-    that side measure at most 2*(100-cutoff)/(200-cutoff) of it.
+    ``counted`` holds structs of how often the other side has a word, and the word. If the shared words are all of one
+    side, or nearly all of it by length (similarity to that side at or above the cutoff), the words missing from that side
+    measure at most 2*(100-cutoff)/(200-cutoff) of it. Any order will do; rare words meet least of the other side.
     """
     room = 2.0 * (100 - cutoff) / (200 - cutoff)
-    ordered = F.array_sort(words, lambda a, b: F.when(
-        F.length(a) != F.length(b), F.length(b) - F.length(a)
-    ).when(a < b, -1).when(a > b, 1).otherwise(0))
-    budget = room * F.length(F.array_join(words, " ")) + 1e-9
+    width = F.aggregate(counted, F.lit(-1), lambda n, w: n + F.length(w["word"]) + 1)
     taken = F.aggregate(
-        ordered,
-        F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("width")),
-        lambda acc, w: F.when(acc["width"] > budget, acc).otherwise(
-            F.struct(F.concat(acc["kept"], F.array(w)).alias("kept"),
-                     (acc["width"] + F.length(w) + 1).alias("width"))
+        F.array_sort(counted),
+        F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("width"), (room * width + 1e-9).alias("budget")),
+        lambda acc, w: F.when(acc["width"] > acc["budget"], acc).otherwise(
+            F.struct(F.concat(acc["kept"], F.array(w["word"])).alias("kept"),
+                     (acc["width"] + F.length(w["word"]) + 1).alias("width"), acc["budget"].alias("budget"))
         ),
     )
     return taken["kept"]
 
 
+def _with_signature(table: DataFrame, key: str, words: str, other: DataFrame, cutoff: int) -> DataFrame:
+    """Adds ``signature``: the rarest of ``words``, by the number of rows of ``other`` (word) that hold them."""
+    frequency = other.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = (
+        table.select(key, F.explode(words).alias("word")).join(frequency, "word", "left")
+        .groupBy(key).agg(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("_counted"))
+    )
+    return table.join(counted.select(key, _signature(F.col("_counted"), cutoff).alias("signature")), key)
+
+
 def _mates(length: Column, cutoff: int) -> tuple[Column, Column]:
     """Shortest and longest string that can reach the cutoff against one of this length."""
     return (
@@ -158,71 +165,81 @@ def _mates(length: Column, cutoff: int) -> tuple[Column, Column]:
     )
 
 
-def _pieces(sorted_text: Column, cutoff: int) -> Column:
-    """Cut into one piece more than there can be edits, so one piece survives in any match."""
-    length = F.length(sorted_text)
-    longest = F.floor(length * ((200.0 - cutoff) / cutoff) + 1e-9)
-    edits = F.floor((length + longest) * ((100 - cutoff) / 100.0) + 1e-9).cast("int")
-    count = F.least(edits + 1, length)
-    return F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.substring(
-            sorted_text,
-            (F.floor(i * length / count) + 1).cast("int"),
-            (F.floor((i + 1) * length / count) - F.floor(i * length / count)).cast("int"),
-        ),
-    )
+def _cut(word: Column, count: Column) -> Column:
+    """``count`` pieces of the word, as even as can be."""
+    length = F.length(word)
+    at = lambda i: F.floor(i * length / count).cast("int")
+    return F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(word, at(i - 1) + 1, at(i) - at(i - 1)))
+
+
+def _pieces(words: Column, edits: Column) -> Column:
+    """More pieces of the words than there are ``edits``, the longest such ones; all letters if there are no more.
+
+    An insertion or deletion breaks one piece at most, so one survives inside a word of any match. Pieces do not span words:
+    where a word is shared it survives whole, whatever stands beside it.
+    """
+    def number(size: Column) -> Column:
+        return F.aggregate(words, F.lit(0), lambda n, w: n + F.floor(F.length(w) / size).cast("int"))
+
+    sizes = F.sequence(F.array_max(F.transform(words, lambda w: F.length(w))), F.lit(1), F.lit(-1))
+    # The first size that gives enough pieces; a word shorter than that gives none.
+    size = F.coalesce(F.element_at(F.filter(sizes, lambda x: number(x) > edits), 1), F.lit(1))
+    cut = lambda k: F.flatten(F.transform(
+        F.filter(words, lambda w: F.length(w) >= k), lambda w: _cut(w, F.floor(F.length(w) / k).cast("int"))
+    ))
+    return F.flatten(F.transform(F.array(size), cut))
 
 
 def _key(kind: str, *parts: Column) -> Column:
     return F.concat_ws("|", F.lit(kind), *[p.cast("string") for p in parts])
 
 
+def _met(side: str, kind: str, word: Column, others: Column | None = None) -> Column:
+    """A key, and what else of its kind the row has before it: a pair is taken at the first key that it shares."""
+    before = F.array().cast("array<string>") if others is None else others
+    return F.struct(_key(kind, word).alias("key"), before.alias(f"{side}_before"))
+
+
 def alias_keys(aliases: DataFrame, cutoff: int) -> DataFrame:
-    """Blocking keys of each alias, see ``fuzzy_candidates``."""
+    """Blocking keys of each alias (with its ``signature``), see ``fuzzy_candidates``."""
     words, width = F.col("alias_words"), F.length("alias_sorted")
     shortest, longest = _mates(width, cutoff)
     sizes = F.sequence(F.greatest(shortest, F.lit(1)), longest)
+
+    def pieces(size: Column) -> Column:
+        edits = F.floor((width + size) * ((100 - cutoff) / 100.0) + 1e-9).cast("int")
+        found = F.array_distinct(_pieces(words, edits))
+        return F.transform(found, lambda p, i: _met("alias", "piece", F.concat_ws("|", p, size.cast("string")), F.slice(found, 1, i)))
+
     keys = F.concat(
-        F.transform(_signature(words, cutoff), lambda w: _key("whole", w)),
-        F.transform(words, lambda w: _key("part", w)),
-        F.flatten(F.transform(words, lambda w: F.transform(sizes, lambda n: _key("like", w, n)))),
-        F.flatten(
-            F.transform(
-                _pieces(F.col("alias_sorted"), cutoff),
-                lambda p: F.transform(sizes, lambda n: _key("near", p, n)),
-            )
-        ),
+        F.transform("signature", lambda w, i: _met("alias", "whole", w, F.slice(F.col("signature"), 1, i))),
+        F.transform(words, lambda w: _met("alias", "part", w)),
+        F.flatten(F.transform(sizes, pieces)),
     )
-    return aliases.withColumn("key", F.explode(F.array_distinct(keys)))
+    return aliases.select("alias", "alias_sorted", F.inline(keys))
 
 
 def title_keys(titles: DataFrame, cutoff: int) -> DataFrame:
-    """Needs the columns ``longest_mate`` and ``longest_piece`` of the alias side.
+    """Blocking keys of each title (with its ``signature``). Needs the columns ``longest_mate`` and ``longest_piece`` of the alias side.
 
     A title longer than the longest mate of any alias can only contain an alias.
     """
-    longest_mate, longest_piece = F.col("longest_mate"), F.col("longest_piece")
-    words, joined = F.col("title_words"), F.col("title_sorted")
-    width = F.length(joined)
-    similar_length = width <= longest_mate
-    none = F.array().cast("array<string>")
-    substrings = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), width),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(longest_piece, width - i + 1)),
-                lambda n: _key("near", F.substring(joined, i, n), width),
-            ),
-        )
-    )
+    words, width = F.col("title_words"), F.length("title_sorted")
+    similar_length = width <= F.col("longest_mate")
+    none = F.array().cast("array<struct<key:string,title_before:array<string>>>")
+
+    def inside(w: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(
+            F.sequence(F.lit(1), F.least(F.col("longest_piece"), F.length(w) - i + 1)), lambda n: F.substring(w, i, n)
+        )))
+
+    parts = F.transform("signature", lambda w, i: _met("title", "part", w, F.slice(F.col("signature"), 1, i)))
+    pieces = F.transform(F.array_distinct(F.flatten(F.transform(words, inside))), lambda p: _met("title", "piece", F.concat_ws("|", p, width.cast("string"))))
     keys = F.concat(
-        F.transform(words, lambda w: _key("whole", w)),
-        F.when(similar_length, F.transform(_signature(words, cutoff), lambda w: _key("part", w))).otherwise(none),
-        F.when(similar_length, F.transform(words, lambda w: _key("like", w, width))).otherwise(none),
-        F.when(similar_length, substrings).otherwise(none),
+        F.transform(words, lambda w: _met("title", "whole", w)),
+        F.when(similar_length, parts).otherwise(none), F.when(similar_length, pieces).otherwise(none),
     )
-    return titles.withColumn("key", F.explode(F.array_distinct(keys)))
+    return titles.select("normalized_title", "title_sorted", F.inline(keys))
 
 
 def _words_of(normalized: Column) -> Column:
@@ -251,28 +268,63 @@ def alias_table(products: DataFrame) -> DataFrame:
     )
 
 
+def title_table(titles: DataFrame) -> DataFrame:
+    """Each distinct ``normalized_title`` with its words but the noise."""
+    return (
+        titles.select("normalized_title").distinct()
+        .withColumn("title_words", _words_of(text.denoise(F.col("normalized_title"))))
+        .filter("size(title_words) > 0")
+        .withColumn("title_sorted", F.array_join("title_words", " "))
+    )
+
+
+def fuzzy_keys(titles: DataFrame, aliases: DataFrame, cutoff: int) -> tuple[DataFrame, DataFrame]:
+    """Blocking keys of the titles and of the aliases, a ``salt`` beside each.
+
+    A key that would meet more than one pair in a hundred is split: each title takes one of its salts, an alias all of them.
+    """
+    words = lambda table, name: table.select(F.explode(name).alias("word"))
+    title_words, alias_words = words(titles, "title_words"), words(aliases, "alias_words")
+    keyed_aliases = cut_lineage(alias_keys(_with_signature(aliases, "alias", "alias_words", title_words, cutoff), cutoff))
+    limits = {
+        "longest_mate": aliases.agg(F.max(_mates(F.length("alias_sorted"), cutoff)[1])).scalar(),
+        "longest_piece": keyed_aliases.agg(F.max(F.length(F.regexp_extract("key", r"^piece\|(.*)\|", 1)))).scalar(),
+    }
+    signed = _with_signature(titles, "normalized_title", "title_words", alias_words, cutoff).withColumns(limits)
+    # Keys that no alias has go no further.
+    sizes = keyed_aliases.groupBy("key").agg(F.count(F.lit(1)).alias("n_aliases"))
+    keyed_titles = cut_lineage(title_keys(signed, cutoff).join(sizes, "key"))
+    met = keyed_titles.groupBy("key").agg(F.sum("n_aliases").alias("pairs"))
+    share = F.col("pairs") / met.agg(F.sum("pairs")).scalar()
+    # No more than a hundred keys can hold more than a hundredth each.
+    hot = F.broadcast(cut_lineage(met.filter(share > 0.01).select("key", F.ceil(200 * share).cast("int").alias("salts"))))
+    salts = F.coalesce("salts", F.lit(1))
+    return (
+        keyed_titles.join(hot, "key", "left").drop("n_aliases").withColumn("salt", F.pmod(F.hash("normalized_title"), salts)).drop("salts"),
+        keyed_aliases.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts"),
+    )
+
+
 def fuzzy_candidates(titles: DataFrame, aliases: DataFrame, cutoff: int) -> DataFrame:
     """Every (title, alias) pair that can reach the cutoff, by an equi-join on blocking keys.
 
     * whole: the alias is contained in the title, or the shared words are nearly
       all of the alias. A signature word of the alias is then shared.
     * part: the mirror image, a signature word of the title is shared.
-    * like: any shared word, where both whole strings have similar length.
-    * near: no shared word; one of the alias's pieces occurs in the title, whose
-      length is similar.
+    * piece: both whole strings are similar; one of the alias's pieces occurs in a word of the title,
+      whose length is similar.
+
+    A pair is kept at the first key that it shares, so it is met once for each kind at most.
     """
-    keyed_aliases = alias_keys(aliases, cutoff)
-    longest_mate = aliases.agg(F.max(_mates(F.length("alias_sorted"), cutoff)[1])).scalar()
-    pieces = F.transform(_pieces(F.col("alias_sorted"), cutoff), lambda p: F.length(p))
-    longest_piece = aliases.agg(F.max(F.array_max(pieces))).scalar()
-    keyed_titles = title_keys(
-        titles.withColumn("longest_mate", longest_mate).withColumn("longest_piece", longest_piece), cutoff
-    ).select("normalized_title", "key")
-    return (
-        keyed_titles.join(keyed_aliases.select("alias", "key"), "key")
-        .select("normalized_title", "alias")
-        .distinct()
+    keyed_titles, keyed_aliases = fuzzy_keys(titles, aliases, cutoff)
+    pairs = keyed_titles.join(keyed_aliases, ["key", "salt"])
+    padded = lambda words: F.concat(F.lit(" "), words, F.lit(" "))
+    earlier = (
+        F.when(F.startswith("key", F.lit("piece")), F.exists("alias_before", lambda p: F.contains("title_sorted", p)))
+        .when(F.startswith("key", F.lit("whole")), F.exists("alias_before", lambda w: F.contains(padded(F.col("title_sorted")), padded(w))))
+        .otherwise(F.exists("title_before", lambda w: F.contains(padded(F.col("alias_sorted")), padded(w))))
     )
+    return pairs.filter(~earlier).select("normalized_title", "title_sorted", "alias")
 
 
 def fuzzy_match(titles: DataFrame, products: DataFrame, params: Params = Params()) -> DataFrame:
@@ -282,33 +334,22 @@ def fuzzy_match(titles: DataFrame, products: DataFrame, params: Params = Params(
     unmatched; the second best is not tried.
     """
     cutoff = params.fuzzy_cutoff
-    aliases = alias_table(products)
-    prepared = (
-        titles.select("normalized_title")
-        .distinct()
-        .withColumn("title_words", _words_of(text.denoise(F.col("normalized_title"))))
-        .filter("size(title_words) > 0")
-        .withColumn("title_sorted", F.array_join("title_words", " "))
-    )
-    pairs = fuzzy_candidates(prepared, aliases, cutoff)
-    scored = (
-        pairs.join(aliases, "alias")
-        .withColumn("title_words", _words_of(text.denoise(F.col("normalized_title"))))
-        .withColumn("score", token_set_ratio(F.col("title_words"), F.col("alias_words"), cutoff))
-    )
-    # The cutoff applies to the best score; applied to each pair it would be
-    # pushed down and score every pair twice.
-    best = scored.groupBy("normalized_title").agg(
-        F.max(F.struct("score", (-F.col("alias_pos")).alias("order"), "product_id", "none_of")).alias("top")
-    )
-    return best.filter(
-        (F.col("top.score") >= cutoff)
-        & ~text.has_any(text.padded(F.col("normalized_title")), F.col("top.none_of"))
-    ).select(
-        "normalized_title",
-        F.col("top.product_id").alias("fuzzy_product"),
-        F.col("top.score").alias("fuzzy_score"),
+    aliases = cut_lineage(alias_table(products))
+    pairs = fuzzy_candidates(cut_lineage(title_table(titles)), aliases, cutoff)
+    known = aliases.select("alias", "alias_pos", "alias_words")
+    compared = pairs.join(known, "alias").withColumn("title_words", F.split("title_sorted", " "))
+    rested = computed_once(compared, ["normalized_title", "alias_pos"], **rests(F.col("title_words"), F.col("alias_words")))
+    score = rest_ratio(F.col("n_shared"), F.col("only_left"), F.col("only_right"), cutoff)
+    scored = computed_once(rested, ["normalized_title", "alias_pos"], score=score).filter(F.col("score") >= cutoff)
+    # Of the aliases that score best, the first in catalog order; numbers only, so both steps are hash aggregates.
+    first = (
+        scored.groupBy("normalized_title", "score").agg(F.min("alias_pos").alias("alias_pos"))
+        .groupBy("normalized_title").agg(F.max("score").alias("score"), F.max_by("alias_pos", "score").alias("alias_pos"))
     )
+    owners = aliases.select("alias_pos", "product_id", "none_of")
+    return first.join(owners, "alias_pos").filter(
+        ~text.has_any(text.padded(F.col("normalized_title")), F.col("none_of"))
+    ).select("normalized_title", F.col("product_id").alias("fuzzy_product"), F.col("score").alias("fuzzy_score"))
 
 
 # The whole classifier.

@@ -2,7 +2,9 @@
 
 import random
 
-from fairtag.functions.similarity import _common_subsequence
+from pyspark.sql import functions as F
+
+from fairtag.functions.similarity import common_subsequence, token_set_ratio
 from fairtag.operators import classify as cls
 
 WORDS = ["rtx", "rx", "4070", "407", "40700", "ti", "super", "xt", "sapphire", "saphire", "b", "580", "arc", "z", "notebok", "notebook"]
@@ -26,8 +28,8 @@ def ratio(a, b):
     return 100 - 100 * (len(a) + len(b) - 2 * lcs(a, b)) / (len(a) + len(b))
 
 
-def token_set(title, alias):
-    t, a = set(title.split()) - set(cls.text.NOISE_WORDS), set(alias.split())
+def token_set(title, alias, noise=cls.text.NOISE_WORDS):
+    t, a = set(title.split()) - set(noise), set(alias.split())
     if not t or not a:
         return 0
     shared, left, right = (" ".join(sorted(s)) for s in (t & a, t - a, a - t))
@@ -40,12 +42,24 @@ def token_set(title, alias):
     return max(scores)
 
 
-def test_lcs():
+def test_common_subsequence_in_one_long_and_several(spark):
     rng = random.Random(0)
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(12))) for _ in "ab")
-        assert _common_subsequence(a, b) == lcs(a, b)
-    assert _common_subsequence("kitten", "sitting") == 4
+    rows = [("", ""), ("a", ""), ("", "b"), ("kitten", "sitting")]
+    for n in (5, 12, 62, 63, 64, 130, 190):
+        rows += [tuple("".join(rng.choice("abcd é🙂") for _ in range(rng.randrange(max(0, n - 12), n + 12))) for _ in "ab") for _ in range(40)]
+    out = spark.createDataFrame(rows, "a string, b string").withColumn("n", common_subsequence(F.col("a"), F.col("b"))).collect()
+    assert [r.n for r in out] == [lcs(r.a, r.b) for r in out]
+
+
+def test_scores_are_exact_from_the_cutoff_up(spark):
+    rng = random.Random(2)
+    side = lambda: sorted({rng.choice(WORDS) + rng.choice(["", "", "x"]) for _ in range(rng.randrange(5))})
+    rows = [(side(), side()) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    for cutoff in (0, 60, 88):
+        for r in frame.withColumn("s", token_set_ratio(F.col("a"), F.col("b"), cutoff)).collect():
+            want = token_set(" ".join(r.a), " ".join(r.b), noise=())
+            assert abs(r.s - want) < 1e-9 if want >= cutoff else r.s < cutoff
 
 
 def test_no_match_is_lost_and_the_best_alias_wins(spark):
