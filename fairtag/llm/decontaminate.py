@@ -13,7 +13,6 @@ dimensions, so the space has one size whatever the benchmark's.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -81,12 +80,14 @@ class Block:
             self.ids.append(item)
             self.items.append(own)
             self.answers.append(answer)
-        self.counts = [Counter(own.tolist()) for own in self.items]
         # Benchmark words that a passage must hold: half of what the shortest item asks of the words of one stride. What
         # else the corpus holds, and how much of it, plays no part.
         shortest = min((min(len(own), spec.stride) for own in self.items), default=1)
         self.least_words = max(1, int(spec.paraphrase * shortest / 2))
         self.terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.items]))
+        self.item_terms = [np.searchsorted(self.terms, own) for own in self.items]
+        # Marks part words, so every word of an answer is one of its item.
+        self.answer_terms = [np.searchsorted(self.terms, answer) for answer in self.answers]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.passages = [
@@ -217,51 +218,98 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def leaks_of(block: Block, data: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
-    """By (text, item): the shares of the item and of its answer that are found in order, and the cosine."""
+def _latent(block: Block, strides: np.ndarray, term: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """[hi - lo, rank]: latent vectors of the strides from ``lo`` on, given the sorted stride and the term of each benchmark word."""
+    own = slice(np.searchsorted(strides, lo), np.searchsorted(strides, hi))
+    sums = np.zeros((hi - lo, block.basis.shape[1]), np.float32)
+    if own.start < own.stop:
+        # Each term's vector is made once, and summed for the words of a stride.
+        terms, row = np.unique(term[own], return_inverse=True)
+        table = block.basis[block.dimension(terms)] * block.idf[terms][:, None]
+        begins = np.flatnonzero(np.diff(strides[own], prepend=-1))
+        sums[strides[own][begins] - lo] = np.add.reduceat(table[row], begins)
+    return sums
+
+
+#: Strides whose words are turned into vectors at a time.
+GROUP = 1024
+
+
+def _candidates(block: Block, words: Words, at: np.ndarray, term: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """(text, item, first, end, cosine): where an item may be, by the cosine of a passage with one of its passages.
+
+    ``first`` and ``end`` bound the benchmark's words there, as places in ``term``.
+    """
     spec = block.spec
-    words = _words(data, bounds)
     stride_of, owner, begins = _strides(words, spec)
-    at, term = block.terms_of(words.hashes)
+    if not len(owner):
+        return []
+    strides = stride_of[at]
     # TF-IDF mass and number of the benchmark's words in each stride.
-    known = np.bincount(stride_of[at], block.idf[term].astype(np.float64) ** 2, len(owner))
-    number = np.bincount(stride_of[at], minlength=len(owner))
-    more = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.zeros(0, bool)
+    known = np.bincount(strides, block.idf[term].astype(np.float64) ** 2, len(owner))
+    number = np.bincount(strides, minlength=len(owner))
+    more = np.append(owner[1:] == owner[:-1], False)
     known += np.append(known[1:], 0) * more
     number = number + np.append(number[1:], 0) * more
     # The last stride of a text is a passage of its own only where it is the only one.
-    alone = np.append(True, owner[1:] != owner[:-1]) if len(owner) else more
-    held = np.flatnonzero((more | alone) & (number >= block.least_words) & (known > 0))
+    alone = np.append(True, owner[1:] != owner[:-1])
+    held = (more | alone) & (number >= block.least_words) & (known > 0)
+    item_of = np.array([item for item, _ in block.passages])
+    start_of = np.array([start for _, start in block.passages])
+    length_of = np.array([len(own) for own in block.items])
+    vectors = np.ascontiguousarray(block.vectors.T.astype(np.float32))
     found = []
-    edge = np.searchsorted(at, np.append(begins, len(words.hashes)))
-    for group in np.array_split(held, max(1, len(held) // 256)):
-        if not len(group):
+    for lo in range(0, len(owner), GROUP):
+        hi = min(lo + GROUP, len(owner))
+        rows = np.flatnonzero(held[lo:hi])
+        if not len(rows):
             continue
-        ends = [edge[s + 2] if more[s] else edge[s + 1] for s in group]
-        latent = np.stack([_project(block, block.basis, term[edge[s]:e]) for s, e in zip(group, ends)])
-        cosine = (latent / np.sqrt(known[group])[:, None]) @ block.vectors.T
-        found += [(group[i], j, cosine[i, j]) for i, j in zip(*np.nonzero(cosine >= spec.least_cosine))]
+        sums = _latent(block, strides, term, lo, min(hi + 1, len(owner)))
+        both = sums[:hi - lo].copy()
+        both[:len(sums) - 1] += sums[1:] * more[lo:lo + len(sums) - 1, None]
+        cosine = (both[rows] / np.sqrt(known[lo + rows])[:, None].astype(np.float32)) @ vectors
+        row, passage = np.nonzero(cosine >= spec.least_cosine)
+        stride, item = lo + rows[row], item_of[passage]
+        # The words around the passage in which the whole item fits, however the two are aligned.
+        begin = begins[stride] - start_of[passage]
+        first = np.maximum(words.first[owner[stride]], begin - 2 * spec.stride)
+        end = np.minimum(words.first[owner[stride] + 1], begin + length_of[item] + 2 * spec.stride)
+        _, once = np.unique(item * (len(words.hashes) + 1) + first, return_index=True)
+        columns = (
+            owner[stride[once]], item[once], np.searchsorted(at, first[once]), np.searchsorted(at, end[once]), cosine[row[once], passage[once]]
+        )
+        found += zip(*(c.tolist() for c in columns))
+    return found
+
+
+def leaks_of(block: Block, data: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """By (text, item): the shares of the item and of its answer that are found in order, and the cosine."""
+    spec = block.spec
+    words = _words(data, bounds)
+    at, term = block.terms_of(words.hashes)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     tried = set()
-    for stride, passage, cosine in found:
-        item, start = block.passages[passage]
-        own, text = block.items[item], owner[stride]
-        # The words around the passage in which the whole item fits, however the two are aligned.
-        a = max(words.first[text], begins[stride] - start - 2 * spec.stride)
-        b = min(words.first[text + 1], begins[stride] - start + len(own) + 2 * spec.stride)
-        if (item, a) in tried:
+    there = np.zeros(len(block.terms), bool)
+    for text, item, first, end, cosine in _candidates(block, words, at, term):
+        if (item, first, end) in tried:
             continue
-        tried.add((item, a))
-        around = words.hashes[a:b]
+        tried.add((item, first, end))
+        own, around = block.item_terms[item], term[first:end]
         # No more words can follow in order than are there at all.
-        there = set(around.tolist())
-        if sum(n for word, n in block.counts[item].items() if word in there) < spec.paraphrase * len(own):
+        there[around] = True
+        count = np.count_nonzero(there[own])
+        there[around] = False
+        if count < spec.paraphrase * len(own):
             continue
+        # Words that the item does not hold play no part in a common subsequence.
+        there[own] = True
+        around = around[there[around]]
+        there[own] = False
         share = common_subsequence(own, around) / len(own)
-        answer = common_subsequence(block.answers[item], around) / len(block.answers[item])
+        answer = common_subsequence(block.answer_terms[item], around) / len(block.answers[item])
         if share >= spec.verbatim or share >= spec.paraphrase and answer >= spec.answer:
-            key = (int(text), item)
-            best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, float(cosine)))
+            key = (text, item)
+            best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, cosine))
     return best
 
 
