@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from fairtag.llm.tables import small_batches
 
@@ -178,7 +179,7 @@ def load(path: str) -> Automaton:
         return _compiled(file.read())
 
 
-def _mapped(documents: DataFrame, path: str, columns: list[str], make: Callable, schema: str) -> DataFrame:
+def _mapped(documents: DataFrame, path: str, columns: list[str], make: Callable, schema: str | StructType) -> DataFrame:
     """Send the vocabulary file once to each executor and map the batches with ``make(automaton, batch)``."""
     small_batches(documents.sparkSession)
     with open(path, encoding="utf-8") as file:
@@ -240,3 +241,26 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
 
     rows = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
     return _mapped(rows, path, ["doc_id", "text"], make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenize(documents: DataFrame, path: str) -> DataFrame:
+    """``documents`` with all their columns, then ``ids`` (array<int>), ``n_tokens`` and ``round_trip``: whether the ids decode to the text.
+
+    A null text counts as empty. Where an input column has one of these names, underscores are put behind the new one.
+    """
+    taken, names = {c.lower() for c in documents.columns}, []
+    for name in ("ids", "n_tokens", "round_trip"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+
+    def make(automaton: Automaton, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        ids = [np.frombuffer(automaton.encode(t), "<i4") for t in texts]
+        same = [automaton.decode(i) == t for i, t in zip(ids, texts)]
+        made = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+
+    kinds = (ArrayType(IntegerType()), LongType(), BooleanType())
+    schema = StructType([*documents.schema.fields, *(StructField(n, k) for n, k in zip(names, kinds))])
+    return _mapped(documents, path, [f"`{c}`" for c in documents.columns], make, schema)

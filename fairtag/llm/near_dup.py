@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fairtag.llm.components import components
-from fairtag.llm.tables import distinct_texts, small_batches, text_key, written
+from fairtag.llm.tables import boxed, distinct_texts, small_batches, text_key, written
 from fairtag.llm.words import hashed_words, lists, mix, text_slices
 
 
@@ -284,22 +284,20 @@ def representatives(documents: DataFrame, spec: NearDup = NearDup()) -> DataFram
     grouped = written(_grouped(documents, spec))
     chosen = (
         grouped.where("root is not null").groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "k1", "k2")).alias("c"))
-        .select("c._none", "c._id", F.col("c.k1").alias("_k1"), F.col("c.k2").alias("_k2"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "k1", "k2")).alias("c"))
+        .select("c.*")
     )
     # Copies of one text have keys of their own, so a large group of them does not meet in one task.
-    key = ["_none", "_id", "_k1", "_k2"]
+    key = ["none", "id", "k1", "k2"]
     k1, k2 = text_key()
     id_ = F.col("doc_id").cast("long")
-    marked = documents.withColumns({
-        "_none": id_.isNull(), "_id": F.coalesce(id_, F.lit(0)), "_k1": k1, "_k2": k2,
-        "_worded": F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)),
-    })
-    order = Window.partitionBy(*key).orderBy(F.lit(0))
-    once = (
-        marked.where("_worded").join(chosen, key).withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    marked = boxed(
+        documents, none=id_.isNull(), id=F.coalesce(id_, F.lit(0)), k1=k1, k2=k2,
+        worded=F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)),
     )
-    return once.select(documents.columns).unionByName(marked.where("not _worded").select(documents.columns))
+    order = Window.partitionBy(*key).orderBy(F.lit(0))
+    once = marked.where("worded").join(chosen, key).withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return once.select("row.*").unionByName(marked.where("not worded").select("row.*"))
 
 
 #: Members of a bucket that one task compares with as many others.

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairtag.functions.once import computed_once
-from fairtag.llm.tables import text_key, written
+from fairtag.llm.tables import boxed, text_key, written
 
 # The patterns of the known forms, their names in order, and the letters of the encodings.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -266,14 +266,13 @@ def redact(documents: DataFrame, mask: str = "[SECRET]", spec: Battery = Battery
     Texts without a secret, null texts and all other columns stay as they are, but that n_chars, where there is one, follows the text.
     """
     spans = written(
-        _scanned(documents, spec).where(F.size("all_spans") > 0).groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-        .agg(F.first("all_spans").alias("_spans"))
+        _scanned(documents, spec).where(F.size("all_spans") > 0).groupBy("k1", "k2").agg(F.first("all_spans").alias("spans"))
     )
     k1, k2 = text_key()
-    text = F.col("text")
+    text, found = F.col("row.text"), F.col("spans").isNotNull()
     between = lambda a, b: F.substr(text, a + 1, b - a)
     cleaned = F.aggregate(
-        "_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        "spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda done, s: F.struct(
             F.greatest(done["at"], s["end"]).alias("at"),
             F.when((s["start"] < done["at"]) & (done["at"] > 0), done["out"])
@@ -281,12 +280,12 @@ def redact(documents: DataFrame, mask: str = "[SECRET]", spec: Battery = Battery
         ),
         lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1)),
     )
-    joined = documents.withColumns({"_k1": k1, "_k2": k2}).join(spans, ["_k1", "_k2"], "left")
-    fresh = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), cleaned).otherwise(text))
+    joined = boxed(documents, k1=k1, k2=k2).join(spans, ["k1", "k2"], "left")
+    fresh = joined.select(F.col("row").withField("text", F.when(found, cleaned).otherwise(text)).alias("row"), found.alias("found"))
     if "n_chars" in documents.columns:
-        length = F.when(F.col("_spans").isNotNull(), F.char_length("text").cast(documents.schema["n_chars"].dataType))
-        fresh = fresh.withColumn("n_chars", F.coalesce(length, "n_chars"))
-    return fresh.select(documents.columns)
+        length = F.when(F.col("found"), F.char_length("row.text").cast(documents.schema["n_chars"].dataType))
+        fresh = fresh.select(F.col("row").withField("n_chars", F.coalesce(length, "row.n_chars")).alias("row"))
+    return fresh.select("row.*")
 
 
 def span_digests(found: DataFrame) -> DataFrame:

@@ -34,6 +34,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(documents: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of ``documents`` as a struct ``row`` beside work columns, so that no name of theirs meets another."""
+    return documents.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def text_key(text: str = "text") -> list[Column]:
     """96 bits that stand for a text; every user checks the text or its words again."""
     return [F.xxhash64(text).alias("k1"), F.hash(text).alias("k2")]

@@ -140,17 +140,6 @@ def test_secrets_are_masked_in_place(spark):
     assert out == sorted([(1, masked, len(masked), None), *rows[1:]], key=str)
 
 
-@here
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = corpus_pipeline.run(spark, SF)
-    assert 0 < out.count() <= docs.count() and set(docs.columns) < set(out.columns)
-    assert near_dup.near_duplicates(out).where("not kept").count() == 0
-    assert decontaminate.find_leaks(out, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
-
-
 def test_pipeline_keeps_what_five_words_tell_apart(spark):
     """The stage against all pairs of five-word sets; with two words, five changed words in a hundred are a near copy."""
     import corpus_pipeline
