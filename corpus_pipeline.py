@@ -7,7 +7,7 @@ folder and read again as the next one's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from fairtag.llm import bpe, decontaminate, near_dup as copies, secrets as keys, toxicity as tox
 from fairtag.llm.tables import written
@@ -34,12 +34,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text with its token ids and their number."""
+    """Every text with its token ids, their number, and whether they decode to the text."""
     import public_tokenizers
 
-    docs = docs.drop("ids", "n_tokens")
-    encoded = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), tuple(docs.columns))
-    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
