@@ -1,4 +1,4 @@
-"""Running values over an ordered history without gathering one key in one task.
+"""First, last and running values of ordered rows without gathering one key in one task.
 
 A plain window partitioned by key sorts the whole history of the busiest key in
 a single task. Here rows are windowed inside (key, slot) and only one summary
@@ -41,3 +41,56 @@ def with_previous(df: DataFrame, keys: list[str], slot: str, order: list[str], i
         .join(carried, [*keys, slot])
         .select(*keys, slot, "_row.*", F.coalesce("_local", "_carried").alias(into))
     )
+
+
+def _meets(df: DataFrame, keys: list[str], best: DataFrame) -> DataFrame:
+    """Each row beside the row of ``best`` (keys named _key_*) that has its keys; null keys meet too."""
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return df.join(best, same)
+
+
+def _named(best: DataFrame, keys: list[str]) -> DataFrame:
+    return best.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+
+
+def packed(ts: Column, pos: Column) -> Column:
+    """One number that orders like (``ts``, ``pos``), ``pos`` from 0; a row without a time comes first."""
+    micros = F.coalesce(F.unix_micros(ts.cast("timestamp")), F.lit(-(2**62)))
+    return micros.cast("decimal(19,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + F.coalesce(pos, F.lit(0)).cast("decimal(19,0)")
+
+
+def extremes(df: DataFrame, keys: list[str], picks: dict[str, tuple[str, Column, Column]], **totals: Column) -> DataFrame:
+    """One row per key: ``totals``, and for each pick the struct of the row that is first (min) or last (max) in an order.
+
+    ``picks`` holds (min or max, order, struct); rows whose order is null take no part. Orders are numbers, so the first pass
+    over the keys is a hash aggregate that combines map-side; a join on what it found brings the texts of the few rows that won.
+    Where several rows have the same order, the least (min) or greatest (max) struct is taken.
+    """
+    functions = {"min": F.min, "max": F.max}
+    ordered = df.withColumns({f"_at_{name}": order for name, (_, order, _) in picks.items()})
+    best = ordered.groupBy(*keys).agg(
+        *[c.alias(name) for name, c in totals.items()],
+        *[functions[how](f"_at_{name}").alias(f"_best_{name}") for name, (how, _, _) in picks.items()],
+    )
+    won = {name: F.col(f"_at_{name}") == F.col(f"_best_{name}") for name in picks}
+    any_won = won[next(iter(won))]
+    for name in won:
+        any_won = any_won | F.coalesce(won[name], F.lit(False))
+    rows = _meets(ordered, keys, _named(best.select(*keys, *[f"_best_{name}" for name in picks]), keys)).filter(F.coalesce(any_won, F.lit(False)))
+    ends = {"min": F.array_min, "max": F.array_max}
+    found = rows.groupBy(*keys).agg(*[
+        ends[how](F.collect_set(F.when(won[name], made))).alias(name) for name, (how, _, made) in picks.items()
+    ])
+    return _meets(found, keys, _named(best.select(*keys, *totals), keys)).select(*keys, *totals, *picks)
+
+
+def extreme_rows(df: DataFrame, keys: list[str], order: Column, ties: list[Column], how: str = "min") -> DataFrame:
+    """The row of each key that is first (min) or last (max) in a number, the first by ``ties`` where that is equal.
+
+    The number is found by a hash aggregate; only rows that have it are put in order, one of each key leaving a partition.
+    """
+    ordered = df.withColumn("_at", order)
+    best = ordered.groupBy(*keys).agg((F.min if how == "min" else F.max)("_at").alias("_best"))
+    tied = _meets(ordered, keys, _named(best, keys)).filter(F.col("_at").eqNullSafe(F.col("_best")))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*ties))
+    return tied.withColumn("_nth", nth).filter("_nth = 1").select(df.columns)

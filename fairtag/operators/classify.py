@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairtag.functions import text
 from fairtag.functions.numeric import clamp, round_cents
 from fairtag.functions.once import computed_once
+from fairtag.functions.ordered import extremes
 from fairtag.functions.similarity import rest_ratio, rests
 from fairtag.params import Params
 from fairtag.session import cut_lineage
@@ -468,35 +469,32 @@ def kind_counts(results: DataFrame) -> DataFrame:
 
 def unmatched_titles(results: DataFrame, listings: DataFrame, when: Column) -> DataFrame:
     """Review queue rows of one classification run; every classified listing counts once."""
+    group = ["category", "title_hash"]
     missed = results.filter("match_kind = 'none' and normalized_title <> ''").select(
         "listing_id", "category", text.title_hash(F.col("normalized_title")).alias("title_hash")
     )
+    counts = missed.groupBy(*group).agg(F.count(F.lit(1)).alias("occurrences"))
+    # One candidate of each title leaves a partition; the sample is the title of the first listing.
+    first = F.row_number().over(Window.partitionBy(*group).orderBy("listing_id"))
+    samples = missed.withColumn("_nth", first).filter("_nth = 1").join(listings.select("listing_id", "title"), "listing_id")
     return (
-        missed.join(listings.select("listing_id", "title"), "listing_id")
-        .groupBy("category", "title_hash")
-        .agg(
-            F.min(F.struct("listing_id", F.left("title", F.lit(300)).alias("title")))["title"].alias("sample_title"),
-            F.count(F.lit(1)).alias("occurrences"),
-        )
+        samples.select(*group, F.left("title", F.lit(300)).alias("sample_title")).join(counts, group)
         .withColumn("first_seen", when)
         .withColumn("last_seen", when)
         .withColumn("resolved", F.lit(False))
+        .select(*group, "sample_title", "occurrences", "first_seen", "last_seen", "resolved")
     )
 
 
 def merge_unmatched(queue: DataFrame, new: DataFrame) -> DataFrame:
     """Older sample titles stay, occurrences add up, a dismissed title stays dismissed."""
-    return (
-        queue.unionByName(new)
-        .groupBy("category", "title_hash")
-        .agg(
-            F.min(F.struct("first_seen", "sample_title"))["sample_title"].alias("sample_title"),
-            F.sum("occurrences").alias("occurrences"),
-            F.min("first_seen").alias("first_seen"),
-            F.max("last_seen").alias("last_seen"),
-            F.max("resolved").alias("resolved"),
-        )
+    group = ["category", "title_hash"]
+    oldest = ("min", F.coalesce(F.unix_micros("first_seen"), F.lit(-(2**62))), F.struct("sample_title"))
+    merged = extremes(
+        queue.unionByName(new), group, {"oldest": oldest}, occurrences=F.sum("occurrences"), first_seen=F.min("first_seen"),
+        last_seen=F.max("last_seen"), resolved=F.max("resolved"),
     )
+    return merged.select(*group, "oldest.sample_title", "occurrences", "first_seen", "last_seen", "resolved")
 
 
 def dismiss(queue: DataFrame, dismissed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairtag.functions.numeric import round_1dp
+from fairtag.functions.ordered import extreme_rows
 from fairtag.operators import market
 from fairtag.operators.deals import is_live
 from fairtag.operators.market import PRODUCT
@@ -13,15 +14,10 @@ from fairtag.operators.market import PRODUCT
 
 def best_active(classified: DataFrame) -> DataFrame:
     """Cheapest live listing per product."""
-    return (
-        market.comparable(classified)
-        .filter(is_live())
-        .groupBy(*PRODUCT)
-        .agg(F.min(F.struct("adjusted_cents", "listing_id", "url")).alias("best"))
-        .select(
-            *PRODUCT, (F.col("best.adjusted_cents") / 100.0).alias("best_active_eur"),
-            F.col("best.url").alias("best_active_url"),
-        )
+    live = market.comparable(classified).filter(is_live())
+    cheapest = extreme_rows(live, list(PRODUCT), F.col("adjusted_cents"), [F.col("listing_id"), F.col("url")])
+    return cheapest.select(
+        *PRODUCT, (F.col("adjusted_cents") / 100.0).alias("best_active_eur"), F.col("url").alias("best_active_url")
     )
 
 

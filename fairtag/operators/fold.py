@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairtag.functions.ordered import time_slot, with_previous
+from fairtag.functions.ordered import extremes, packed, time_slot, with_previous
 from fairtag.params import Params
 
 KEY = ["site", "site_listing_id"]
@@ -19,35 +19,37 @@ def listing_id() -> Column:
     return F.concat_ws("/", *KEY).alias("listing_id")
 
 
-def _seq(*fields: str) -> Column:
-    return F.struct("batch_ts", "batch_pos", *fields)
+_FOLDED = {
+    "newest": ("max", ["title", "price_cents", "photo_count"]),
+    "described": ("max", ["description"]),
+    "oldest": ("min", _FIRST_FIELDS),
+    "priced": ("min", ["price_cents"]),
+}
 
 
 def partial_fold(sightings: DataFrame) -> DataFrame:
-    """One mergeable row per listing; only min, max and sum, so it combines map-side."""
-    return sightings.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("seen_count"),
-        F.min("batch_ts").alias("discovered_at"),
-        F.max("batch_ts").alias("last_seen"),
-        F.min("posted_at").alias("earliest_posted"),
-        F.max(_seq("title", "price_cents", "photo_count")).alias("newest"),
-        F.max(F.when(F.col("description") != "", _seq("description"))).alias("described"),
-        F.min(_seq(*_FIRST_FIELDS)).alias("oldest"),
-        F.min(F.when(F.col("price_cents").isNotNull(), _seq("price_cents"))).alias("priced"),
+    """One mergeable row per listing: sums, and the sightings that are first or last of their kind."""
+    at = packed(F.col("batch_ts"), F.col("batch_pos"))
+    takes_part = {"described": F.col("description") != "", "priced": F.col("price_cents").isNotNull()}
+    picks = {
+        name: (how, F.when(takes_part[name], at) if name in takes_part else at, F.struct("batch_ts", "batch_pos", *fields))
+        for name, (how, fields) in _FOLDED.items()
+    }
+    return extremes(
+        sightings, KEY, picks, seen_count=F.count(F.lit(1)), discovered_at=F.min("batch_ts"), last_seen=F.max("batch_ts"),
+        earliest_posted=F.min("posted_at"),
     )
 
 
 def merge_folds(partials: DataFrame) -> DataFrame:
     """Combine partial folds of disjoint sets of sightings; associative and commutative."""
-    return partials.groupBy(*KEY).agg(
-        F.sum("seen_count").alias("seen_count"),
-        F.min("discovered_at").alias("discovered_at"),
-        F.max("last_seen").alias("last_seen"),
-        F.min("earliest_posted").alias("earliest_posted"),
-        F.max("newest").alias("newest"),
-        F.max("described").alias("described"),
-        F.min("oldest").alias("oldest"),
-        F.min("priced").alias("priced"),
+    picks = {
+        name: (how, F.when(F.col(name).isNotNull(), packed(F.col(f"{name}.batch_ts"), F.col(f"{name}.batch_pos"))), F.col(name))
+        for name, (how, _) in _FOLDED.items()
+    }
+    return extremes(
+        partials, KEY, picks, seen_count=F.sum("seen_count"), discovered_at=F.min("discovered_at"), last_seen=F.max("last_seen"),
+        earliest_posted=F.min("earliest_posted"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtag.functions.numeric import round_cents
+from fairtag.functions.ordered import extreme_rows, extremes
 from fairtag.operators.classify import classify
 from fairtag.params import Params
 from fairtag.sources.catalog import Catalog
@@ -30,25 +31,15 @@ def classify_offers(offers: DataFrame, catalog: Catalog, params: Params = Params
 
 def cheapest_offers(classified: DataFrame) -> DataFrame:
     """Cheapest offer per product, shop and day; the earlier one on equal prices."""
-    return (
-        classified.groupBy(*KEY)
-        .agg(F.min(F.struct("price_eur", "seq", "url", "in_stock")).alias("best"))
-        .select(
-            *KEY, round_cents(F.col("best.price_eur") * 100).alias("price_cents"),
-            F.col("best.url").alias("url"), F.col("best.in_stock").alias("in_stock"),
-        )
-    )
+    cheapest = extreme_rows(classified, KEY, F.col("price_eur"), [F.col("seq"), F.col("url"), F.col("in_stock")])
+    return cheapest.select(*KEY, round_cents(F.col("price_eur") * 100).alias("price_cents"), "url", "in_stock")
 
 
 def upsert_daily(prior: DataFrame, new: DataFrame) -> DataFrame:
     """Lowest price of the day, link and stock of the newest run. Both sides carry ``run_ts``."""
-    newest = F.max(F.struct("run_ts", "url", "in_stock"))
-    return (
-        prior.unionByName(new)
-        .groupBy(*KEY)
-        .agg(F.min("price_cents").alias("price_cents"), newest.alias("newest"))
-        .select(*KEY, "price_cents", "newest.url", "newest.in_stock", "newest.run_ts")
-    )
+    newest = ("max", F.coalesce(F.unix_micros("run_ts"), F.lit(-(2**62))), F.struct("run_ts", "url", "in_stock"))
+    rows = extremes(prior.unionByName(new), KEY, {"newest": newest}, price_cents=F.min("price_cents"))
+    return rows.select(*KEY, "price_cents", "newest.url", "newest.in_stock", "newest.run_ts")
 
 
 def current_retail(
