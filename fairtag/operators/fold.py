@@ -134,11 +134,36 @@ def sweep_totals(
     )
 
 
-def _flips_since(fixed: Column, flips: Column, over) -> tuple[Column, Column]:
-    """Newest fixed value up to the row and how many flips followed it."""
-    running = F.sum(flips).over(over)
-    at_fixed = F.last(F.when(fixed.isNotNull(), F.struct(running.alias("n"))), True).over(over)
-    return F.last(fixed, True).over(over), running - F.coalesce(at_fixed["n"], F.lit(0))
+def _after(recorded: Column, step: Column) -> Column:
+    """The last recorded price after a batch: its first price, or the other one if that is recorded already."""
+    return F.when(recorded.eqNullSafe(step["a"]), F.coalesce(step["b"], step["a"])).otherwise(step["a"])
+
+
+def _slots(sightings: DataFrame, params: Params) -> DataFrame:
+    """One row per listing and time slot: its batches in order, and what they make of the price recorded before.
+
+    Whatever that price was, a run of batches ends at ``y`` if it was ``x`` and at ``z`` if not; such functions compose to
+    functions of the same form, so a slot of any length is three numbers.
+    """
+    # Rows without key or time have no place in an order.
+    rows = sightings.dropna(subset=[*KEY, "batch_ts", "price_cents"]).select(
+        *KEY, "batch_ts", "price_cents", time_slot(F.col("batch_ts"), params.slot_minutes).alias("_slot"),
+        (F.col("batch_pos").cast("decimal(19,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("price_cents").cast("decimal(19,0)")).alias("at"),
+    ).repartition(*KEY, "_slot")
+    batch = [*KEY, "_slot", "batch_ts"]
+    firsts = rows.withColumn("a", F.min_by("price_cents", "at").over(Window.partitionBy(*batch)))
+    other = F.col("price_cents") != F.col("a")
+    batches = firsts.groupBy(*batch).agg(
+        F.min("a").alias("a"), F.min_by(F.when(other, F.col("price_cents")), F.when(other, F.col("at"))).alias("b")
+    )
+    steps = batches.groupBy(*KEY, "_slot").agg(F.array_sort(F.collect_list(F.struct("batch_ts", "a", "b"))).alias("steps"))
+    start = F.col("steps")[0]
+    ends = F.aggregate(
+        F.slice("steps", 2, F.size("steps")),
+        F.struct(F.coalesce(start["b"], start["a"]).alias("y"), start["a"].alias("z")),
+        lambda at, step: F.struct(_after(at["y"], step).alias("y"), _after(at["z"], step).alias("z")),
+    )
+    return steps.select(*KEY, "_slot", "steps", start["a"].alias("x"), ends.alias("ends"))
 
 
 def price_points(sightings: DataFrame, params: Params = Params()) -> DataFrame:
@@ -146,56 +171,41 @@ def price_points(sightings: DataFrame, params: Params = Params()) -> DataFrame:
 
     A batch records at most one point per listing: its first price that differs
     from the last recorded price. So of each batch only the first price (a) and
-    the first other price (b) matter. ``repeats`` says whether a equals the last
-    recorded price, which itself is a or b of the batch before. It is settled
-    directly when a and b of the batch before answer alike, and otherwise keeps
-    or flips the answer of the batch before, which is a running parity.
+    the first other price (b) matter. Whether a slot starts with its own first price
+    recorded follows from the slot before: that is either given (set), or as it was there
+    (keep), or the reverse (flip), so it is a running parity over one row per slot.
+    The busiest listing spreads over its slots. The slots are read twice from one shuffle.
     """
-    slot = time_slot(F.col("batch_ts"), params.slot_minutes).alias("_slot")
-    per_price = (
-        sightings.filter(F.col("price_cents").isNotNull())
-        .groupBy(*KEY, "batch_ts", "price_cents")
-        .agg(F.min("batch_pos").alias("pos"))
-    )
-    ranked = per_price.withColumn(
-        "rn", F.row_number().over(Window.partitionBy(*KEY, "batch_ts").orderBy("pos", "price_cents"))
-    ).filter("rn <= 2")
-    batches = (
-        ranked.groupBy(*KEY, "batch_ts")
-        .agg(
-            F.max(F.when(F.col("rn") == 1, F.col("price_cents"))).alias("a"),
-            F.max(F.when(F.col("rn") == 2, F.col("price_cents"))).alias("b"),
+    slots = _slots(sightings, params)
+    in_order = Window.partitionBy(*KEY).orderBy("_slot")
+    if_was, if_not = (F.coalesce(F.lag(f"ends.{end}").over(in_order) == F.col("x"), F.lit(False)) for end in "yz")
+    marked = slots.select(*KEY, "_slot", "x", F.when(if_was == if_not, if_was).alias("set"), (if_not & ~if_was).cast("int").alias("flip"))
+    running = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    flips = F.sum("flip").over(running)
+    counted = marked.withColumn("flips", flips).withColumn("flips_at_set", F.when(F.col("set").isNotNull(), F.col("flips")))
+    since = F.col("flips") - F.last("flips_at_set", True).over(running)
+    known = counted.select(*KEY, "_slot", (F.last("set", True).over(running) != (since % 2 == 1)).alias("starts_recorded"))
+
+    def scan(at: Column, step: Column) -> Column:
+        price = F.when(at["recorded"].eqNullSafe(step["a"]), step["b"]).otherwise(step["a"])
+        point = F.struct(step["batch_ts"].alias("observed_at"), price.alias("price_cents"))
+        return F.struct(
+            F.coalesce(price, at["recorded"]).alias("recorded"),
+            F.when(price.isNull(), at["points"]).otherwise(F.concat(at["points"], F.array(point))).alias("points"),
         )
-        .withColumn("_slot", slot)
-    )
-    linked = with_previous(batches, KEY, "_slot", ["batch_ts"], "_prev")
-    by_a = F.coalesce(F.col("_prev.a") == F.col("a"), F.lit(False))
-    by_b = F.coalesce(F.coalesce("_prev.b", "_prev.a") == F.col("a"), F.lit(False))
-    marked = linked.withColumn("fixed", F.when(by_a == by_b, by_a)).withColumn(
-        "flip", (by_a & ~by_b).cast("int")
-    )
-    inside = (
-        Window.partitionBy(*KEY, "_slot").orderBy("batch_ts").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    fixed, flips = _flips_since(F.col("fixed"), F.col("flip"), inside)
-    local = marked.withColumn("local_fixed", fixed).withColumn("local_flips", flips)
-    ends = Window.partitionBy(*KEY, "_slot").orderBy("batch_ts")
-    tails = local.withColumn("_ends", F.lead(F.lit(True)).over(ends).isNull()).filter("_ends")
-    before = Window.partitionBy(*KEY).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    slot_value = F.col("local_fixed") != (F.col("local_flips") % 2 == 1)
-    slot_flips = F.when(F.col("local_fixed").isNull(), F.col("local_flips")).otherwise(0)
-    base, since = _flips_since(slot_value, slot_flips, before)
-    resolved = tails.select(*KEY, "_slot", (base != (since % 2 == 1)).alias("at_end")).select(
-        *KEY, "_slot",
-        F.lag("at_end").over(Window.partitionBy(*KEY).orderBy("_slot")).alias("at_start"),
-    )
-    repeats = F.coalesce("local_fixed", "at_start") != (F.col("local_flips") % 2 == 1)
-    return (
-        local.join(resolved, [*KEY, "_slot"])
-        .withColumn("price_cents", F.when(~repeats, F.col("a")).otherwise(F.col("b")))
-        .filter(F.col("price_cents").isNotNull())
-        .select(listing_id(), *KEY, F.col("batch_ts").alias("observed_at"), "price_cents")
-    )
+
+    points = F.aggregate(
+        "steps",
+        F.struct(
+            F.when(F.col("starts_recorded"), F.col("x")).alias("recorded"),
+            F.array().cast("array<struct<observed_at:timestamp,price_cents:bigint>>").alias("points"),
+        ),
+        scan, lambda at: at["points"],
+    )
+    # Null-safe, so that no filter is pushed into one reader of the shuffle only.
+    named = known.withColumnsRenamed({k: f"_of_{k}" for k in [*KEY, "_slot"]})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*KEY, "_slot"]]
+    return slots.join(named, same).select(*KEY, F.inline(points)).select(listing_id(), *KEY, "observed_at", "price_cents")
 
 
 def first_prices(points: DataFrame) -> DataFrame:

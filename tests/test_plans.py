@@ -83,5 +83,9 @@ def test_one_sighting_repeated_many_times_is_kept_once(spark):
     assert len(out) == 1 and out[0].seen_count == 500 and out[0].newest.title == "t" and out[0].priced.price_cents == 5
 
 
-def exchanges(df):
-    return len(re.findall(r"Exchange (?:hash|range)partitioning", plan(df)))
+def test_the_change_log_takes_three_shuffles(spark):
+    points = fold.price_points(frame(spark, sightings(2)))
+    points.collect()
+    final = plan(points).split("== Initial Plan ==")[0]
+    # The third is a broadcast on so few rows.
+    assert len(re.findall(r"- (?:Broadcast)?Exchange ", final)) == 3 and "ReusedExchange" in final
