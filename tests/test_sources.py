@@ -98,3 +98,16 @@ def test_catalog_files(spark, tmp_path):
         assert "boats" in str(error)
     else:
         raise AssertionError("unknown category loaded")
+
+
+def test_jsonld_deep_trees_and_arrays_of_offers(spark):
+    leaf = {"name": "leaf", "offers": [[], [[[{"price": 0}], [{"lowPrice": "3,5"}]], {"price": 9}]]}
+    for depth in (1, 8, 30, 90):
+        node = leaf
+        for i in range(depth):
+            node = [node] if i % 3 == 0 else {"child": node} if i % 3 == 1 else {"name": f"n{i}", "offers": {"price": i}, "a": node}
+        html = f'<script type="application/ld+json">{json.dumps(node)}</script>'
+        rows = jsonld.page_offers(spark.createDataFrame([(1, html)], "page_id int, html string"), ["page_id"]).orderBy("node_no").collect()
+        want = [(f"n{i}", float(i)) for i in range(depth - 1, -1, -1) if i % 3 == 2]
+        assert [(r.name, r.price_eur) for r in rows] == [*want, ("leaf", 3.5)]
+        assert [r.node_no for r in rows] == list(range(len(rows)))
