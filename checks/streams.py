@@ -52,8 +52,14 @@ SELECT site_listing_id, seen_count, epoch_us(first_seen) AS first_seen, title, p
   CASE WHEN {GONE_SQL} THEN epoch_us(last_seen) END AS disappeared_at FROM f"""),
 )
 def str_1(spark, sf):
-    path = f"{scratch(spark)}/folds"
-    run(folding.fold_stream(sighting_stream(spark, sf), path), spark)
+    # The stream is drained twice, several micro-batches each time, and its folds are merged on the way.
+    arriving, path, checkpoint = f"{scratch(spark)}/events", f"{scratch(spark)}/folds", scratch(spark)
+    events = read(spark, sf, "events")
+    for half in (0, 1):
+        events.filter(f"event_id % 2 = {half}").repartition(3, "event_id").write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+        writer = folding.fold_stream(event_sightings(spark, sf, stream), path, fan=2)
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return folding.read_fold(spark, path, events_as_of(), EVENT_PARAMS).select(
         "site_listing_id", "seen_count", micros("first_seen"), "title", "price_cents", "description", "url",
         micros("disappeared_at"),
@@ -157,11 +163,14 @@ def str_6(spark, sf):
     ),
 )
 def str_6_stream(spark, sf):
-    # The samples arrive in four files, one to a micro-batch; each refreshes the products it touches.
-    arriving, refreshed = f"{scratch(spark)}/samples", f"{scratch(spark)}/distributions"
-    sampled = market.samples(tables.classified(spark, sf), tables.as_of(), tables.PARAMS)
-    sampled.repartition(4, "product_id", "listing_id").write.parquet(arriving)
-    stored = spark.read.parquet(arriving)
-    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
-    run(folding.distribution_stream(stream, lambda: stored, tables.products(spark, sf), refreshed, tables.PARAMS), spark)
-    return folding.read_distributions(spark, refreshed).select("product_id", "n", rounded("p50"))
+    # Older samples arrive first, then what takes back those that left the window and adds the newer ones; no sample is read again.
+    arriving, refreshed = f"{scratch(spark)}/changes", f"{scratch(spark)}/ladders"
+    facts = tables.classified(spark, sf)
+    early = F.lit("1997-06-01").cast("timestamp")
+    older = market.samples(facts.filter(F.col("last_seen") <= early), early, tables.PARAMS)
+    newer = market.samples(facts, tables.as_of(), tables.PARAMS)
+    for before, after in ((older.limit(0), older), (older, newer)):
+        folding.sample_changes(before, after).repartition(3, "product_id", "adjusted_cents").write.mode("append").parquet(arriving)
+    stream = spark.readStream.schema(spark.read.parquet(arriving).schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    run(folding.distribution_stream(stream, refreshed, fan=2), spark)
+    return folding.read_distributions(spark, refreshed, tables.PARAMS).select("product_id", "n", rounded("p50"))

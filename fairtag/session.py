@@ -63,3 +63,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def _located(spark: SparkSession, path: str):
+    """(file system, path) of a folder that any store Spark writes to may hold."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _located(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Remove folders that this library has written and no longer reads."""
+    for path in paths:
+        files, where = _located(spark, path)
+        files.delete(where, True)

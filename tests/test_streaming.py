@@ -1,10 +1,12 @@
 """Several micro-batches give what one batch run gives."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from fairtag import schemas
-from fairtag.operators import fold
+from fairtag.operators import fold, market
 from fairtag.params import Params
 from fairtag.streaming import alerting, changelog, folding
 from tests.test_fold import frame, sightings
@@ -37,10 +39,48 @@ def test_streamed_fold_equals_batch_fold(spark, files):
     def read(folder):
         return sorted(map(str, folding.read_fold(spark, folder, as_of).select("listing_id", "title", "seen_count", "first_seen", "disappeared_at").collect()))
 
-    assert len(list((tmp / "folds").glob("batch=*"))) == 4
     assert read(str(tmp / "folds")) == expected
-    folding.compact_fold(spark, str(tmp / "folds"), str(tmp / "compact"))
-    assert read(str(tmp / "compact")) == expected
+
+
+def test_folders_stay_few_and_retries_count_once(spark, files):
+    whole, _, tmp = files
+    rows = [frame(spark, [tuple(r) for r in part]) for part in _parts(whole.collect(), 18)]
+    store = folding.folds(str(tmp / "folds"), fan=3)
+    as_of = F.lit("2024-01-08").cast("timestamp")
+    read = lambda: sorted(map(str, folding.read_fold(spark, str(tmp / "folds"), as_of).collect()))
+    for n, part in enumerate(rows):
+        if n == 7:
+            # A try that failed before its version was written, then one that is repeated after it.
+            fold.partial_fold(rows[0]).write.parquet(store.folder(0, n, n))
+        store.add(fold.partial_fold(part), n)
+        if n in (2, 7):
+            store.add(fold.partial_fold(part), n)
+        assert len(store.live(spark)) <= 2 * 3
+    # 18 = 2 * 9 + 0 * 3 + 0: two folders of the second level, and what the version before still names.
+    assert len(store.live(spark)) == 2
+    assert read() == sorted(map(str, fold.fold(whole, as_of).collect()))
+    assert len(list((tmp / "folds").glob("level=*/batches=*"))) <= 8 and len(list((tmp / "folds" / "manifest").glob("v=*"))) == 2
+
+
+def _parts(rows, n):
+    return [rows[i::n] for i in range(n)]
+
+
+def test_distributions_follow_additions_and_retractions(spark, tmp_path):
+    rng = random.Random(3)
+    schema = "category string, product_id string, adjusted_cents long, sold boolean, weight double"
+    sample = lambda: ("c", rng.choice("abcd"), rng.randrange(100, 140), rng.random() < 0.3)
+    rows = [(*s, 2.0 if s[3] else 1.0) for s in (sample() for _ in range(200))]
+    frames = [spark.createDataFrame(r, schema) for r in (rows[:120], rows[40:160], rows[90:], [r for r in rows[90:] if r[1] != "d"])]
+    before = frames[0].limit(0)
+    for after in frames:
+        folding.sample_changes(before, after).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        before = after
+    arriving = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    drain(folding.distribution_stream(arriving, str(tmp_path / "ladders"), fan=2), tmp_path / "ck")
+    got = sorted(map(str, folding.read_distributions(spark, str(tmp_path / "ladders")).collect()))
+    want = market.distributions_from(market.climb(market.sample_ladder(frames[-1])))
+    assert got == sorted(map(str, want.collect())) and len(got) == 3
 
 
 def test_streamed_change_log_equals_batch(spark, files):
