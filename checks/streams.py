@@ -109,6 +109,57 @@ def str_3_intervals(spark, sf):
     )
 
 
+# Twenty listings to a user, and the month in four files in order of time, one to a micro-batch.
+LISTINGS_SQL = "x AS (SELECT e.site_listing_id || '-' || (batch_pos % 20) AS site_listing_id, batch_ts FROM e)"
+
+
+def listings_by_week(spark, sf):
+    events = event_sightings(spark, sf).withColumn(
+        "site_listing_id", F.concat_ws("-", "site_listing_id", F.col("batch_pos") % 20)
+    )
+    arriving = f"{scratch(spark)}/weeks"
+    starts = ["2024-01-01", "2024-01-09", "2024-01-17", "2024-01-25", "9999-01-01"]
+    for i, (start, end) in enumerate(zip(starts, starts[1:])):
+        after = F.col("batch_ts") >= start if i else F.lit(True)
+        events.filter(after & (F.col("batch_ts") < end)).coalesce(1).write.mode("append").parquet(arriving)
+    return events, spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+
+
+@check(
+    "str_3_gone_in_micro_batches",
+    with_ctes(SIGHTING_SQL, LISTINGS_SQL, select=f"""
+, g AS (SELECT site_listing_id, max(batch_ts) AS seen FROM x GROUP BY ALL)
+SELECT site_listing_id, epoch_us(seen) AS observed_at FROM g WHERE seen + INTERVAL {2 * GAP_PARAMS.grace_hours} HOURS <= (SELECT max(batch_ts) FROM x)"""),
+)
+def str_3_gone(spark, sf):
+    """Listings gone for good; those that came back were reported by the micro-batch that missed them, too."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    events, stream = listings_by_week(spark, sf)
+    gone = drained(changelog.listing_changes(stream, GAP_PARAMS), spark).filter("change = 'gone'")
+    newest = events.groupBy("site_listing_id").agg(F.max("batch_ts").alias("observed_at"))
+    return gone.join(newest, ["site_listing_id", "observed_at"], "left_semi").select("site_listing_id", micros("observed_at"))
+
+
+@check(
+    "str_3_live_intervals_stream",
+    with_ctes(SIGHTING_SQL, LISTINGS_SQL, select=f"""
+, a AS (SELECT *, batch_ts - lag(batch_ts) OVER (PARTITION BY site_listing_id ORDER BY batch_ts) > INTERVAL {GAP_PARAMS.grace_hours} HOURS AS cut FROM x),
+b AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY site_listing_id ORDER BY batch_ts) AS run FROM a),
+v AS (SELECT site_listing_id, min(batch_ts) AS live_from, max(batch_ts) AS live_until, count(*) AS sightings FROM b GROUP BY site_listing_id, run)
+SELECT site_listing_id, epoch_us(live_from) AS live_from, epoch_us(live_until) AS live_until, sightings FROM v
+WHERE live_until + INTERVAL {2 * GAP_PARAMS.grace_hours} HOURS <= (SELECT max(batch_ts) FROM x)"""),
+)
+def str_3_intervals_stream(spark, sf):
+    """Periods that the watermark has closed."""
+    _, stream = listings_by_week(spark, sf)
+    return drained(changelog.live_intervals(stream, GAP_PARAMS), spark).select(
+        "site_listing_id", micros("live_from"), micros("live_until"), "sightings"
+    )
+
+
 @check(
     "str_4_streaming_alert_dedup",
     """SELECT DISTINCT CAST(user_id AS VARCHAR) AS listing_id, CAST(floor(value) AS BIGINT) * 100 AS alert_cents

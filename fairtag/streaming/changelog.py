@@ -23,6 +23,29 @@ CHANGES = "site string, site_listing_id string, change string, observed_at times
 _STATE = "recorded bigint, recorded_at timestamp, last_seen timestamp"
 
 
+class FirstTwo:
+    """The two prices that come first in a batch, whatever the order they are added in."""
+
+    __slots__ = ("first", "second")
+
+    def __init__(self) -> None:
+        self.first: tuple[int, int] | None = None
+        self.second: tuple[int, int] | None = None
+
+    def add(self, pos: int, price: int) -> None:
+        found = (pos, price)
+        if self.first is None or self.first[1] == price:
+            self.first = min(self.first or found, found)
+        elif found < self.first:
+            self.first, self.second = found, self.first
+        elif self.second is None or found < self.second:
+            self.second = found
+
+    def first_but(self, price: int | None) -> int | None:
+        """The first price that is not ``price``."""
+        return next((p[1] for p in (self.first, self.second) if p and p[1] != price), None)
+
+
 class ListingChanges(StatefulProcessor):
     """Emits ``price`` when a new price is recorded and ``gone`` when a listing stays unseen.
 
@@ -41,15 +64,20 @@ class ListingChanges(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         recorded, recorded_at, last_seen = self.state.get() or (None, None, None)
         recorded_at, last_seen = pd.Timestamp(recorded_at), pd.Timestamp(last_seen)
+        # Chunk by chunk; what is held is the first two prices of each batch, however many sightings it has.
+        batches: dict[pd.Timestamp, FirstTwo] = {}
+        for chunk in rows:
+            newest = chunk["batch_ts"].max()
+            last_seen = newest if pd.isna(last_seen) else max(last_seen, newest)
+            priced = chunk[chunk["price_cents"].notna()]
+            for at, pos, price in zip(priced["batch_ts"], priced["batch_pos"], priced["price_cents"]):
+                batches.setdefault(at, FirstTwo()).add(int(pos), int(price))
         points = []
-        arrived = pd.concat(list(rows)).sort_values(["batch_ts", "batch_pos"])
-        for at, price in zip(arrived["batch_ts"], arrived["price_cents"]):
-            if pd.isna(price) or price == recorded or at == recorded_at:
-                continue
-            recorded, recorded_at = int(price), at
-            points.append((*key, "price", at, recorded))
-        newest = arrived["batch_ts"].max()
-        last_seen = newest if pd.isna(last_seen) else max(last_seen, newest)
+        for at in sorted(batches):
+            price = batches[at].first_but(recorded)
+            if price is not None and at != recorded_at:
+                recorded, recorded_at = price, at
+                points.append((*key, "price", at, recorded))
         self.state.update((
             recorded, None if pd.isna(recorded_at) else recorded_at.to_pydatetime(), last_seen.to_pydatetime(),
         ))
@@ -75,8 +103,8 @@ class ListingChanges(StatefulProcessor):
 def listing_changes(sightings: DataFrame, params: Params = Params()) -> DataFrame:
     """Change stream of a stream of sightings; event time is the batch time, lateness the grace.
 
-    Needs the RocksDB state store. A listing's rows of one micro-batch meet in one
-    task, so the source's admission limit (files or offsets per trigger) bounds it.
+    Needs the RocksDB state store. A listing's rows of one micro-batch pass through one
+    task in chunks; it holds one entry for each batch of sightings among them.
     """
     watermarked = sightings.select(*KEY, "batch_ts", "batch_pos", "price_cents").withWatermark(
         "batch_ts", f"{params.grace_hours} hours"

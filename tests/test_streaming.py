@@ -93,6 +93,17 @@ def test_streamed_change_log_equals_batch(spark, files):
     assert got == sorted((r.site_listing_id, r.observed_at, r.price_cents) for r in fold.price_points(whole).collect())
 
 
+def test_first_two_prices_in_any_order():
+    rng = random.Random(1)
+    for _ in range(500):
+        rows = list({rng.randrange(30): rng.randrange(4) for _ in range(rng.randrange(1, 12))}.items())
+        first = changelog.FirstTwo()
+        for pos, price in rng.sample(rows, len(rows)):
+            first.add(pos, price)
+        for recorded in (None, 0, 1, 2, 3):
+            assert first.first_but(recorded) == next((price for _, price in sorted(rows) if price != recorded), None)
+
+
 def test_alerts_once_across_micro_batches(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame([("a", 10.0, 50.0), ("b", 10.0 + i, 50.0), ("c", 1.0, 10.0)], "listing_id string, price_eur double, score double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
