@@ -29,15 +29,6 @@ RETAIL_PRICE = """
     price_cents bigint, url string, in_stock boolean
 """
 
-OFFER_PAYLOAD = """
-    id string, url string, title string, description string, business boolean,
-    params array<struct<key:string, value:string>>,
-    user struct<id:string, is_business:boolean>,
-    photos array<string>,
-    location struct<city:struct<name:string>, region:struct<name:string>>,
-    created_time string, last_refresh_time string, valid_to_time string
-"""
-
 NORMALIZED = """
     listing_id string, category string, product_id string, match_kind string,
     match_score double, excluded_by string, modifiers array<string>, adjust_pct double,

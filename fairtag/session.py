@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A field that a payload names twice has its last value, as in other JSON readers.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
