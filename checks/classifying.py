@@ -341,6 +341,44 @@ def cls_9(spark, sf):
     return cls.kind_counts(fresh)
 
 
+# An edit of the catalog: hot parts banned from one kind of ad, rods no longer a base product, blue parts with one more alias.
+EDITED_RULES_SQL = RULES_SQL.replace(
+    "CASE WHEN adj = 'new' THEN ['promo'] ELSE [] END", "CASE WHEN adj = 'new' THEN ['promo'] WHEN adj = 'hot' THEN ['old'] ELSE [] END"
+).replace(
+    "[adj || ' ' || noun, noun || adj] AS aliases", "[adj || ' ' || noun, noun || adj] || CASE WHEN adj = 'blue' THEN ['azure ' || noun] ELSE [] END AS aliases"
+).replace("['vintage ' || noun] FROM nm)", "['vintage ' || noun] FROM nm WHERE noun <> 'rod')")
+
+
+def edited_products(products):
+    is_hot, is_blue = (F.startswith("product_id", F.lit(f"{adj}_")) for adj in ("hot", "blue"))
+    noun = F.split("product_id", "_")[1]
+    return products.filter("product_id <> 'base_rod'").withColumns({
+        "none_of": F.when(is_hot, F.array(F.lit("old"))).otherwise(F.col("none_of")),
+        "aliases": F.when(is_blue, F.concat("aliases", F.array(F.concat(F.lit("azure "), noun)))).otherwise(F.col("aliases")),
+    })
+
+
+def rematched(spark, sf):
+    catalog = part_catalog(spark, sf)
+    names = cls.open_titles(cls.read_titles(part_listings(spark, sf), catalog))
+    before = cls.match_titles(names, catalog.products)
+    return names, before, cls.rematch_titles(names, before, catalog.products, edited_products(catalog.products))
+
+
+@check(
+    "cls_9_delta_rematch",
+    with_ctes(EDITED_RULES_SQL, ADS_SQL, MATCH_SQL, FUZZY_SQL, select="""
+SELECT norm AS normalized_title, rule_product AS product_id, spec AS specificity, CAST(NULL AS DOUBLE) AS fuzzy_score FROM win WHERE norm <> ''
+UNION ALL SELECT norm, fuzzy_product, NULL, round(fuzzy_score, 6) FROM fz"""),
+)
+def cls_9_delta(spark, sf):
+    """All titles' matches under the edited catalog, of which only the titles that the edit can reach were matched again."""
+    _, _, (_, after) = rematched(spark, sf)
+    return after.select(
+        "normalized_title", F.col("rule_product").alias("product_id"), "specificity", (F.rint(F.col("fuzzy_score") * 1e6) / 1e6).alias("fuzzy_score")
+    )
+
+
 QUEUE_SQL = """
 q AS (SELECT left(sha1(norm), 16) AS title_hash, arg_min(left(title, 300), (listing_id)) AS sample_title, count(*) AS occurrences
   FROM res WHERE match_kind = 'none' AND norm <> '' GROUP BY norm)

@@ -374,20 +374,66 @@ def read_titles(listings: DataFrame, catalog: Catalog) -> DataFrame:
     )
 
 
+def match_titles(names: DataFrame, products: DataFrame, params: Params = Params(), fuzzy: bool = True) -> DataFrame:
+    """What each of the distinct ``normalized_title`` matches: rule_product, specificity (by rule), fuzzy_score; titles without a match drop out."""
+    names = cut_lineage(names.select("normalized_title"))
+    matches = rule_matches(names, products).drop("rule_pos").withColumn("fuzzy_score", F.lit(None).cast("double"))
+    if not fuzzy:
+        return matches
+    matches = cut_lineage(matches)
+    found = fuzzy_match(names.join(matches, "normalized_title", "left_anti"), products, params)
+    return matches.unionByName(found.withColumnRenamed("fuzzy_product", "rule_product"), allowMissingColumns=True)
+
+
+def changed_products(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The products, as they were and as they are, whose place, rule or aliases differ between two catalogs."""
+    fields = ["pos", "product_id", "all", "any_of", "none_of", "aliases"]
+    both = old.select(*fields, F.lit(1).alias("side")).unionByName(new.select(*fields, F.lit(2).alias("side")))
+    content = F.to_json(F.struct(*fields))
+    seen = both.groupBy("product_id", F.sha2(content, 256).alias("content")).agg(F.sum("side").alias("sides"))
+    return both.withColumn("content", F.sha2(content, 256)).join(seen.filter("sides <> 3"), ["product_id", "content"]).select(*fields)
+
+
+def touched_titles(names: DataFrame, matches: DataFrame, changed: DataFrame, params: Params = Params()) -> DataFrame:
+    """The titles among ``names`` whose match can differ where ``changed`` products do.
+
+    A rule, old or new, matches titles only that hold one of its anchor words. Without a rule, a title can be reached
+    by a changed alias only if the blocking of the fuzzy pass brings the two together.
+    """
+    words = names.select("normalized_title", F.explode(text.tokens(F.col("normalized_title"))).alias("word"))
+    anchors = rule_anchors(changed).select(F.col("anchor").alias("word")).distinct()
+    by_rule = words.join(anchors, "word", "left_semi").select("normalized_title")
+    unruled = names.join(matches.filter("specificity IS NOT NULL"), "normalized_title", "left_anti")
+    aliases = cut_lineage(alias_table(changed))
+    by_alias = fuzzy_candidates(cut_lineage(title_table(unruled)), aliases, params.fuzzy_cutoff).select("normalized_title")
+    return by_rule.unionByName(by_alias).distinct()
+
+
+def rematch_titles(
+    names: DataFrame, matches: DataFrame, old: DataFrame, new: DataFrame, params: Params = Params()
+) -> tuple[DataFrame, DataFrame]:
+    """(titles matched again, what all ``names`` match under the ``new`` products), given the ``matches`` under the ``old`` ones.
+
+    Equal to ``match_titles(names, new)``; an edit of the catalog costs the titles that it can reach.
+    """
+    touched = cut_lineage(touched_titles(names, matches, cut_lineage(changed_products(old, new)), params))
+    kept = matches.join(touched, "normalized_title", "left_anti")
+    return touched, kept.unionByName(match_titles(touched, new, params).select(matches.columns))
+
+
 def classify(
     listings: DataFrame, catalog: Catalog, params: Params = Params(), fuzzy: bool = True
 ) -> DataFrame:
     """One classification row per listing; pure function of listing text and catalog."""
     read = read_titles(listings, catalog)
     # Every distinct title is matched once; what is found goes back to the listings in one join.
-    names = cut_lineage(open_titles(read))
-    matches = rule_matches(names, catalog.products).withColumn("fuzzy_score", F.lit(None).cast("double"))
-    if fuzzy:
-        matches = cut_lineage(matches)
-        left = names.join(matches, "normalized_title", "left_anti")
-        found = fuzzy_match(left, catalog.products, params)
-        matches = matches.unionByName(found.withColumnRenamed("fuzzy_product", "rule_product"), allowMissingColumns=True)
-    ruled = read.join(matches.drop("rule_pos"), "normalized_title", "left")
+    matches = match_titles(open_titles(read), catalog.products, params, fuzzy)
+    return classified_from(read, matches, catalog, params)
+
+
+def classified_from(read: DataFrame, matches: DataFrame, catalog: Catalog, params: Params = Params()) -> DataFrame:
+    """Classification rows from read titles (``read_titles``) and what their distinct titles match (``match_titles``)."""
+    ruled = read.join(matches, "normalized_title", "left")
     kind = (
         F.when(F.col("excluded_by").isNotNull(), "excluded")
         .when(F.col("specificity").isNotNull(), "rule")

@@ -1,5 +1,6 @@
 """Classification of titles generated from the catalog's own rows and patterns."""
 
+import random
 import re
 
 import pytest
@@ -146,3 +147,26 @@ def test_unmatched_queue_counts_every_run(spark):
     merged = {r.sample_title: r for r in cls.merge_unmatched(seen, second).collect()}
     assert merged["Olá Mundo"].occurrences == 6 and not merged["Olá Mundo"].resolved
     assert merged["x"].resolved and str(merged["x"].first_seen) < str(merged["x"].last_seen)
+
+
+def test_a_catalog_edit_rematches_only_what_it_can_reach(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    schema = "pos int, product_id string, `all` array<string>, any_of array<string>, none_of array<string>, aliases array<string>"
+    rows = [
+        (i, f"p{i}", rng.sample(words, rng.choice([0, 1, 2])), rng.sample(words, 2) if i % 3 == 0 else [], rng.sample(words, 1) if i % 4 == 0 else [],
+         [" ".join(rng.sample(words, 3))]) for i in range(40)
+    ]
+    titles = {" ".join(rng.sample(words, rng.randint(1, 5))) + rng.choice(["", "x"]) for _ in range(600)}
+    names = spark.createDataFrame([(t,) for t in titles], "normalized_title string")
+    edits = [
+        rows[:5] + rows[6:] + [(99, "new", [words[20]], [], [], ["w20 w21"])],
+        [(*r[:2], [words[7]], *r[3:]) if r[0] == 9 else (*r[:4], [words[3]], r[5]) if r[0] == 12 else (*r[:5], [*r[5], "w1 w2 w3"]) if r[0] == 11 else r for r in rows],
+    ]
+    old = spark.createDataFrame(rows, schema)
+    before = cls.cut_lineage(cls.match_titles(names, old))
+    for edit in edits:
+        new = spark.createDataFrame(edit, schema)
+        touched, after = cls.rematch_titles(names, before, old, new)
+        assert sorted(map(str, after.collect())) == sorted(map(str, cls.match_titles(names, new).select(after.columns).collect()))
+        assert touched.count() < len(titles) / 3
