@@ -242,6 +242,41 @@ def qlt_5_rest(spark, sf):
     )
 
 
+@check(
+    "qlt_5_catalog_report",
+    RULE_SQL + """
+, f AS (
+  SELECT 'product' AS subject, 'error' AS level, 'Product has no id' AS message, 'products[' || pos || '] (?)' AS "where" FROM r WHERE product_id = ''
+  UNION ALL SELECT 'product', 'error', 'Rule has neither `all` nor `any_of`, so it can never match.', 'products[' || pos || '] (' || product_id || ')' FROM r WHERE product_id <> '' AND len(al) = 0
+  UNION ALL SELECT 'product', 'warning', 'attribute ''x' || (k % 3) || ''' is not declared in the top-level `attributes` block', 'products[' || pos || '] (' || product_id || ')' FROM r WHERE product_id <> '' AND k % 3 <> 1
+  UNION ALL SELECT 'product', 'info', 'no ''size'' value — this product is excluded from the value ranking', 'products[' || pos || '] (' || product_id || ')' FROM r WHERE product_id <> '' AND k % 2 = 0
+  UNION ALL SELECT 'product', 'error', 'Duplicate product id ''' || product_id || ''' (also at products[' || earlier || ']). Ids are database keys — two rows would fight over one history.', 'products[' || pos || '] (' || product_id || ')'
+    FROM (SELECT *, lag(pos) OVER (PARTITION BY product_id ORDER BY pos) AS earlier FROM r WHERE product_id <> '') WHERE earlier IS NOT NULL
+  UNION ALL SELECT 'product', 'error',
+    '''' || owner || ''' will swallow ''' || other || ''' listings: it requires [''' || needs || '''] and does not exclude ' || miss || '. Add none_of: [' || miss || '] to ''' || owner || '''.',
+    'products / ' || owner
+    FROM (SELECT a.product_id AS owner, b.product_id AS other, array_to_string(list_sort(list_distinct(a.al)), ''', ''') AS needs,
+        array_to_string(list_sort(list_filter(b.al, lambda x: NOT list_contains(a.al, x))), ', ') AS miss
+      FROM r a JOIN r b ON a.product_id <> b.product_id AND len(a.al) > 0 AND len(b.al) > 0 AND a.product_id <> '' AND b.product_id <> ''
+      WHERE len(list_filter(a.al, lambda x: NOT list_contains(b.al, x))) = 0 AND len(list_filter(b.al, lambda x: NOT list_contains(a.al, x))) > 0
+        AND len(list_filter(b.al, lambda x: NOT list_contains(a.al, x) AND list_contains(a.no, x))) = 0)
+  UNION ALL SELECT 'modifier', 'error', 'Modifier has no id', 'modifiers[' || p_partkey || '] (?)' FROM part WHERE p_size % 9 = 0
+  UNION ALL SELECT 'modifier', 'warning', 'Modifier has no patterns', 'modifiers[' || p_partkey || '] (' || CASE WHEN p_size % 9 = 0 THEN '?' ELSE p_name END || ')' FROM part WHERE p_size % 10 = 0
+  UNION ALL SELECT 'catalog', 'warning', 'No query_terms — the collector has nothing broad to search for.', ''
+  UNION ALL SELECT 'catalog', 'error', 'Missing required key: category', ''
+  UNION ALL SELECT 'catalog', 'warning', 'rank_by ''speed'' is not in attributes, so the compare view will rank everything at zero.', '')
+SELECT subject, level, message, "where" FROM f""",
+)
+def qlt_5_report(spark, sf):
+    """Everything at once: a catalog with products and modifiers, and one without name whose ranking is undeclared."""
+    modifiers = read(spark, sf, "part").selectExpr(
+        "'parts' AS category", "p_partkey AS pos", "IF(p_size % 9 = 0, NULL, p_name) AS modifier_id", "IF(p_size % 10 = 0, array(), array('x')) AS patterns"
+    )
+    categories = spark.createDataFrame([("parts", "size", ["size", "x1"]), ("", "speed", ["size"])], "category string, rank_by string, attributes array<string>")
+    terms = read(spark, sf, "part").selectExpr("IF(p_partkey >= 0, 'parts', p_name) AS category", "p_name AS term")
+    return quality.catalog_report(categories, rule_rows(spark, sf), modifiers, terms).select("subject", "level", "message", "where")
+
+
 @check(
     "qlt_7_order_violations",
     """

@@ -440,3 +440,22 @@ def qlt_6_summary(spark, sf):
     scanned, matches = quality.preview_rule(results, listings, ["ring"], [], [], "base_ring")
     return quality.preview_summary(scanned, matches)
 
+
+# Two catalogs, ads of odd orders in the second; the newest examples of each sort, of one catalog only.
+@check(
+    "qlt_6_rule_preview_examples",
+    with_ctes(PART_SQL, FUZZY_SQL, RESULT_SQL, select="""
+, m AS (
+  SELECT listing_id, left(title, 90) AS title, coalesce(product_id <> 'base_ring', false) AS steals, last_seen FROM res
+  WHERE match_kind <> 'excluded' AND norm <> '' AND contains(' ' || norm || ' ', ' ring ') AND CAST(split_part(listing_id, '-', 1) AS BIGINT) % 2 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY steals ORDER BY last_seen DESC, listing_id) AS place FROM m)
+SELECT listing_id, title, steals, place FROM n WHERE place <= 10"""),
+)
+def qlt_6_examples(spark, sf):
+    listings = part_listings(spark, sf)
+    odd = F.split("listing_id", "-")[0].cast("bigint") % 2 == 1
+    results = cls.classify(listings, part_catalog(spark, sf)).join(
+        listings.select("listing_id", F.col("last_seen").alias("updated_at")), "listing_id"
+    ).withColumn("category", F.when(odd, "others").otherwise(F.col("category")))
+    _, matches = quality.preview_rule(results, listings, ["ring"], [], [], "base_ring", category="parts")
+    return quality.preview_examples(matches).select("listing_id", "title", "steals", "place")

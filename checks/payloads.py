@@ -144,16 +144,20 @@ def src_6(spark, sf):
     return jsonld.page_offers(shop_pages(spark, sf), ["page_id"]).select("page_id", "price_eur", "in_stock")
 
 
-@check(
-    "ret_1_classified_offers",
-    with_ctes(PART_SQL, SHOP_SQL, select=f"""
-, pt AS (SELECT DISTINCT name, {NORM.format('name')} AS pnorm FROM pg),
+OFFER_MATCH_SQL = f"""
+pt AS (SELECT DISTINCT name, {NORM.format('name')} AS pnorm FROM pg),
 ph AS (
   SELECT name, product_id, 10 * len(al) + len(any_of) AS spec, pos FROM pt, prod
   WHERE len(list_filter(al, lambda n: NOT contains(' ' || pnorm || ' ', ' ' || n || ' '))) = 0
     AND (len(any_of) = 0 OR len(list_filter(any_of, lambda n: contains(' ' || pnorm || ' ', ' ' || n || ' '))) > 0)
     AND len(list_filter(none_of, lambda n: contains(' ' || pnorm || ' ', ' ' || n || ' '))) = 0),
 pw AS (SELECT name, arg_max(product_id, (spec, -pos)) AS product_id FROM ph GROUP BY name)
+"""
+
+
+@check(
+    "ret_1_classified_offers",
+    with_ctes(PART_SQL, SHOP_SQL, OFFER_MATCH_SQL, select="""
 SELECT page_id, product_id, price_eur FROM pg JOIN pw USING (name) WHERE price_eur > 0"""),
 )
 def ret_1(spark, sf):
@@ -163,3 +167,27 @@ def ret_1(spark, sf):
     return retail.classify_offers(found, part_catalog(spark, sf)).select("page_id", "product_id", "price_eur")
 
 
+
+
+# Two runs of a day, from pages to the daily table: pages of even parts first, then those of odd ones.
+@check(
+    "ret_3_pass_from_pages",
+    with_ctes(PART_SQL, SHOP_SQL, OFFER_MATCH_SQL, select="""
+, o AS (
+  SELECT product_id, 'shop' || (CAST(page_id AS BIGINT) // 2 % 3) AS source, CAST(page_id AS BIGINT) AS seq, CAST(page_id AS BIGINT) % 2 AS run,
+    CAST(round_even(price_eur * 100, 0) AS BIGINT) AS price_cents, price_eur, url, in_stock FROM pg JOIN pw USING (name) WHERE price_eur > 0),
+b AS (SELECT product_id, source, run, min(price_cents) AS price_cents, arg_min(url, (price_eur, seq)) AS url, arg_min(in_stock, (price_eur, seq)) AS in_stock
+  FROM o GROUP BY ALL)
+SELECT product_id, source, min(price_cents) AS price_cents, arg_max(url, (run, 0)) AS url, arg_max(in_stock, (run, 0)) AS in_stock FROM b GROUP BY ALL"""),
+)
+def ret_3_pass(spark, sf):
+    catalog = part_catalog(spark, sf)
+    pages = shop_pages(spark, sf).filter("page_id NOT LIKE 'crawled%'").selectExpr(
+        "concat('shop', CAST(page_id AS BIGINT) DIV 2 % 3) AS source", "CAST(page_id AS BIGINT) AS seq", "DATE '2024-01-01' AS observed_on", "html"
+    )
+    daily = spark.createDataFrame([], (
+        "category string, product_id string, source string, observed_on date, price_cents bigint, url string, in_stock boolean, run_ts timestamp"
+    ))
+    for run in (0, 1):
+        daily = retail.retail_pass(pages.filter(f"seq % 2 = {run}"), catalog, daily, F.lit(f"2024-01-01 0{run}:00").cast("timestamp"))
+    return daily.select("product_id", "source", "price_cents", "url", "in_stock")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,13 +114,11 @@ def unmatchable_rules(products: DataFrame) -> DataFrame:
     )
 
 
-def attribute_findings(products: DataFrame, declared: list[str], rank_by: str) -> DataFrame:
-    """Undeclared attributes (warning) and products without the rank attribute (info)."""
-    known = F.array(*[F.lit(a) for a in declared]) if declared else F.array().cast("array<string>")
+def _attribute_findings(products: DataFrame, declared: Column, rank_by: Column) -> DataFrame:
     attributes = F.coalesce("attributes", F.create_map().cast("map<string,double>"))
     unknown = (
         products.filter(_has_id())
-        .withColumn("attr", F.explode(F.array_except(F.map_keys(attributes), known)))
+        .withColumn("attr", F.explode(F.array_except(F.map_keys(attributes), declared)))
         .select(
             *PRODUCT,
             *_finding(
@@ -128,20 +128,24 @@ def attribute_findings(products: DataFrame, declared: list[str], rank_by: str) -
             ),
         )
     )
-    if not rank_by:
-        return unknown
-    value = F.coalesce(F.try_element_at(attributes, F.lit(rank_by)), F.lit(0.0))
-    unranked = products.filter(_has_id() & (value == 0)).select(
+    value = F.coalesce(F.try_element_at(attributes, rank_by), F.lit(0.0))
+    unranked = products.filter(_has_id() & F.coalesce(rank_by != "", F.lit(False)) & (value == 0)).select(
         *PRODUCT,
         *_finding(
             "info",
-            F.lit(f"no '{rank_by}' value — this product is excluded from the value ranking"),
+            F.concat(F.lit("no '"), rank_by, F.lit("' value — this product is excluded from the value ranking")),
             _place("products", "product_id"),
         ),
     )
     return unknown.unionByName(unranked)
 
 
+def attribute_findings(products: DataFrame, declared: list[str], rank_by: str) -> DataFrame:
+    """Undeclared attributes (warning) and products without the rank attribute (info)."""
+    known = F.array(*[F.lit(a) for a in declared]) if declared else F.array().cast("array<string>")
+    return _attribute_findings(products, known, F.lit(rank_by))
+
+
 def missing_ids(products: DataFrame) -> DataFrame:
     return products.filter(~_has_id()).select(
         *PRODUCT, *_finding("error", F.lit("Product has no id"), _place("products", "product_id"))
@@ -192,6 +196,27 @@ def category_findings(categories: DataFrame, query_terms: DataFrame) -> DataFram
     )
 
 
+def catalog_report(categories: DataFrame, products: DataFrame, modifiers: DataFrame, query_terms: DataFrame) -> DataFrame:
+    """All findings over the catalogs as one table: category, subject, level, message, where.
+
+    ``categories`` holds (category, rank_by, attributes) of each catalog; products and modifiers are judged against their own.
+    """
+    own = products.join(
+        categories.select("category", F.col("attributes").alias("_declared"), F.col("rank_by").alias("_rank_by")), "category", "left"
+    )
+    declared = F.coalesce("_declared", F.array().cast("array<string>"))
+    parts = {
+        "catalog": [category_findings(categories, query_terms)],
+        "modifier": [modifier_findings(modifiers)],
+        "product": [
+            missing_ids(products), duplicate_ids(products), unmatchable_rules(products),
+            _attribute_findings(own, declared, F.coalesce("_rank_by", F.lit(""))), variant_swallowing(products),
+        ],
+    }
+    rows = [found.select("category", F.lit(subject).alias("subject"), "level", "message", "where") for subject, all_ in parts.items() for found in all_]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def order_violations(products: DataFrame, pairs: DataFrame, attribute: str) -> DataFrame:
     """Pairs (faster_id, slower_id) whose attribute is missing or not in that order."""
     value = F.try_element_at("attributes", F.lit(attribute))
@@ -220,12 +245,18 @@ def preview_rule(
     none_of: list[str],
     product_id: str | None = None,
     scan_limit: int | None = None,
+    category: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(scanned titles, matches of the candidate rule). ``steals`` marks other products' listings.
 
+    ``category`` confines the run to one catalog. A rule that asks for no word scans nothing.
     All titles are scanned, or the newest ``scan_limit`` (``Params.preview_scan`` is the customary number).
     """
     scanned = results.filter("match_kind <> 'excluded' and normalized_title <> ''")
+    if category is not None:
+        scanned = scanned.filter(F.col("category") == category)
+    if not any(needle.strip() for needle in [*all_of, *any_of]):
+        scanned = scanned.filter(F.lit(False))
     if scan_limit is not None:
         scanned = scanned.orderBy(F.desc("updated_at"), "listing_id").limit(scan_limit)
     other_owner = F.col("product_id").isNotNull() & (F.col("product_id") != F.lit(product_id or ""))

@@ -10,6 +10,7 @@ from fairtag.functions.ordered import extreme_rows, extremes
 from fairtag.operators.classify import classify
 from fairtag.params import Params
 from fairtag.sources.catalog import Catalog
+from fairtag.sources.jsonld import page_offers
 
 KEY = ["category", "product_id", "source", "observed_on"]
 
@@ -42,6 +43,21 @@ def upsert_daily(prior: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select(*KEY, "price_cents", "newest.url", "newest.in_stock", "newest.run_ts")
 
 
+def retail_pass(pages: DataFrame, catalog: Catalog, prior: DataFrame, run_ts: Column, params: Params = Params()) -> DataFrame:
+    """One run over fetched shop pages: offers read, matched, the cheapest of each product, shop and day put into the daily table.
+
+    ``pages``: source, seq (a number that orders the pages of the run), observed_on, html. ``prior`` is the daily table before,
+    with ``run_ts``; the whole table after the run is returned.
+    """
+    found = page_offers(pages, ["source", "seq", "observed_on"])
+    offers = found.select(
+        F.concat_ws("/", "source", "observed_on", "seq", "block_no", "node_no").alias("offer_id"), "source", "observed_on",
+        F.struct("seq", "block_no", "node_no").alias("seq"), "name", "price_eur", "url", "in_stock",
+    )
+    best = cheapest_offers(classify_offers(offers, catalog, params))
+    return upsert_daily(prior, best.withColumn("run_ts", run_ts))
+
+
 def current_retail(
     prices: DataFrame, products: DataFrame, as_of: Column, params: Params = Params()
 ) -> DataFrame:
