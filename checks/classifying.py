@@ -59,10 +59,7 @@ def cls_1(spark, sf):
 )
 def cls_7(spark, sf):
     read_ = cls.read_titles(document_listings(spark, sf), DOC_CATALOG)
-    return read_.select(
-        "listing_id", F.array_join("found", ",").alias("modifiers"),
-        cls.adjust_pct(F.col("found"), MODIFIERS).alias("adjust_pct"),
-    )
+    return read_.select("listing_id", F.array_join("found", ",").alias("modifiers"), "adjust_pct")
 
 
 @check(
@@ -72,8 +69,7 @@ SELECT listing_id, CAST(round_even(price_cents * (1 + greatest(least({PCT}, 35e0
 )
 def cls_8(spark, sf):
     read_ = cls.read_titles(document_listings(spark, sf), DOC_CATALOG)
-    pct = cls.adjust_pct(F.col("found"), MODIFIERS)
-    return read_.select("listing_id", cls.adjusted_cents(F.col("price_cents"), pct).alias("adjusted_cents"))
+    return read_.select("listing_id", cls.adjusted_cents(F.col("price_cents"), F.col("adjust_pct")).alias("adjusted_cents"))
 
 
 # Part ads: the catalog is read off the part names, the ads off parts and order lines.

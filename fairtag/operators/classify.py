@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,52 +10,14 @@ from fairtag.functions.numeric import clamp, round_cents
 from fairtag.functions.once import computed_once
 from fairtag.functions.ordered import extremes
 from fairtag.functions.similarity import rest_ratio, rests
+from fairtag.operators.modifiers import with_modifiers
 from fairtag.params import Params
 from fairtag.session import cut_lineage
-from fairtag.sources.catalog import Catalog, Modifier
+from fairtag.sources.catalog import Catalog
 
 USABLE = ("rule", "fuzzy")
 
 
-# Exclusions and price modifiers: one regular expression per modifier.
-
-
-def _found(target: Column, modifier: Modifier) -> Column:
-    return F.rlike(target, F.lit("|".join(f"(?:{p})" for p in modifier.patterns)))
-
-
-def excluded_by(title: Column, haystack: Column, modifiers: list[Modifier]) -> Column:
-    """First exclusion in catalog order; one anchored pattern confines a modifier to the title."""
-    hits = [
-        F.when(
-            _found(title if any(p.startswith("^") for p in m.patterns) else haystack, m),
-            F.lit(m.modifier_id),
-        )
-        for m in modifiers
-        if m.exclude and m.patterns
-    ]
-    return F.coalesce(*hits, F.lit(None).cast("string"))
-
-
-def adjusters_found(haystack: Column, modifiers: list[Modifier]) -> Column:
-    """Ids of the price modifiers present, in catalog order."""
-    hits = [
-        F.when(_found(haystack, m), F.lit(m.modifier_id))
-        for m in modifiers
-        if not m.exclude and m.patterns
-    ]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-
-
-def adjust_pct(found: Column, modifiers: list[Modifier]) -> Column:
-    parts = [
-        F.when(F.array_contains(found, m.modifier_id), m.price_adjust_pct).otherwise(0.0)
-        for m in modifiers
-        if not m.exclude and m.patterns
-    ]
-    return reduce(lambda a, b: a + b, parts, F.lit(0.0))
-
-
 def adjusted_cents(price_cents: Column, pct: Column, params: Params = Params()) -> Column:
     limit = params.adjust_limit_pct
     return round_cents(price_cents * (1 + clamp(pct, -limit, limit) / 100))
@@ -357,7 +317,7 @@ def fuzzy_match(titles: DataFrame, products: DataFrame, params: Params = Params(
 
 
 def read_titles(listings: DataFrame, catalog: Catalog) -> DataFrame:
-    """Per listing the normalised title, the exclusion and the price modifiers found."""
+    """Per listing the normalised title, the exclusion, and the price modifiers found with their sum in percent."""
     keep = ["listing_id", "price_cents"]
     titled = computed_once(
         listings, [*keep, "title", "description"], normalized_title=text.normalize(F.col("title"))
@@ -366,12 +326,8 @@ def read_titles(listings: DataFrame, catalog: Catalog) -> DataFrame:
     whole = text.normalize(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("description")))
     plain = F.coalesce("description", F.lit("")) == ""
     haystack = F.when(plain, F.col("normalized_title")).otherwise(whole)
-    return (
-        computed_once(titled, [*keep, "normalized_title"], haystack=haystack)
-        .withColumn("excluded_by", excluded_by(F.col("normalized_title"), F.col("haystack"), catalog.modifiers))
-        .withColumn("found", adjusters_found(F.col("haystack"), catalog.modifiers))
-        .drop("haystack")
-    )
+    texts = computed_once(titled, [*keep, "normalized_title"], haystack=haystack)
+    return with_modifiers(texts, "normalized_title", "haystack", catalog.modifiers)
 
 
 def match_titles(names: DataFrame, products: DataFrame, params: Params = Params(), fuzzy: bool = True) -> DataFrame:
@@ -445,7 +401,7 @@ def classified_from(read: DataFrame, matches: DataFrame, catalog: Catalog, param
     return (
         ruled.withColumn("match_kind", kind)
         .withColumn("modifiers", F.when(usable, F.col("found")).otherwise(none))
-        .withColumn("adjust_pct", adjust_pct(F.col("modifiers"), catalog.modifiers))
+        .withColumn("adjust_pct", F.when(usable, F.col("adjust_pct")).otherwise(0.0))
         .select(
             "listing_id",
             F.lit(catalog.category).alias("category"),
