@@ -72,6 +72,28 @@ def cls_8(spark, sf):
     return read_.select("listing_id", cls.adjusted_cents(F.col("price_cents"), F.col("adjust_pct")).alias("adjusted_cents"))
 
 
+# A catalog of 5,000 modifiers: the beginnings of words, every seventh excludes.
+LETTERS = "etaoinshrdlucmfwyp"
+MANY = [
+    Modifier(f"m{i}", (rf"\b{LETTERS[i // 324]}{LETTERS[i // 18 % 18]}{LETTERS[i % 18]}",), i % 7 == 0 and i > 2000, float(i % 5))
+    for i in range(5_000)
+]
+
+
+@check("cls_1_7_many_modifiers", with_ctes(DOC_SQL, select=rf"""
+, starts AS (SELECT DISTINCT listing_id, unnest(regexp_extract_all(hay, '\b[a-z][a-z][a-z]')) AS start FROM x),
+many AS (SELECT i, concat('{LETTERS}'[i // 324 + 1], '{LETTERS}'[i // 18 % 18 + 1], '{LETTERS}'[i % 18 + 1]) AS start, i % 7 = 0 AND i > 2000 AS exclude
+  FROM (SELECT unnest(range(5000)) AS i)),
+hits AS (SELECT listing_id, min(i) FILTER (exclude) AS first, string_agg('m' || i, ',' ORDER BY i) FILTER (NOT exclude) AS modifiers,
+  sum(i % 5) FILTER (NOT exclude) AS pct FROM starts JOIN many USING (start) GROUP BY ALL)
+SELECT x.listing_id, 'm' || first AS excluded_by, coalesce(modifiers, '') AS modifiers, CAST(coalesce(pct, 0) AS DOUBLE) AS adjust_pct
+FROM x LEFT JOIN hits ON hits.listing_id = x.listing_id"""))
+def cls_1_7_many(spark, sf):
+    """Every price modifier found among 5,000, and the first exclusion of all documents."""
+    read_ = cls.read_titles(document_listings(spark, sf), Catalog("docs", products=None, modifiers=MANY))  # type: ignore[arg-type]
+    return read_.select("listing_id", "excluded_by", F.array_join("found", ",").alias("modifiers"), "adjust_pct")
+
+
 # Part ads: the catalog is read off the part names, the ads off parts and order lines.
 
 

@@ -17,7 +17,7 @@ from fairtag.session import cut_lineage
 from fairtag.sources.catalog import Modifier
 
 #: Lengths of keys: the longest that the plain part of a pattern fills.
-KEY_LENGTHS = (5, 3, 2, 1)
+KEY_LENGTHS = (4, 3, 2, 1)
 #: Patterns that are broadcast at once; a catalog of more takes several passes.
 BLOCK = 10_000
 ROW = "key string, plain string, pattern string, on_title boolean, pos int, modifier_id string, exclude boolean, price_adjust_pct double"
@@ -101,13 +101,13 @@ def pattern_rows(modifiers: list[Modifier]) -> list[tuple]:
 
 
 def _pieces(text: Column, lengths: list[int]) -> Column:
-    """The distinct pieces of these lengths that stand anywhere in the text, and the empty one."""
+    """The distinct pieces of these lengths in the text; the empty one is in all."""
     pieces = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in lengths if n]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *pieces))
+    return F.array_distinct(F.concat(*([] if lengths[0] else [F.array(F.lit(""))]), *pieces))
 
 
 def modifier_hits(texts: DataFrame, keys: list[str], title: str, haystack: str, modifiers: list[Modifier]) -> DataFrame:
-    """(``keys``, pos, modifier_id, exclude, price_adjust_pct) of the modifiers found, each once for a row of ``texts``.
+    """(``keys``, pos, modifier_id, exclude, price_adjust_pct) of the modifiers found, once for each of their patterns.
 
     The texts stay where they are: the patterns come to them, ``BLOCK`` at a time, and only what is found is shuffled. Texts that are
     null hold nothing.
@@ -128,7 +128,7 @@ def modifier_hits(texts: DataFrame, keys: list[str], title: str, haystack: str,
         return texts.limit(0).selectExpr(
             *keys, "0 AS pos", "'' AS modifier_id", "false AS exclude", "CAST(0 AS DOUBLE) AS price_adjust_pct"
         )
-    return reduce(DataFrame.unionByName, hits).distinct()
+    return reduce(DataFrame.unionByName, hits)
 
 
 def with_modifiers(texts: DataFrame, title: str, haystack: str, modifiers: list[Modifier]) -> DataFrame:
@@ -139,16 +139,17 @@ def with_modifiers(texts: DataFrame, title: str, haystack: str, modifiers: list[
     """
     marked = texts.withColumn("texts_hash", F.xxhash64(title, haystack))
     keys = ["listing_id", "texts_hash"]
-    found = F.array_sort(F.collect_list(F.struct("pos", "modifier_id", "exclude", "price_adjust_pct")))
-    each = cut_lineage(modifier_hits(marked, keys, title, haystack, modifiers).groupBy(*keys).agg(found.alias("hits")))
+    found = F.array_sort(F.collect_set(F.struct("pos", "modifier_id", "exclude", "price_adjust_pct")))
+    each = modifier_hits(marked, keys, title, haystack, modifiers).groupBy(*keys).agg(found.alias("hits"))
     right = each.select(F.col("listing_id").alias("hit_listing"), F.col("texts_hash").alias("hit_texts"), "hits")
     met = marked.drop(haystack).join(
         right, F.col("listing_id").eqNullSafe(F.col("hit_listing")) & (F.col("texts_hash") == F.col("hit_texts")), "left"
     ).drop("hit_listing", "hit_texts", "texts_hash")
     hits = F.coalesce("hits", F.array().cast(each.schema["hits"].dataType))
     excluding, adjusting = F.filter(hits, lambda h: h["exclude"]), F.filter(hits, lambda h: ~h["exclude"])
-    return met.withColumns({
+    # Written once: matching and the result both read it, and normalise no text again.
+    return cut_lineage(met.withColumns({
         "excluded_by": F.try_element_at(excluding, F.lit(1))["modifier_id"],
         "found": F.transform(adjusting, lambda h: h["modifier_id"]),
         "adjust_pct": F.aggregate(adjusting, F.lit(0.0), lambda total, h: total + h["price_adjust_pct"]),
-    }).drop("hits")
+    }).drop("hits"))
