@@ -83,3 +83,21 @@ def test_rows_of_one_listing_and_no_modifiers(spark):
     )
     assert mods.with_modifiers(rows, "title", "hay", []).where("excluded_by is null and size(found) = 0 and adjust_pct = 0").count() == 5
     assert mods.with_modifiers(rows.limit(0), "title", "hay", modifiers).count() == 0
+
+
+def test_few_and_many_agree_and_shuffle_no_text(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(40)]
+    shapes = [lambda: rf"\b{rng.choice(words)}", lambda: rng.choice(words), lambda: "^" + rng.choice(words), lambda: rf"\b{rng.choice(words)} \w+"]
+    modifiers = [Modifier(f"m{i}", tuple(rng.choice(shapes)() for _ in range(2)), rng.random() < 0.4, float(i % 5)) for i in range(100)]
+    texts = [(" ".join(rng.choices(words, k=3)), " ".join(rng.choices(words, k=9))) for _ in range(80)]
+    texts += [("begins ab", "begins abc"), ("x-abc", "\u00e9abc"), (None, "abc"), ("abc", None)]
+    few = found_in(spark, texts, modifiers)
+    monkeypatch.setattr(mods, "FEW", 0)
+    assert found_in(spark, texts, modifiers) == few
+    for i, (title, hay) in enumerate(texts):
+        if hay is not None and hay.isascii():
+            assert few[str(i)] == brute(title, hay, modifiers), (title, hay)
+    rows = spark.createDataFrame([("1", "a", "a b")], "listing_id string, title string, hay string")
+    plan = mods.with_hits(rows, "title", "hay", modifiers)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "m17" not in plan
