@@ -91,7 +91,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, spec: Pivots = Pivots()) -> Da
     width = max(facts.width, asked.agg(F.max(F.size("x"))).first()[0] or 0)
     greatest = float(np.sqrt(facts.most)) * (1 + 1e-9) + 1
     packs_of = -(-asked.count() // spec.pack) or 1
-    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(spec.sample).toPandas()
+    # Written first: collected straight away, every task would send its own ``sample`` rows to the driver.
+    sample = written(data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(spec.sample)).orderBy(F.xxhash64("vec_id"), "vec_id").toPandas()
     pivots = choose_pivots(_lift(_matrix(sample.x, width), greatest), spec.pivots)
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +173,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, spec: Pivots = Pivots()) -> Da
             visits.withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(packs_of)))
             .groupBy("at", "pack").agg(F.collect_list(F.struct("query_id", "query")).alias("asks"))
         )
-        found = packs.join(blocks, "at").select("asks", "rows").mapInArrow(score, result)
+        # Merged: vectors and queries take little room in their files, but not in a driver that gathers them for a broadcast.
+        found = packs.join(blocks.hint("merge"), "at").select("asks", "rows").mapInArrow(score, result)
         return best(found)
 
     def best(found: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, spec: Pivots = Pivots()) -> Da
     seen = visits.groupBy("query_id").agg(F.collect_list("at").alias("seen"))
     squared = F.col("norm") + F.lit(greatest**2) - 2 * F.col("kth")
     bounded = (
-        asked.withColumn("norm", norm).withColumnRenamed("vec_id", "query_id").join(kth, "query_id", "left").join(seen, "query_id")
+        asked.withColumn("norm", norm).withColumnRenamed("vec_id", "query_id").join(kth.hint("merge"), "query_id", "left").join(seen.hint("merge"), "query_id")
         .select(F.col("query_id").alias("vec_id"), "x", "seen",
                 F.coalesce(F.sqrt(F.greatest(squared, F.lit(0.0))), F.lit(float("inf"))).alias("bound"))
     )
