@@ -121,7 +121,7 @@ def listings_by_week(spark, sf):
     starts = ["2024-01-01", "2024-01-09", "2024-01-17", "2024-01-25", "9999-01-01"]
     for i, (start, end) in enumerate(zip(starts, starts[1:])):
         after = F.col("batch_ts") >= start if i else F.lit(True)
-        events.filter(after & (F.col("batch_ts") < end)).coalesce(1).write.mode("append").parquet(arriving)
+        events.filter(after & (F.col("batch_ts") < end)).repartition(1).write.mode("append").parquet(arriving)
     return events, spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
 
 

@@ -64,14 +64,15 @@ class ListingChanges(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         recorded, recorded_at, last_seen = self.state.get() or (None, None, None)
         recorded_at, last_seen = pd.Timestamp(recorded_at), pd.Timestamp(last_seen)
+        seen_before = last_seen
         # Chunk by chunk; what is held is the first two prices of each batch, however many sightings it has.
         batches: dict[pd.Timestamp, FirstTwo] = {}
         for chunk in rows:
-            newest = chunk["batch_ts"].max()
-            last_seen = newest if pd.isna(last_seen) else max(last_seen, newest)
-            priced = chunk[chunk["price_cents"].notna()]
-            for at, pos, price in zip(priced["batch_ts"], priced["batch_pos"], priced["price_cents"]):
-                batches.setdefault(at, FirstTwo()).add(int(pos), int(price))
+            for at, pos, price in zip(chunk["batch_ts"], chunk["batch_pos"].tolist(), chunk["price_cents"].tolist()):
+                if not pd.isna(at) and (pd.isna(last_seen) or at > last_seen):
+                    last_seen = at
+                if not pd.isna(price):
+                    batches.setdefault(at, FirstTwo()).add(int(pos), int(price))
         points = []
         for at in sorted(batches):
             price = batches[at].first_but(recorded)
@@ -81,9 +82,11 @@ class ListingChanges(StatefulProcessor):
         self.state.update((
             recorded, None if pd.isna(recorded_at) else recorded_at.to_pydatetime(), last_seen.to_pydatetime(),
         ))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int((last_seen + self.grace).timestamp() * 1000))
+        # Each call crosses to the state store: the one timer of a listing is known and moves only if the listing was seen later.
+        if last_seen != seen_before:
+            if not pd.isna(seen_before):
+                self.handle.deleteTimer(self._timer(seen_before))
+            self.handle.registerTimer(self._timer(last_seen))
         if points:
             yield self._rows(points)
 
@@ -91,6 +94,9 @@ class ListingChanges(StatefulProcessor):
         _, _, last_seen = self.state.get()
         yield self._rows([(*key, "gone", pd.Timestamp(last_seen), None)])
 
+    def _timer(self, last_seen: pd.Timestamp) -> int:
+        return int((last_seen + self.grace).timestamp() * 1000)
+
     @staticmethod
     def _rows(rows: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(rows, columns=[*KEY, "change", "observed_at", "price_cents"])
