@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fairtag.functions.ordered import extreme_rows, extremes, packed
 from fairtag.operators import classify as cls
 from fairtag.operators import compare, fold, retail
+from fairtag.session import cut_lineage, spread
 from tests.test_fold import frame, sightings
 
 START = datetime(2024, 1, 1)
@@ -89,3 +90,33 @@ def test_the_change_log_takes_three_shuffles(spark):
     final = plan(points).split("== Initial Plan ==")[0]
     # The third is a broadcast on so few rows.
     assert len(re.findall(r"- (?:Broadcast)?Exchange ", final)) == 3 and "ReusedExchange" in final
+
+
+def test_a_cut_lineage_is_compressed_and_a_single_row_group_is_dealt_out(spark):
+    rows = spark.range(1000).coalesce(1).selectExpr("id", "repeat('long text ', 100) AS text")
+    cut = cut_lineage(rows)
+    assert "FileScan parquet" in plan(cut) and "id" in plan(cut.select("id")) and "text" not in plan(cut.select("id")).split("ReadSchema")[1]
+    dealt = spread(rows.select("id")).rdd.glom().map(len).collect()
+    assert sum(dealt) == 1000 and max(dealt) < 1000
+
+
+def test_packed_vectors_are_not_broadcast(spark):
+    from fairtag.llm.top_k import top_k
+
+    rng = random.Random(7)
+    vectors = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)], "vec_id long, embedding array<double>")
+    found = top_k(vectors.where("vec_id % 20 = 0"), vectors)
+    assert "SortMergeJoin" in plan(found) and "BroadcastHashJoin" not in plan(found)
+
+
+def test_offers_are_read_once(spark):
+    from fairtag.operators import retail
+    from fairtag.sources.catalog import Catalog
+
+    products = spark.createDataFrame(
+        [("c", 0, "p", "p", ["card"], [], [], [])],
+        "category string, pos int, product_id string, label string, all array<string>, any_of array<string>, none_of array<string>, aliases array<string>",
+    )
+    offers = spark.createDataFrame([("1", "card", 2.0), ("2", "hat", 3.0)], "offer_id string, name string, price_eur double")
+    out = retail.classify_offers(offers.repartition(3), Catalog("c", products, []))
+    assert "RoundRobin" not in plan(out) and [r.offer_id for r in out.collect()] == ["1"]
