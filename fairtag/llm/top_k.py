@@ -190,7 +190,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, spec: Pivots = Pivots()) -> Da
     bounded = (
         asked.withColumn("norm", norm).withColumnRenamed("vec_id", "query_id").join(kth.hint("merge"), "query_id", "left").join(seen.hint("merge"), "query_id")
         .select(F.col("query_id").alias("vec_id"), "x", "seen",
-                F.coalesce(F.sqrt(F.greatest(squared, F.lit(0.0))), F.lit(float("inf"))).alias("bound"))
+                F.when(squared.isNull(), float("inf")).otherwise(F.sqrt(F.greatest(squared, F.lit(0.0)))).alias("bound"))
     )
     rest = answers(written(bounded.mapInPandas(visit(False), "query_id long, at long, query binary")))
     return best(first.union(rest.select("query_id", "vec_id", "score"))).select(
