@@ -8,6 +8,8 @@ busiest key spreads over as many tasks as it has slots.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +45,9 @@ def with_previous(df: DataFrame, keys: list[str], slot: str, order: list[str], i
     )
 
 
-def _meets(df: DataFrame, keys: list[str], best: DataFrame) -> DataFrame:
-    """Each row beside the row of ``best`` (keys named _key_*) that has its keys; null keys meet too."""
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    return df.join(best, same)
-
-
-def _named(best: DataFrame, keys: list[str]) -> DataFrame:
-    return best.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+def _key(keys: list[str]) -> Column:
+    """The keys as one value, which meets its like where some of them are null."""
+    return F.struct(*keys).alias("_key")
 
 
 def packed(ts: Column, pos: Column) -> Column:
@@ -66,22 +63,18 @@ def extremes(df: DataFrame, keys: list[str], picks: dict[str, tuple[str, Column,
     over the keys is a hash aggregate that combines map-side; a join on what it found brings the texts of the few rows that won.
     Where several rows have the same order, the least (min) or greatest (max) struct is taken.
     """
-    functions = {"min": F.min, "max": F.max}
-    ordered = df.withColumns({f"_at_{name}": order for name, (_, order, _) in picks.items()})
-    best = ordered.groupBy(*keys).agg(
+    functions, ends = {"min": F.min, "max": F.max}, {"min": F.array_min, "max": F.array_max}
+    best = df.groupBy(*keys).agg(
         *[c.alias(name) for name, c in totals.items()],
-        *[functions[how](f"_at_{name}").alias(f"_best_{name}") for name, (how, _, _) in picks.items()],
-    )
-    won = {name: F.col(f"_at_{name}") == F.col(f"_best_{name}") for name in picks}
-    any_won = won[next(iter(won))]
-    for name in won:
-        any_won = any_won | F.coalesce(won[name], F.lit(False))
-    rows = _meets(ordered, keys, _named(best.select(*keys, *[f"_best_{name}" for name in picks]), keys)).filter(F.coalesce(any_won, F.lit(False)))
-    ends = {"min": F.array_min, "max": F.array_max}
-    found = rows.groupBy(*keys).agg(*[
+        *[functions[how](order).alias(f"_best_{name}") for name, (how, order, _) in picks.items()],
+    ).select(_key(keys), *[F.col(name).alias(f"_total_{name}") for name in totals], *[f"_best_{name}" for name in picks])
+    # The rows travel without their orders, once: what the join has dealt by the key is grouped where it lies.
+    won = {name: F.coalesce(order == F.col(f"_best_{name}"), F.lit(False)) for name, (_, order, _) in picks.items()}
+    rows = df.withColumn("_key", _key(keys)).join(best, "_key").filter(reduce(Column.__or__, won.values()))
+    found = rows.groupBy("_key", *[f"_total_{name}" for name in totals]).agg(*[
         ends[how](F.collect_set(F.when(won[name], made))).alias(name) for name, (how, _, made) in picks.items()
     ])
-    return _meets(found, keys, _named(best.select(*keys, *totals), keys)).select(*keys, *totals, *picks)
+    return found.select("_key.*", *[F.col(f"_total_{name}").alias(name) for name in totals], *picks)
 
 
 def extreme_rows(df: DataFrame, keys: list[str], order: Column, ties: list[Column], how: str = "min") -> DataFrame:
@@ -89,8 +82,8 @@ def extreme_rows(df: DataFrame, keys: list[str], order: Column, ties: list[Colum
 
     The number is found by a hash aggregate; only rows that have it are put in order, one of each key leaving a partition.
     """
-    ordered = df.withColumn("_at", order)
-    best = ordered.groupBy(*keys).agg((F.min if how == "min" else F.max)("_at").alias("_best"))
-    tied = _meets(ordered, keys, _named(best, keys)).filter(F.col("_at").eqNullSafe(F.col("_best")))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*ties))
+    functions = {"min": F.min, "max": F.max}
+    best = df.groupBy(*keys).agg(functions[how](order).alias("_best")).select(_key(keys), "_best")
+    tied = df.withColumn("_key", _key(keys)).join(best, "_key").filter(order.eqNullSafe(F.col("_best")))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(*ties))
     return tied.withColumn("_nth", nth).filter("_nth = 1").select(df.columns)

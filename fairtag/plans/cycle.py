@@ -45,10 +45,12 @@ def run_cycle(
 
     ``prior`` and ``queue`` are the ``folded`` and ``unmatched`` tables of the run before, so only new sightings are read.
     ``force`` reclassifies everything, as a catalog edit asks for. The best ``limit`` deals are kept, all of them with None.
-    The fold and the fresh results are materialised in the shared folder; everything else reads them.
+    The folds and the fresh results are materialised in the shared folder; everything else reads them.
     """
-    partial = fold.partial_fold(sightings)
-    folded = cut_lineage(partial if prior is None else fold.merge_folds(prior.unionByName(partial)))
+    folded = cut_lineage(fold.partial_fold(sightings))
+    if prior is not None:
+        # Both branches of the merge read the partial fold, whose shuffles are gone by then.
+        folded = cut_lineage(fold.merge_folds(prior.unionByName(folded)))
     listings = fold.close_missing(fold.finish_fold(folded), as_of, params)
     todo = cls.work_list(listings, normalized, catalog, force)
     fresh_results = cut_lineage(cls.classify(todo, catalog, params).withColumn("updated_at", as_of))

@@ -122,3 +122,28 @@ def test_offers_are_read_once(spark):
     offers = spark.createDataFrame([("1", "card", 2.0), ("2", "hat", 3.0)], "offer_id string, name string, price_eur double")
     out = retail.classify_offers(offers.repartition(3), Catalog("c", products, []))
     assert "RoundRobin" not in plan(out) and [r.offer_id for r in out.collect()] == ["1"]
+
+
+def exchanges(df):
+    df.collect()
+    return len(re.findall(r"- Exchange ", plan(df).split("== Initial Plan ==")[0]))
+
+
+def test_first_and_last_rows_travel_once(spark):
+    """Keys with their orders twice, whole rows once."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert exchanges(fold.partial_fold(frame(spark, sightings(1)))) == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(b.isShuffle() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllBlocks()))
+    left = files()
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(5, "k").groupBy("k").count()
+    cut_lineage(df)
+    for _ in range(2):  # a query that runs again makes them again
+        assert len(df.collect()) == 7
+    assert files() <= left
