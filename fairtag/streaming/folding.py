@@ -22,11 +22,8 @@ from fairtag.streaming.tiers import Tiers, summed
 
 def _to_folders(path: str, transform: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # several branches read it
-        try:
-            transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        # Read once: the classifier writes the read titles before it matches them.
+        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 

@@ -101,3 +101,19 @@ def test_few_and_many_agree_and_shuffle_no_text(spark, monkeypatch):
     rows = spark.createDataFrame([("1", "a", "a b")], "listing_id string, title string, hay string")
     plan = mods.with_hits(rows, "title", "hay", modifiers)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "m17" not in plan
+
+
+def test_few_patterns_are_conditions_of_the_plan(spark, monkeypatch):
+    modifiers = [
+        Modifier("x", ("^ab", "zz"), True), Modifier("y", (r"b\d+",), True), Modifier("p", ("cd", r"\bc"), price_adjust_pct=0.1),
+        Modifier("q", (), price_adjust_pct=5.0), Modifier("r", ("d$",), price_adjust_pct=0.2), Modifier("s", ("d",), price_adjust_pct=-0.3),
+    ]
+    texts = [("ab", "x ab"), ("cab", "ab cd"), ("c", "b12 zz"), ("cd", "cd"), ("", ""), (None, "zz d"), ("abc", None), (None, None), ("e", "c e")]
+    want = {str(i): brute(*t, modifiers) for i, t in enumerate(texts)}
+    called = []
+    monkeypatch.setattr(mods, "with_hits", lambda *args: called.append(args))
+    assert found_in(spark, texts, modifiers) == want and not called
+    assert found_in(spark, texts, []) == {str(i): (None, [], 0.0) for i in range(len(texts))}
+    monkeypatch.undo()
+    monkeypatch.setattr(mods, "DIRECT", 0)
+    assert found_in(spark, texts, modifiers) == want
