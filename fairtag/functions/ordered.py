@@ -13,6 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairtag.session import cut_lineage
+
+#: Keys are counted by so many buckets of their hash; the keys of a bucket of more rows are not gathered.
+BUCKETS, GATHERED = 2**16, 1_000_000
+
 
 def time_slot(ts: Column, minutes: int) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / (minutes * 60_000_000))
@@ -67,16 +72,47 @@ def extremes(df: DataFrame, keys: list[str], picks: dict[str, tuple[str, Column,
     best = df.groupBy(*keys).agg(
         *[c.alias(name) for name, c in totals.items()],
         *[functions[how](order).alias(f"_best_{name}") for name, (how, order, _) in picks.items()],
-    ).select(_key(keys), *[F.col(name).alias(f"_total_{name}") for name in totals], *[f"_best_{name}" for name in picks])
-    # The rows travel without their orders, once: what the join has dealt by the key is grouped where it lies.
+    ).select(_key(keys).alias("_of"), *[F.col(name).alias(f"_total_{name}") for name in totals], *[f"_best_{name}" for name in picks])
+    # The rows travel without their orders, once: what the join has dealt by the key is grouped where it lies. A number leads the
+    # key, as sorts compare structs field by field.
     won = {name: F.coalesce(order == F.col(f"_best_{name}"), F.lit(False)) for name, (_, order, _) in picks.items()}
-    rows = df.withColumn("_key", _key(keys)).join(best, "_key").filter(reduce(Column.__or__, won.values()))
-    found = rows.groupBy("_key", *[f"_total_{name}" for name in totals]).agg(*[
+    same = (F.xxhash64("_key") == F.xxhash64("_of")) & (F.col("_key") == F.col("_of"))
+    rows = df.withColumn("_key", _key(keys)).join(best, same).filter(reduce(Column.__or__, won.values()))
+    found = rows.groupBy(F.xxhash64("_key").alias("_hash"), "_key", *[f"_total_{name}" for name in totals]).agg(*[
         ends[how](F.collect_set(F.when(won[name], made))).alias(name) for name, (how, _, made) in picks.items()
     ])
     return found.select("_key.*", *[F.col(f"_total_{name}").alias(name) for name in totals], *picks)
 
 
+def gathered_extremes(
+    df: DataFrame, keys: list[str], picks: dict[str, tuple[str, Column, Column]], most: int = GATHERED, **totals: Column
+) -> DataFrame:
+    """``extremes`` with a single pick, for keys of mostly few rows: whole rows travel once, and meet in a window instead of a join.
+
+    A window has the rows of a key in one task. So keys are counted before, by buckets of their hash, which combines map-side;
+    those in a bucket of more than ``most`` rows go through ``extremes``.
+    """
+    (name, (how, order, made)), = picks.items()
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")
+    counted = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
+    # At most as many rows as there are buckets.
+    many = F.broadcast(cut_lineage(counted.filter(F.col("_n") > most).select("_bucket")))
+    dealt = df.withColumn("_bucket", bucket)
+    few = dealt.join(many, "_bucket", "left_anti").select(
+        "*", F.xxhash64(*keys).alias("_hash"), _key(keys), order.alias("_order"), made.alias("_made")
+    )
+    best = [F.asc_nulls_last("_order"), F.asc("_made")] if how == "min" else [F.desc("_order"), F.desc("_made")]
+    ranked = Window.partitionBy("_hash", "_key").orderBy(*best)
+    whole = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = few.select(
+        "_key", "_order", "_made", F.row_number().over(ranked).alias("_nth"),
+        *[c.over(whole).alias(f"_total_{total}") for total, c in totals.items()],
+    ).filter("_nth = 1 AND _order IS NOT NULL")
+    return found.select("_key.*", *[F.col(f"_total_{total}").alias(total) for total in totals], F.col("_made").alias(name)).unionByName(
+        extremes(dealt.join(many, "_bucket", "left_semi"), keys, picks, **totals)
+    )
+
+
 def extreme_rows(df: DataFrame, keys: list[str], order: Column, ties: list[Column], how: str = "min") -> DataFrame:
     """The row of each key that is first (min) or last (max) in a number, the first by ``ties`` where that is equal.
 

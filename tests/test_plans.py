@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from fairtag.functions.ordered import extreme_rows, extremes, packed
+from fairtag.functions.ordered import extreme_rows, extremes, gathered_extremes, packed
 from fairtag.operators import classify as cls
 from fairtag.operators import compare, fold, retail
 from fairtag.session import cut_lineage, spread
@@ -78,6 +78,55 @@ def test_extremes_against_a_plain_loop(spark):
     assert first == {k: min((r[2], r[4]) for r in rows if r[0] == k)[1] for k in ("a", "b", None)}
 
 
+@pytest.mark.parametrize("how", ["min", "max"])
+@pytest.mark.parametrize("most", [0, 60, 1000])
+def test_gathered_extremes_are_extremes(spark, how, most):
+    """Whether all, some or none of the keys have too many rows to be gathered; null keys, orders and texts included."""
+    rng = random.Random(8)
+    rows = [
+        (rng.choice(["a", "a", "a", None, *"bcdefg"]), rng.choice([1, 1, None]), rng.choice([None, 1, 2, 3]) if i % 2 else 3, rng.choice([None, "x", "y"]), i)
+        for i in range(600)
+    ]
+    rows += [("only", 1, None, "x", 600), ("one", 1, 5, None, 601)]
+    df = spark.createDataFrame(rows, "k string, l int, at long, text string, n long")
+    picks = {"best": (how, F.col("at"), F.struct("text", "at"))}
+    totals = {"n": F.count(F.lit(1)), "least": F.min("n")}
+    read = lambda out: sorted(map(str, out.select("k", "l", "n", "least", "best").collect()))
+    found = read(gathered_extremes(df, ["k", "l"], picks, most, **totals))
+    assert found == read(extremes(df, ["k", "l"], picks, **totals)) and not any("'only'" in r for r in found)
+    text = lambda r: (r[3] is not None, r[3] or "")
+    ends = {"min": min, "max": max}
+    loop = []
+    for key in {r[:2] for r in rows}:
+        own = [r for r in rows if r[:2] == key]
+        if ordered := [r for r in own if r[2] is not None]:
+            end = ends[how](ordered, key=lambda r: (r[2], text(r)))
+            loop.append((*key, len(own), own[0][4], end[3], end[2]))
+    out = gathered_extremes(df, ["k", "l"], picks, most, **totals).select("k", "l", "n", "least", "best.text", "best.at").collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, loop))
+
+
+def test_the_rows_of_a_day_travel_once_and_meet_in_no_join(spark):
+    day = [("c", f"p{i % 50}", "s", START.date(), i, f"u{i}", True, START) for i in range(200)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        merged = retail.upsert_daily(spark.createDataFrame(day[:100], DAILY), spark.createDataFrame(day[100:], DAILY))
+        assert exchanges(merged) == 1 and "SortMergeJoin" not in plan(merged).split("== Initial Plan ==")[0]
+        assert {(r.product_id, r.price_cents, r.url) for r in merged.collect()} == {
+            (f"p{i}", i, max(f"u{j}" for j in range(i, 200, 50))) for i in range(50)
+        }
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_joined_extremes_sort_by_a_number_first(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert re.search(r"Sort \[xxhash64\(_key", plan(fold.partial_fold(frame(spark, sightings(1)))))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_one_sighting_repeated_many_times_is_kept_once(spark):
     row = ("s", "k", "c", "u", "t", "d", 5, "EUR", None, None, False, 1, None, None, START, 3)
     out = fold.partial_fold(frame(spark, [row] * 500)).collect()
