@@ -41,7 +41,7 @@ def run(writer, spark) -> None:
 def drained(stream, spark):
     """Run a stream into files and read them back; nothing passes through the driver."""
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    run(stream.writeStream.format("parquet").option("path", path).outputMode("append"), spark)
+    run(stream.writeStream.format("parquet").option("path", path).option("compression", "zstd").outputMode("append"), spark)
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -109,20 +109,29 @@ def str_3_intervals(spark, sf):
     )
 
 
-# Twenty listings to a user, and the month in four files in order of time, one to a micro-batch.
+# Twenty listings to a user, and the month in four parts in order of time, one to a micro-batch.
 LISTINGS_SQL = "x AS (SELECT e.site_listing_id || '-' || (batch_pos % 20) AS site_listing_id, batch_ts FROM e)"
+WEEKS = ["2024-01-01", "2024-01-09", "2024-01-17", "2024-01-25", "9999-01-01"]
+# A part is one file, or several of so many rows.
+FILE_ROWS = 200_000
 
 
 def listings_by_week(spark, sf):
-    events = event_sightings(spark, sf).withColumn(
-        "site_listing_id", F.concat_ws("-", "site_listing_id", F.col("batch_pos") % 20)
-    )
+    def listings(events):
+        return event_sightings(spark, sf, events).withColumn(
+            "site_listing_id", F.concat_ws("-", "site_listing_id", F.col("batch_pos") % 20)
+        )
+
+    events = read(spark, sf, "events")
+    at = F.col("ts").cast("timestamp")
+    weeks = [(at >= start if i else F.lit(True)) & (at < end) for i, (start, end) in enumerate(zip(WEEKS, WEEKS[1:]))]
+    # Each part has as many files as the others: rows are dealt in turn, so none of so few files stays empty (and unwritten).
+    files = max(1, min(events.agg(*(F.count_if(week) for week in weeks)).first()) // FILE_ROWS)
     arriving = f"{scratch(spark)}/weeks"
-    starts = ["2024-01-01", "2024-01-09", "2024-01-17", "2024-01-25", "9999-01-01"]
-    for i, (start, end) in enumerate(zip(starts, starts[1:])):
-        after = F.col("batch_ts") >= start if i else F.lit(True)
-        events.filter(after & (F.col("batch_ts") < end)).repartition(1).write.mode("append").parquet(arriving)
-    return events, spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    for week in weeks:
+        listings(events.filter(week).repartition(files)).write.mode("append").option("compression", "zstd").parquet(arriving)
+    sightings = listings(events)
+    return sightings, spark.readStream.schema(sightings.schema).option("maxFilesPerTrigger", files).parquet(arriving)
 
 
 @check(

@@ -1,7 +1,10 @@
 """Several micro-batches give what one batch run gives."""
 
 import random
+from collections import defaultdict
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +96,97 @@ def test_streamed_change_log_equals_batch(spark, files):
     assert got == sorted((r.site_listing_id, r.observed_at, r.price_cents) for r in fold.price_points(whole).collect())
 
 
+def test_many_listings_share_state_rows(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "site string, site_listing_id string, batch_ts timestamp, batch_pos long, price_cents long"
+    ids = [("s", str(i)) for i in range(3000)] + [("t", "0"), ("s", None), (None, "0")]
+    days = {"2024-01-01": ids, "2024-01-05": ids[::2], "2024-01-09": ids[:1]}
+    for day, seen in days.items():
+        rows = spark.createDataFrame([(*x, i, 5 if i % 3 else None) for i, x in enumerate(seen)], "site string, site_listing_id string, batch_pos long, price_cents long")
+        rows.withColumn("batch_ts", F.lit(day).cast("timestamp")).select(*(c.split()[0] for c in schema.split(", "))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    writer = changelog.listing_changes(arriving, Params(cycle_minutes=6 * 60)).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query = writer.outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = [x["stateOperators"][0]["numRowsTotal"] for x in query.recentProgress]
+    # The three sites have a state row of a bucket each at most, whatever the listings are.
+    assert len(rows) >= 3 and 0 < max(rows) <= changelog.BUCKETS + 2
+    got = spark.read.parquet(str(tmp_path / "out")).selectExpr("site", "site_listing_id", "change", "CAST(CAST(observed_at AS DATE) AS STRING) AS day", "price_cents")
+    # The newest sighting is of the ninth: those of the fifth are four days older, the watermark trails by one.
+    want = [(*x, "price", "2024-01-01", 5) for i, x in enumerate(ids) if i % 3]
+    want += [(*x, "price", "2024-01-05", 5) for i, x in enumerate(ids[::2]) if i % 3 and not (2 * i) % 3]
+    want += [(*x, "gone", "2024-01-01", None) for x in ids[1::2]] + [(*x, "gone", "2024-01-05", None) for x in ids[::2][1:]]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+class State(SimpleNamespace):
+    """What a bucket's state holds between its micro-batches."""
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutTimestamp(self, at):
+        assert at >= self.watermark
+        self.timeout = at
+
+
+def changes_one_by_one(batches, grace):
+    """(listing, time, price or none) of each micro-batch, one listing and batch after another."""
+    recorded, recorded_at, last_seen, live = {}, {}, {}, set()
+    for rows, watermark in batches:
+        found, priced = [], defaultdict(lambda: defaultdict(list))
+        for name, at, pos, price in rows:
+            if at > last_seen.get(name, at - 1):
+                last_seen[name] = at
+                live.add(name)
+            if price != changelog._NONE:
+                priced[name][at].append((pos, price))
+        for name, ats in priced.items():
+            for at in sorted(ats):
+                price = next((p for _, p in sorted(ats[at]) if p != recorded.get(name)), None)
+                if price is not None and at != recorded_at.get(name):
+                    recorded[name], recorded_at[name] = price, at
+                    found.append((name, at, price))
+        for name in sorted(live, key=str):
+            if (last_seen[name] + grace) // 1000 <= watermark:
+                live.remove(name)
+                found.append((name, last_seen[name], None))
+        yield sorted(found, key=str), bool(live)
+
+
+@pytest.mark.parametrize("held", [5, 500_000])
+def test_change_log_of_a_bucket_equals_one_listing_after_another(monkeypatch, held):
+    monkeypatch.setattr(changelog, "_HELD", held)
+    hour = 3_600_000_000
+    for seed in range(60):
+        rng = random.Random(seed)
+        names = [None, *"abcdefg"[:rng.randrange(1, 8)]]
+        # Few times and prices: batches of several prices, batches that come again later, returns after a listing was gone.
+        batches, watermark = [], 0
+        for k in range(6):
+            ats = [hour * (50 * k + rng.randrange(-30 if k else 1, 60)) + rng.randrange(3) * 400 for _ in range(rng.randrange(1, 25))]
+            rows = [(rng.choice(names), at, pos, rng.choice([changelog._NONE, 1, 2, 3])) for pos, at in enumerate(ats) if at > watermark * 1000]
+            rng.shuffle(rows)
+            batches.append((rows, watermark))
+            watermark = max(watermark, max(ats) // 1000 - 24 * hour // 1000)
+        batches.append(([], watermark))
+        state, changes = State(exists=False, get=None, timeout=None), changelog.ListingChanges(24)
+        for (rows, state.watermark), (want, live) in zip(batches, changes_one_by_one(batches, 24 * hour)):
+            state.hasTimedOut, state.timeout = not rows, None
+            columns = ["site_listing_id", "at", "pos", "price"]
+            chunks = [pd.DataFrame(rows[i:i + 7], columns=columns).astype({c: "int64" for c in columns[1:]}) for i in range(0, len(rows), 7)]
+            got = []
+            for frame in changes((0, "s"), iter(chunks), state):
+                assert set(frame["site"]) == {"s"}
+                for lists in zip(frame["site_listing_id"], frame["observed_us"], frame["price_cents"]):
+                    got += [(None if pd.isna(name) else name, int(at), None if price == changelog._NONE else int(price)) for name, at, price in zip(*lists)]
+            assert sorted(got, key=str) == want
+            assert (state.timeout is not None) == live
+
+
 def test_first_two_prices_in_any_order():
     rng = random.Random(1)
     for _ in range(500):
